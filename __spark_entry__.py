@@ -31,8 +31,34 @@ EXAMPLE_CHECK = sql_check(
 )
 
 
-def _audit(spark: SparkSession, folder: str) -> Audit:
-    return Audit(spark, SampleAccount(spark, folder).snapshot())
+# Snapshot tables behind the shared views.
+MEMBERS = ("role_grants", "users")
+COUNTS = ("privilege_grants", *MEMBERS)
+
+# Snapshot tables each check reads.
+READS = {
+    "c01_admin_users": MEMBERS,
+    "c02_backup_admin": ("role_grants",),
+    "c03_shadow_grants": ("future_grants",),
+    "c04_network_policy": ("network_policies",),
+    "c05_password_only": ("login_history",),
+    "c06_inactive_users": ("users", "login_history", "usage_tables"),
+    "c07_managed_schemas": ("schemas",),
+    "c08_inaccessible_objects": ("privilege_grants",),
+    "c09_most_used_tables": ("usage_tables",),
+    "c10_most_used_columns": ("usage_columns",),
+    "c11_least_used_tables": ("usage_tables", "entities"),
+    "c12_future_grant_coverage": ("future_grants", "schemas"),
+    "c13_most_accessible": COUNTS,
+    "c14_least_accessible": ("entities", *COUNTS),
+    "c15_masking_policies": ("masking_policies", "masking_policy_references"),
+    "c16_row_access_policies": ("row_access_policies", "row_access_policy_references"),
+    "c17_sensitive_columns": ("columns", "masking_policy_references", *COUNTS),
+}
+
+
+def _audit(spark: SparkSession, folder: str, *tables: str) -> Audit:
+    return Audit(spark, SampleAccount(spark, folder).snapshot(None, "databases", *tables))
 
 
 def _full_audit(spark: SparkSession, folder: str) -> Audit:
@@ -46,7 +72,7 @@ def _full_audit(spark: SparkSession, folder: str) -> Audit:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return getattr(SampleAccount(spark, folder).snapshot(), name)
+    return getattr(SampleAccount(spark, folder).snapshot(None, name), name)
 
 
 def _users(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,25 +186,25 @@ def _role_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _admin_members(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).role_members(ACCOUNT_ADMIN, SECURITY_ADMIN)
+    return _audit(spark, folder, *MEMBERS).role_members(ACCOUNT_ADMIN, SECURITY_ADMIN)
 
 
 def _user_roles(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).user_roles
+    return _audit(spark, folder, *MEMBERS).user_roles
 
 
 def _privileges(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).object_privileges
+    return _audit(spark, folder, "privilege_grants").object_privileges
 
 
 def _access(spark: SparkSession, folder: str) -> DataFrame:
-    audit = _audit(spark, folder)
+    audit = _audit(spark, folder, *COUNTS)
     rows = access.user_object_access(audit.workspace, audit.object_privileges, audit.user_roles)
     return rows.select("object", "db", "schema", "grantee", "user", "role")
 
 
 def _user_counts(spark: SparkSession, folder: str, plan: str = "auto") -> DataFrame:
-    audit = _audit(spark, folder)
+    audit = _audit(spark, folder, *COUNTS)
     snapshot = audit.snapshot
     return access.object_user_counts(
         audit.workspace,
@@ -194,11 +220,11 @@ def _user_counts(spark: SparkSession, folder: str, plan: str = "auto") -> DataFr
 
 
 def _findings(spark: SparkSession, folder: str, check_id: str, name: str = "") -> DataFrame:
-    return _audit(spark, folder).plan(CHECKS[check_id]).findings[name]
+    return _audit(spark, folder, *READS[check_id]).plan(CHECKS[check_id]).findings[name]
 
 
 def _network_check(spark: SparkSession, folder: str) -> DataFrame:
-    row = result_row(_audit(spark, folder), CHECKS["c04_network_policy"])
+    row = result_row(_audit(spark, folder, "network_policies"), CHECKS["c04_network_policy"])
     return row.select("check_id", "score", "status", "n_findings")
 
 
@@ -208,7 +234,7 @@ def _schema_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _example_check(spark: SparkSession, folder: str) -> DataFrame:
-    return _audit(spark, folder).plan(EXAMPLE_CHECK).findings[""]
+    return _audit(spark, folder, "users").plan(EXAMPLE_CHECK).findings[""]
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.functions.identifiers import truncated_database, truncated_schema
-from grantlens.operators.graph import direct_roles
+from grantlens.operators.graph import active_names, direct_roles
 from grantlens.operators.skew import balanced_join, lookup_join
 from grantlens.workspace import Stage, Workspace
 
@@ -17,6 +15,7 @@ SCHEMA_PRIVILEGES = ["OWNERSHIP", "USAGE"]
 
 BITMAP_BYTES = 4096
 PAIR_BYTES = 32
+PAIRS_WITHOUT_COUNTING = 10_000_000
 
 
 def object_privileges_by_role(workspace: Workspace, privilege_grants: DataFrame) -> DataFrame:
@@ -80,38 +79,33 @@ def user_object_access(
 # --- distinct users per object ------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Grouped:
-    """Owners merged by equal role sets: ``members`` maps owner to set_id, ``sets``
-    lists the roles of each set."""
-
-    members: Stage
-    sets: Stage
-
-
 def _hash_part(member: Column, start: int) -> Column:
     digits = F.substring(F.sha2(member, 256), start, 15)
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def group_by_role_set(
-    workspace: Workspace, rows: DataFrame, owner: str, name: str
-) -> Grouped:
-    """Merge owners that have the same set of roles; ``rows`` is distinct (owner, role).
+def set_ids(rows: DataFrame, owner: str) -> DataFrame:
+    """(owner, set_id): a name for the set of roles of each owner.
+
+    ``rows`` is distinct (owner, role). A set is named by its size and 180 bits of an
+    order-free SHA-256 fold, which is a plain aggregate combined on the map side: no
+    role list is ever gathered, however many roles one owner has.
+    """
+    parts = [F.hex(F.bit_xor(_hash_part(F.col("role"), start))) for start in (1, 16, 31)]
+    return rows.groupBy(owner).agg(
+        F.concat_ws("-", F.count(F.lit(1)), *parts).alias("set_id")
+    )
+
+
+def set_roles(rows: DataFrame, members: DataFrame, owner: str) -> DataFrame:
+    """(set_id, weight, role): the roles of each set, read back from one owner of it.
 
-    A set is named by its size and 180 bits of an order-free SHA-256 fold, which is a
-    plain aggregate combined on the map side: no role list is ever gathered, however
-    many roles one owner has. The roles of a set are read back from one owner of it.
+    ``weight`` is the number of owners with that set.
     """
-    parts = [F.bit_xor(_hash_part(F.col("role"), start)) for start in (1, 16, 31)]
-    named = rows.groupBy(owner).agg(
-        F.concat_ws("-", F.count(F.lit(1)), *[F.hex(p) for p in parts]).alias("set_id")
+    samples = members.groupBy("set_id").agg(
+        F.min(owner).alias(owner), F.count(F.lit(1)).alias("weight")
     )
-    members = workspace.stage(named, f"{name}-members")
-    first = members.df.groupBy("set_id").agg(F.min(owner).alias(owner))
-    samples = workspace.stage(first, f"{name}-samples")
-    sets = lookup_join(workspace, rows, samples, [owner], "inner", spread="role")
-    return Grouped(members, workspace.stage(sets.select("set_id", "role"), f"{name}-sets"))
+    return rows.join(samples, owner).select("set_id", "weight", "role")
 
 
 def object_user_counts(
@@ -131,58 +125,64 @@ def object_user_counts(
     grants = workspace.stage(
         reachable(privileges).select("object", F.col("grantee").alias("role")), "reachable"
     )
-    objects = group_by_role_set(workspace, grants.df, "object", "object")
-    asked = workspace.stage(objects.sets.df.select("role").distinct(), "asked-roles")
+    objects = workspace.stage(
+        set_ids(grants.df, "object"), "object-sets", at_most=grants.rows
+    )
+    asking = workspace.stage(set_roles(grants.df, objects.df, "object"), "asking-sets")
 
     # (held_by, role): holding the first gives the second, which some object asks for.
+    asked = asking.df.select("role").distinct()
     given = workspace.stage(
-        asked.df.withColumn("held_by", F.col("role"))
-        .unionByName(closure.df.join(asked.df, "role", "left_semi"))
+        asked.withColumn("held_by", F.col("role"))
+        .unionByName(closure.df.join(asked, "role", "left_semi"))
         .distinct(),
         "given-roles",
     )
-    useful = workspace.stage(given.df.select(F.col("held_by").alias("role")).distinct(), "useful")
-    active = users.filter(~F.col("disabled")).select(F.col("name").alias("user")).distinct()
+    useful = Stage(given.df.select(F.col("held_by").alias("role")).distinct(), given.rows)
     direct = lookup_join(
         workspace, direct_roles(role_grants), useful, ["role"], "left_semi", spread="user"
     )
-    held = workspace.stage(direct.join(active, "user", "left_semi"), "held-roles")
-    people = group_by_role_set(workspace, held.df, "user", "user")
-
-    start = Stage(people.sets.df.withColumnRenamed("role", "held_by"), people.sets.rows)
-    wide = balanced_join(workspace, start, given, ["held_by"], "inner", "set_id", "role")
+    held = workspace.stage(direct.join(active_names(users), "user", "left_semi"), "held-roles")
+    people = workspace.stage(set_ids(held.df, "user"), "user-sets", at_most=held.rows)
+    profiles = workspace.stage(
+        set_roles(held.df, people.df, "user").withColumnRenamed("role", "held_by"),
+        "profiles",
+    )
+    wide = balanced_join(workspace, profiles, given, ["held_by"], "inner", "set_id", "role")
     reach = workspace.stage(
-        wide.select(F.col("set_id").alias("profile"), "role").distinct(), "profile-roles"
+        wide.select(F.col("set_id").alias("profile"), "weight", "role").distinct(),
+        "profile-roles",
+        at_most=profiles.rows * given.rows,
     )
     if plan == "auto":
-        plan = cheaper_plan(reach, objects.sets, people.members)
-    count = {"profiles": _count_by_profiles, "bitmaps": _count_by_bitmaps}[plan]
-    counts = workspace.stage(
-        count(workspace, objects.sets, reach, people.members), "set-counts"
-    )
+        plan = cheaper_plan(reach, asking, people)
+    if plan == "profiles":
+        counted = _count_by_profiles(workspace, asking, reach)
+    else:
+        counted = _count_by_bitmaps(workspace, asking, reach, people)
+    counts = workspace.stage(counted, "set-counts", at_most=asking.rows)
     return lookup_join(
-        workspace, objects.members.df, counts, ["set_id"], "inner", spread="object"
+        workspace, objects.df, counts, ["set_id"], "inner", spread="object"
     ).select("object", "n_users")
 
 
-def cheaper_plan(reach: Stage, object_sets: Stage, members: Stage) -> str:
+def cheaper_plan(reach: Stage, asking: Stage, people: Stage) -> str:
     """Compare, in bytes to shuffle, what the two exact plans would emit.
 
     Matching profiles emits one small row per role, object set and profile. Bitmaps
     emit one 4 KiB block per role, object set and block of users.
     """
-    if reach.rows * object_sets.rows < 10_000_000:
+    if reach.rows * asking.rows <= PAIRS_WITHOUT_COUNTING:
         return "profiles"
-    profiles = reach.df.groupBy("role").agg(F.count(F.lit(1)).alias("profiles"))
-    sets = object_sets.df.groupBy("role").agg(F.count(F.lit(1)).alias("sets"))
-    blocks = members.rows // (BITMAP_BYTES * 8) + 1
+    holders = reach.df.groupBy("role").agg(F.count(F.lit(1)).alias("profiles"))
+    askers = asking.df.groupBy("role").agg(F.count(F.lit(1)).alias("sets"))
+    blocks = F.least(F.col("profiles"), F.lit(people.rows // (BITMAP_BYTES * 8) + 1))
+    sets = F.col("sets").cast("double")
     sums = (
-        profiles.join(sets, "role")
+        holders.join(askers, "role")
         .agg(
-            F.sum(F.col("profiles").cast("double") * F.col("sets")).alias("pairs"),
-            F.sum(F.least(F.col("profiles"), F.lit(blocks)).cast("double") * F.col("sets")).alias(
-                "blocks"
-            ),
+            F.sum(sets * F.col("profiles")).alias("pairs"),
+            F.sum(sets * blocks).alias("blocks"),
         )
         .first()
     )
@@ -190,24 +190,16 @@ def cheaper_plan(reach: Stage, object_sets: Stage, members: Stage) -> str:
     return "profiles" if pairs * PAIR_BYTES <= filled * BITMAP_BYTES else "bitmaps"
 
 
-def _count_by_profiles(
-    workspace: Workspace, object_sets: Stage, reach: Stage, members: Stage
-) -> DataFrame:
+def _count_by_profiles(workspace: Workspace, asking: Stage, reach: Stage) -> DataFrame:
     """Match object sets to profiles through roles and add up the profile weights."""
-    weights = workspace.stage(
-        members.df.groupBy(F.col("set_id").alias("profile")).agg(
-            F.count(F.lit(1)).alias("weight")
-        ),
-        "weights",
-    )
-    matched = balanced_join(workspace, object_sets, reach, ["role"], "inner", "set_id", "profile")
-    pairs = matched.select("set_id", "profile").distinct()
-    weighed = lookup_join(workspace, pairs, weights, ["profile"], "inner", spread="set_id")
-    return weighed.groupBy("set_id").agg(F.sum("weight").alias("n_users"))
+    sets = Stage(asking.df.select("set_id", "role"), asking.rows)
+    matched = balanced_join(workspace, sets, reach, ["role"], "inner", "set_id", "profile")
+    pairs = matched.select("set_id", "profile", "weight").distinct()
+    return pairs.groupBy("set_id").agg(F.sum("weight").alias("n_users"))
 
 
 def _count_by_bitmaps(
-    workspace: Workspace, object_sets: Stage, reach: Stage, members: Stage
+    workspace: Workspace, asking: Stage, reach: Stage, people: Stage
 ) -> DataFrame:
     """Union the users of each object set's roles as bitmaps.
 
@@ -215,11 +207,9 @@ def _count_by_bitmaps(
     numbering is written before use because it must not change between readers.
     """
     numbered = workspace.stage(
-        members.df.repartitionByRange("set_id", "user")
+        people.df.repartitionByRange("set_id", "user")
         .sortWithinPartitions("set_id", "user")
-        .select(
-            F.col("set_id").alias("profile"), "user", F.monotonically_increasing_id().alias("uid")
-        ),
+        .select(F.col("set_id").alias("profile"), F.monotonically_increasing_id().alias("uid")),
         "numbered-users",
     )
     blocks = workspace.stage(
@@ -228,12 +218,12 @@ def _count_by_bitmaps(
         ),
         "profile-blocks",
     )
-    by_role = balanced_join(workspace, reach, blocks, ["profile"], "inner", "role", "block")
+    holders = Stage(reach.df.select("profile", "role"), reach.rows)
+    by_role = balanced_join(workspace, holders, blocks, ["profile"], "inner", "role", "block")
     role_blocks = workspace.stage(
         by_role.groupBy("role", "block").agg(F.bitmap_or_agg("bits").alias("bits")), "role-blocks"
     )
-    matched = balanced_join(
-        workspace, object_sets, role_blocks, ["role"], "inner", "set_id", "block"
-    )
+    sets = Stage(asking.df.select("set_id", "role"), asking.rows)
+    matched = balanced_join(workspace, sets, role_blocks, ["role"], "inner", "set_id", "block")
     merged = matched.groupBy("set_id", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
     return merged.groupBy("set_id").agg(F.sum(F.bitmap_count("bits")).alias("n_users"))

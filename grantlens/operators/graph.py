@@ -35,6 +35,11 @@ def direct_roles(role_grants: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("user"), F.col("src").alias("role"))
 
 
+def active_names(users: DataFrame) -> DataFrame:
+    """(user): names of the users that are not disabled."""
+    return users.filter(~F.col("disabled")).select(F.col("name").alias("user"))
+
+
 def role_closure(workspace: Workspace, role_grants: DataFrame) -> Stage:
     """(held_by, role): every role a role reaches through grants.
 
@@ -62,9 +67,8 @@ def user_roles(
     workspace: Workspace, role_grants: DataFrame, users: DataFrame, closure: Stage
 ) -> DataFrame:
     """(user, role): all roles each enabled user can act with."""
-    active = users.filter(~F.col("disabled")).select(F.col("name").alias("user")).distinct()
     direct = workspace.stage(
-        direct_roles(role_grants).join(active, "user", "left_semi"), "direct-roles"
+        direct_roles(role_grants).join(active_names(users), "user", "left_semi"), "direct-roles"
     )
     held = Stage(direct.df.withColumnRenamed("role", "held_by"), direct.rows)
     inherited = balanced_join(workspace, held, closure, ["held_by"], "inner", "user", "role")
@@ -76,14 +80,16 @@ def role_members(
 ) -> DataFrame:
     """(root, user): users, disabled ones too, that hold each root role in any way."""
     spark: SparkSession = workspace.spark
-    itself = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("root"))
+    itself = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("root"))
     through = closure.df.filter(F.col("role").isin(*roots)).select(
         F.col("role").alias("root"), F.col("held_by").alias("role")
     )
     carriers = itself.withColumn("role", F.col("root")).unionByName(through).distinct()
     # One row per carrying role, so the grants side can be looked up without fan-out.
     by_role = workspace.stage(
-        carriers.groupBy("role").agg(F.collect_set("root").alias("roots")), "carriers"
+        carriers.groupBy("role").agg(F.collect_set("root").alias("roots")),
+        "carriers",
+        at_most=len(roots) + closure.rows,
     )
     held = lookup_join(
         workspace, direct_roles(role_grants), by_role, ["role"], "inner", spread="user"

@@ -11,7 +11,7 @@ from grantlens.workspace import Stage, Workspace
 BROADCAST_ROWS = 100_000
 
 # Work (left rows times right rows) of one key that a single task may take on.
-HOT_PAIRS = 10_000_000
+HOT_PAIRS = 100_000_000
 
 # At most this many keys are split: a key must hold 1/HOT_KEYS of all the work.
 HOT_KEYS = 1024

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from functools import cached_property
+from threading import RLock
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from grantlens.operators import access, graph
 from grantlens.sources.snapshot import Snapshot
 from grantlens.workspace import Stage, Workspace
 
+T = TypeVar("T")
+
+
 @dataclass(frozen=True)
 class CheckPlan:
     """What a check found.
@@ -65,6 +69,8 @@ class Audit:
         self.snapshot = snapshot
         self.workspace = workspace or Workspace(spark)
         self.keep = keep
+        self._lock = RLock()
+        self._views: dict[str, object] = {}
         self._plans: dict[str, CheckPlan] = {}
 
     def plan(self, check: Check) -> CheckPlan:
@@ -75,33 +81,51 @@ class Audit:
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         return self.workspace.stage(df, name).df if self.keep else df
 
-    @cached_property
+    def _view(self, name: str, build: Callable[[], T]) -> T:
+        """Build a shared view once, also when checks run side by side."""
+        with self._lock:
+            if name not in self._views:
+                self._views[name] = build()
+            return self._views[name]
+
+    @property
     def role_closure(self) -> Stage:
-        return graph.role_closure(self.workspace, self.snapshot.role_grants)
+        return self._view(
+            "role_closure",
+            lambda: graph.role_closure(self.workspace, self.snapshot.role_grants),
+        )
 
-    @cached_property
+    @property
     def user_roles(self) -> DataFrame:
-        return graph.user_roles(
-            self.workspace, self.snapshot.role_grants, self.snapshot.users, self.role_closure
+        return self._view(
+            "user_roles",
+            lambda: graph.user_roles(
+                self.workspace, self.snapshot.role_grants, self.snapshot.users, self.role_closure
+            ),
         )
 
-    @cached_property
+    @property
     def object_privileges(self) -> DataFrame:
-        privileges = access.object_privileges_by_role(
-            self.workspace, self.snapshot.privilege_grants
-        )
-        return self.kept(privileges, "object-privileges")
+        def build() -> DataFrame:
+            grants = self.snapshot.privilege_grants
+            privileges = access.object_privileges_by_role(self.workspace, grants)
+            return self.kept(privileges, "object-privileges")
+
+        return self._view("object_privileges", build)
 
-    @cached_property
+    @property
     def object_user_counts(self) -> DataFrame:
-        counts = access.object_user_counts(
-            self.workspace,
-            self.object_privileges,
-            self.snapshot.role_grants,
-            self.snapshot.users,
-            self.role_closure,
-        )
-        return self.kept(counts, "object-user-counts")
+        def build() -> DataFrame:
+            counts = access.object_user_counts(
+                self.workspace,
+                self.object_privileges,
+                self.snapshot.role_grants,
+                self.snapshot.users,
+                self.role_closure,
+            )
+            return self.kept(counts, "object-user-counts")
+
+        return self._view("object_user_counts", build)
 
     def role_members(self, *roots: str) -> DataFrame:
         return graph.role_members(
@@ -125,7 +149,7 @@ def result_row(audit: Audit, check: Check) -> DataFrame:
     for df in plan.findings.values():
         found = found + count_of(df)
     metrics = [c.cast("double").alias(name) for name, c in plan.metrics.items()]
-    base = audit.spark.range(1).select(found.alias("n_findings"), *metrics)
+    base = audit.spark.range(0, 1, 1, 1).select(found.alias("n_findings"), *metrics)
     scored = base.withColumn("score", plan.score.cast("double"))
     pairs = [part for name in plan.metrics for part in (F.lit(name), F.col(name))]
     empty = F.create_map().cast("map<string,double>")

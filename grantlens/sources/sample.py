@@ -7,10 +7,13 @@ logins. FIXTURES.md lists the rules.
 
 from __future__ import annotations
 
+from functools import cache, cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.sources.raw import RawTables
+from grantlens.sources.schemas import RAW, raw_source
 from grantlens.sources.snapshot import Snapshot
 from grantlens.workspace import Workspace
 
@@ -45,12 +48,10 @@ class SampleAccount:
     """Raw tables of the sample account over one folder of parquet files."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark = spark
-        self.folder = folder.rstrip("/")
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        root = folder.rstrip("/")
+        self._read = cache(lambda name: spark.read.parquet(f"{root}/{name}.parquet"))
 
+    @cached_property
     def _regions(self) -> DataFrame:
         safe = F.replace("r_name", F.lit(" "), F.lit("_"))
         return self._read("region").select(
@@ -59,11 +60,12 @@ class SampleAccount:
             F.concat(safe, F.lit("_READ")).alias("region_read"),
         )
 
+    @cached_property
     def _geo(self) -> DataFrame:
         """One row per nation with its database."""
         nation = self._read("nation")
         return nation.join(
-            self._regions(), nation["n_regionkey"] == F.col("r_regionkey")
+            self._regions, nation["n_regionkey"] == F.col("r_regionkey")
         ).select("n_nationkey", "n_name", "r_regionkey", "db", "region_read")
 
     def _grantees(self, assets: DataFrame) -> DataFrame:
@@ -74,9 +76,11 @@ class SampleAccount:
         numbered = assets.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(NATIONS - 1))))
         return numbered.join(nation, "n")
 
+    @cached_property
     def _once(self) -> DataFrame:
-        return self._regions().filter("r_regionkey = 0")
+        return self._regions.filter("r_regionkey = 0")
 
+    @cached_property
     def _parts(self) -> DataFrame:
         """(p_partkey, db, schema, name, kind) of the sample tables and views."""
         kind = (
@@ -90,23 +94,23 @@ class SampleAccount:
             kind.alias("kind"),
             (F.col("p_partkey") % NATIONS).cast("int").alias("n_nationkey"),
         )
-        home = self._geo().select("n_nationkey", "db", F.col("n_name").alias("schema"))
+        home = self._geo.select("n_nationkey", "db", F.col("n_name").alias("schema"))
         return part.join(home, "n_nationkey").select("p_partkey", "db", "schema", "name", "kind")
 
     def databases(self) -> DataFrame:
-        own = self._regions().select(F.col("db").alias("name"), _text("SYSADMIN").alias("owner"))
-        system = self._once().select(_text("SNOWFLAKE").alias("name"), _text("").alias("owner"))
+        own = self._regions.select(F.col("db").alias("name"), _text("SYSADMIN").alias("owner"))
+        system = self._once.select(_text("SNOWFLAKE").alias("name"), _text("").alias("owner"))
         return own.unionByName(system)
 
     def schemas(self) -> DataFrame:
         managed = F.when(F.col("n_nationkey") % 5 == 0, "MANAGED ACCESS").otherwise("")
-        own = self._geo().select(
+        own = self._geo.select(
             F.col("n_name").alias("name"),
             F.col("db").alias("database_name"),
             F.when(F.col("n_nationkey") % 2 == 1, '"SYSADMIN"').otherwise("SYSADMIN").alias("owner"),
             managed.alias("options"),
         )
-        system = self._regions().select(
+        system = self._regions.select(
             _text("INFORMATION_SCHEMA").alias("name"),
             F.col("db").alias("database_name"),
             _text("").alias("owner"),
@@ -115,14 +119,14 @@ class SampleAccount:
         return own.unionByName(system)
 
     def entities(self) -> DataFrame:
-        own = self._parts().select(
+        own = self._parts.select(
             "name",
             F.col("db").alias("database_name"),
             F.col("schema").alias("schema_name"),
             _text("SYSADMIN").alias("owner"),
             "kind",
         )
-        system = self._regions().select(
+        system = self._regions.select(
             _text("TABLES").alias("name"),
             F.col("db").alias("database_name"),
             _text("INFORMATION_SCHEMA").alias("schema_name"),
@@ -134,7 +138,7 @@ class SampleAccount:
     def columns(self) -> DataFrame:
         names = F.array(*[F.lit(n) for n in COLUMN_NAMES])
         return (
-            self._parts()
+            self._parts
             .select("p_partkey", "db", "schema", "name", F.posexplode(names).alias("i", "column"))
             .filter((F.col("p_partkey") + F.col("i")) % 3 != 0)
             .select(
@@ -161,7 +165,7 @@ class SampleAccount:
         )
 
     def role_grants(self) -> DataFrame:
-        geo = self._geo()
+        geo = self._geo
         customer = self._read("customer").withColumn(
             "user",
             F.when(
@@ -189,7 +193,7 @@ class SampleAccount:
             ("CYCLE_A", "NATION_3"),
         ]
         pairs = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(g).alias("g")) for r, g in fixed])
-        inner = self._once().select(F.inline(pairs))
+        inner = self._once.select(F.inline(pairs))
         segment = F.concat(F.lit("SEG_"), F.col("c_mktsegment"))
         return (
             grants(homes, nation, user, "USER")
@@ -197,7 +201,7 @@ class SampleAccount:
             .unionByName(grants(geo, F.col("region_read"), nation, "ROLE"))
             .unionByName(
                 grants(
-                    self._regions().filter("r_regionkey % 2 = 0"),
+                    self._regions.filter("r_regionkey % 2 = 0"),
                     _text("GLOBAL_READ"),
                     F.col("region_read"),
                     "ROLE",
@@ -233,11 +237,11 @@ class SampleAccount:
             )
 
         usage = _text("USAGE")
-        geo = self._geo()
+        geo = self._geo
         schema = F.concat_ws(".", "db", "n_name")
         on_schema = self._grantees(geo)
         to_role = (F.col("n_nationkey") * 7 + F.col("n")) % 3 != 0
-        on_database = self._grantees(self._regions())
+        on_database = self._grantees(self._regions)
         own = geo.withColumn("grantee_name", F.col("n_name"))
         return (
             grants(
@@ -285,7 +289,7 @@ class SampleAccount:
             F.col("p_partkey") % 7 == 0, F.concat(F.lit('"'), F.col("schema"), F.lit('"'))
         ).otherwise(F.col("schema"))
         return (
-            granted.join(self._parts(), "p_partkey")
+            granted.join(self._parts, "p_partkey")
             .join(nation, "s_nationkey")
             .select(
                 privilege.alias("privilege"),
@@ -305,8 +309,8 @@ class SampleAccount:
                 _text("false").alias("grant_option"),
             )
 
-        on_database = self._grantees(self._regions())
-        on_schema = self._grantees(self._geo())
+        on_database = self._grantees(self._regions)
+        on_schema = self._grantees(self._geo)
         db = F.col("db")
         return (
             grants(
@@ -329,7 +333,7 @@ class SampleAccount:
 
     def _policies(self, prefix: str, count: int) -> DataFrame:
         numbers = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-        return self._once().select("db", numbers.alias("i")).select(
+        return self._once.select("db", numbers.alias("i")).select(
             F.concat(F.lit(prefix), F.col("i").cast("string")).alias("name"),
             F.col("db").alias("database_name"),
             _text("NATION_0").alias("schema_name"),
@@ -344,7 +348,7 @@ class SampleAccount:
 
     def policy_references(self) -> DataFrame:
         part = F.col("p_partkey")
-        parts = self._parts()
+        parts = self._parts
         tag = lambda value: F.when(part % 80 == 0, value)
 
         def references(every: int, kind: str, policy: Column, column: Column, status: Column):
@@ -440,7 +444,7 @@ class SampleAccount:
         number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
         return (
             lines.join(orders, "l_orderkey")
-            .join(self._parts(), "p_partkey")
+            .join(self._parts, "p_partkey")
             .select(
                 F.concat(F.lit("Customer#"), number).alias("USER_NAME"),
                 F.to_json(touched).alias("DIRECT_OBJECTS_ACCESSED"),
@@ -451,28 +455,15 @@ class SampleAccount:
     def network_policies(self) -> DataFrame:
         return self._read("region").filter("r_regionkey = 0").select(F.col("r_name").alias("name"))
 
-    def raw(self) -> RawTables:
-        return {
-            "databases": self.databases(),
-            "schemas": self.schemas(),
-            "entities": self.entities(),
-            "columns": self.columns(),
-            "users": self.users(),
-            "roles": self.roles(),
-            "role_grants": self.role_grants(),
-            "privilege_grants": self.privilege_grants(),
-            "future_grants": self.future_grants(),
-            "masking_policies": self.masking_policies(),
-            "row_access_policies": self.row_access_policies(),
-            "login_history": self.login_history(),
-            "access_history": self.access_history(),
-            "policy_references": self.policy_references(),
-            "network_policies": self.network_policies(),
-        }
-
-    def snapshot(self, workspace: Workspace | None = None) -> Snapshot:
+    def raw(self, *names: str) -> RawTables:
+        """The named raw tables, or all of them; the others count as not collected."""
+        return {name: getattr(self, name)() for name in names or RAW}
+
+    def snapshot(self, workspace: Workspace | None = None, *tables: str) -> Snapshot:
+        """The snapshot, or the part of it that the named tables need."""
+        names = dict.fromkeys(raw_source(table) for table in tables)
         return Snapshot.from_raw(
-            self.raw(),
+            self.raw(*names),
             login_as_of=F.lit(LOGIN_AS_OF).cast("timestamp"),
             access_as_of=F.lit(ACCESS_AS_OF).cast("timestamp"),
             workspace=workspace,

@@ -92,3 +92,17 @@ SNAPSHOT: dict[str, str] = {
     "row_access_policy_references": _REFERENCE,
     "network_policies": "name string",
 }
+
+# Snapshot tables whose raw table has another name.
+_RAW_SOURCE = {
+    "usage_tables": "access_history",
+    "usage_columns": "access_history",
+    "unreadable_log_rows": "access_history",
+    "masking_policy_references": "policy_references",
+    "row_access_policy_references": "policy_references",
+}
+
+
+def raw_source(table: str) -> str:
+    """Raw table that a snapshot table is made from."""
+    return _RAW_SOURCE.get(table, table)

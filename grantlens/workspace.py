@@ -8,6 +8,7 @@ the readers.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -16,9 +17,13 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+# Tables known to be no larger than this stay plans: redoing them beats a write.
+SMALL_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class Stage:
-    """A written table and the number of rows that went into it."""
+    """A table for several readers, with its row count or an upper bound of it."""
 
     df: DataFrame
     rows: int
@@ -30,15 +35,23 @@ class Workspace:
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
         self.path = f"{(root or _checkpoint_root(spark)).rstrip('/')}/grantlens-{uuid.uuid4().hex}"
-        self._count = 0
-
-    def stage(self, df: DataFrame, name: str, partition_by: str | None = None) -> Stage:
+        self._numbers = itertools.count(1)
+
+    def stage(
+        self,
+        df: DataFrame,
+        name: str,
+        partition_by: str | None = None,
+        at_most: int | None = None,
+    ) -> Stage:
         """Write ``df`` once and return the stored table.
 
-        The row count is observed during the write, so size checks cost no job.
+        The row count is observed during the write, so size checks cost no job. With a
+        proven bound ``at_most`` that is small, the table is left a plan.
         """
-        self._count += 1
-        path = f"{self.path}/{self._count:03d}-{name}"
+        if at_most is not None and at_most <= SMALL_ROWS:
+            return Stage(df, at_most)
+        path = f"{self.path}/{next(self._numbers):03d}-{name}"
         seen = Observation()
         writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
         if partition_by:
