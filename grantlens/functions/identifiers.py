@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUOTE = '"'
-SEGMENT_BREAK = r'"\."'
+SEGMENT_BREAK = '"."'
 # A quoted part (dots allowed inside, doubled quotes escape) or a bare part.
 NAME_PART = r'("(?:[^"]|"")*"|[^.]+)'
 
@@ -50,30 +50,41 @@ def fqn(*parts: Column | str) -> Column:
     return reduce(lambda left, right: F.concat(left, F.lit("."), right), quoted)
 
 
+def _quote_bare(c: Column) -> Column:
+    """Quote every part of a dotted name without any quotes: plain text replacement."""
+    return F.concat(F.lit(QUOTE), F.replace(c, F.lit("."), F.lit(SEGMENT_BREAK)), F.lit(QUOTE))
+
+
 def quote_fqn(c: Column | str) -> Column:
     """Quote every part of an unquoted dotted name."""
-    return F.array_join(F.transform(F.split(_col(c), r"\."), _quoted), ".")
+    c = _col(c)
+    parts = F.array_join(F.transform(F.split(c, r"\."), _quoted), ".")
+    return F.when(c.contains(QUOTE), parts).otherwise(_quote_bare(c))
 
 
 def add_missing_quotes(c: Column | str) -> Column:
     """Quote the bare parts of a partly quoted dotted name; quoted parts may hold dots."""
-    parts = F.regexp_extract_all(_col(c), F.lit(NAME_PART), F.lit(1))
+    c = _col(c)
+    parts = F.regexp_extract_all(c, F.lit(NAME_PART), F.lit(1))
     quote_bare = lambda p: F.when(p.startswith(QUOTE), p).otherwise(
         F.concat(F.lit(QUOTE), p, F.lit(QUOTE))
     )
-    return F.array_join(F.transform(parts, quote_bare), ".")
+    mixed = F.array_join(F.transform(parts, quote_bare), ".")
+    return F.when(c.contains(QUOTE), mixed).otherwise(_quote_bare(c))
 
 
-def segments(c: Column | str) -> Column:
-    """Parts of a quoted FQN, without the inner quotes."""
-    return F.split(_col(c), SEGMENT_BREAK)
+def depth(c: Column | str) -> Column:
+    """Number of parts of a quoted FQN."""
+    c = _col(c)
+    rest = F.replace(c, F.lit(SEGMENT_BREAK), F.lit(""))
+    return ((F.length(c) - F.length(rest)) / len(SEGMENT_BREAK)).cast("int") + 1
 
 
 def _truncated(c: Column | str, n: int) -> Column:
-    parts = segments(c)
-    head = F.array_join(F.slice(parts, 1, n), '"."')
+    c = _col(c)
+    head = F.substring_index(c, SEGMENT_BREAK, n)
     closed = F.when(head.endswith(QUOTE), head).otherwise(F.concat(head, F.lit(QUOTE)))
-    return F.when(F.size(parts) >= n, closed)
+    return closed if n == 1 else F.when(depth(c) >= n, closed)
 
 
 def truncated_database(c: Column | str) -> Column:
@@ -93,7 +104,7 @@ def truncated_table(c: Column | str) -> Column:
 
 def extract_schema(c: Column | str) -> Column:
     """Quoted schema name alone; null for a database."""
-    return F.concat(F.lit(QUOTE), F.element_at(segments(truncated_schema(c)), -1))
+    return F.concat(F.lit(QUOTE), F.substring_index(truncated_schema(c), SEGMENT_BREAK, -1))
 
 
 def fqn_type(c: Column | str, strict: bool = False) -> Column:
@@ -102,8 +113,8 @@ def fqn_type(c: Column | str, strict: bool = False) -> Column:
     Other depths are null, or an error when ``strict``.
     """
     c = _col(c)
-    depth = F.size(segments(c))
-    kind = F.when(depth == 1, "DATABASE").when(depth == 2, "SCHEMA").when(depth == 3, "TABLE")
+    parts = depth(c)
+    kind = F.when(parts == 1, "DATABASE").when(parts == 2, "SCHEMA").when(parts == 3, "TABLE")
     if not strict:
         return kind
     message = F.concat(c, F.lit(" is not a valid fully qualified name"))

@@ -3,7 +3,8 @@
 Every log row is one query with a JSON array of the objects it touched. An object
 counts once per query, which is settled inside the row with array functions; the
 only shuffle is the final count, combined on the map side, so a table that
-everybody queries costs one row per task.
+everybody queries costs one row per task. Names are quoted after counting: quoting
+never makes two names equal, and there are far fewer counts than log entries.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from grantlens.functions.identifiers import quote_fqn
 from grantlens.workspace import Workspace
 
-ACCESSED = "array<struct<objectDomain:string,objectName:string,columns:array<struct<columnName:string>>>>"
+COLUMNS = "array<struct<columnName:string>>"
+ACCESSED = f"array<struct<objectDomain:string,objectName:string,columns:{COLUMNS}>>"
+ACCESSED_TABLES = "array<struct<objectDomain:string,objectName:string>>"
+ENTRIES = "array<struct<name:string,column:string>>"
 
 # Kinds of object whose use is counted.
 COUNTED_DOMAINS = ["Table", "View"]
@@ -22,84 +26,86 @@ COUNTED_DOMAINS = ["Table", "View"]
 TOP = 10
 
 
-def _parsed() -> Column:
-    return F.from_json("accessed", ACCESSED)
-
-
-def _counted_objects(parsed: Column) -> Column:
-    return F.filter(
-        parsed,
+def _objects(log: DataFrame, schema: str = ACCESSED) -> DataFrame:
+    """(user, unreadable, objects): the tables and views of each query."""
+    parsed = log.select("user", "accessed", F.from_json("accessed", schema).alias("parsed"))
+    counted = F.filter(
+        "parsed",
         lambda o: o["objectDomain"].isin(*COUNTED_DOMAINS) & o["objectName"].isNotNull(),
     )
+    unreadable = F.col("accessed").isNotNull() & F.col("parsed").isNull()
+    return parsed.select("user", unreadable.alias("unreadable"), counted.alias("objects"))
 
 
-def _table_names(objects: Column) -> Column:
-    return F.transform(objects, lambda o: quote_fqn(o["objectName"]))
+def _entry(name: Column, column: Column) -> Column:
+    return F.struct(name.alias("name"), column.alias("column"))
 
 
-def _column_names(objects: Column) -> Column:
-    no_columns = F.array().cast("array<struct<columnName:string>>")
+def _table_entries() -> Column:
+    return F.transform(
+        F.col("objects.objectName"), lambda name: _entry(name, F.lit(None).cast("string"))
+    )
+
 
-    def names(o: Column) -> Column:
+def _column_entries() -> Column:
+    def of(o: Column) -> Column:
         known = F.filter(
-            F.coalesce(o["columns"], no_columns), lambda c: c["columnName"].isNotNull()
-        )
-        table = quote_fqn(o["objectName"])
-        return F.transform(
-            known, lambda c: F.concat(table, F.lit("."), quote_fqn(c["columnName"]))
+            F.coalesce(o["columns"], F.array().cast(COLUMNS)),
+            lambda c: c["columnName"].isNotNull(),
         )
+        return F.transform(known, lambda c: _entry(o["objectName"], c["columnName"]))
+
+    return F.flatten(F.transform("objects", of))
 
-    return F.flatten(F.transform(objects, names))
+
+def _counted(objects: DataFrame, entries: Column) -> DataFrame:
+    """(user, name, column, usage_count): rows that hold each entry at least once."""
+    return (
+        objects.select("user", F.explode(F.array_distinct(entries)).alias("entry"))
+        .groupBy("user", F.col("entry.name").alias("name"), F.col("entry.column").alias("column"))
+        .agg(F.count(F.lit(1)).alias("usage_count"))
+    )
 
 
-_NAMES = {"table": _table_names, "column": _column_names}
+def _quoted() -> Column:
+    table = quote_fqn("name")
+    column = F.concat(table, F.lit("."), quote_fqn("column"))
+    return F.when(F.col("column").isNull(), table).otherwise(column)
 
 
 def usage_rollup(log: DataFrame, level: str) -> DataFrame:
     """(user, object, usage_count): queries per user and table, or per user and column."""
-    parsed = log.select("user", _parsed().alias("parsed"))
-    objects = parsed.select("user", _counted_objects(F.col("parsed")).alias("objects"))
-    names = F.array_distinct(_NAMES[level](F.col("objects")))
-    touched = objects.select("user", F.explode(names).alias("object"))
-    return touched.groupBy("user", "object").agg(F.count(F.lit(1)).alias("usage_count"))
+    if level == "table":
+        counts = _counted(_objects(log, ACCESSED_TABLES), _table_entries())
+    else:
+        counts = _counted(_objects(log), _column_entries())
+    return counts.select("user", _quoted().alias("object"), "usage_count")
 
 
 def unreadable_rows(log: DataFrame) -> DataFrame:
     """(user, rows): log rows whose text is not a JSON array and so were left out."""
-    bad = log.filter(F.col("accessed").isNotNull() & _parsed().isNull())
+    bad = _objects(log, ACCESSED_TABLES).filter("unreadable")
     return bad.groupBy("user").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def staged_usage(log: DataFrame, workspace: Workspace) -> dict[str, DataFrame]:
     """All rollups of the log from one scan, one JSON parse and one shuffle."""
-    parsed = log.select("user", "accessed", _parsed().alias("parsed"))
-    objects = parsed.select(
-        "user",
-        (F.col("accessed").isNotNull() & F.col("parsed").isNull()).alias("unreadable"),
-        F.coalesce(_counted_objects(F.col("parsed")), F.array().cast(ACCESSED)).alias("objects"),
-    )
-
-    def tagged(level: str, names: Column) -> Column:
-        return F.transform(
-            names, lambda name: F.struct(F.lit(level).alias("level"), name.alias("object"))
-        )
-
+    nothing = F.array().cast(ENTRIES)
+    unnamed = F.array(F.struct(F.lit(None).alias("name"), F.lit(None).alias("column")))
     entries = F.concat(
-        tagged("table", F.array_distinct(_table_names(F.col("objects")))),
-        tagged("column", F.array_distinct(_column_names(F.col("objects")))),
-        tagged(
-            "unreadable",
-            F.when(F.col("unreadable"), F.array(F.lit(""))).otherwise(
-                F.array().cast("array<string>")
-            ),
-        ),
+        F.coalesce(_table_entries(), nothing),
+        F.coalesce(_column_entries(), nothing),
+        F.when(F.col("unreadable"), unnamed.cast(ENTRIES)).otherwise(nothing),
     )
-    counted = (
-        objects.select("user", F.explode(entries).alias("entry"))
-        .groupBy(F.col("entry.level").alias("level"), "user", F.col("entry.object").alias("object"))
-        .agg(F.count(F.lit(1)).alias("usage_count"))
+    level = (
+        F.when(F.col("name").isNull(), "unreadable")
+        .when(F.col("column").isNull(), "table")
+        .otherwise("column")
+    )
+    counts = _counted(_objects(log), entries).select(
+        level.alias("level"), "user", _quoted().alias("object"), "usage_count"
     )
-    usage = workspace.stage(counted, "usage", partition_by="level").df
+    usage = workspace.stage(counts, "usage", partition_by="level").df
 
     def of(level: str) -> DataFrame:
         return usage.filter(F.col("level") == level).drop("level")

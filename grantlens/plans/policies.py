@@ -37,7 +37,8 @@ def policy_findings(policies: DataFrame, references: DataFrame | None) -> DataFr
     applied = references.select(
         kind.alias("kind"), F.col("fqn").alias("policy"), F.col("target_fqn").alias("target"), "status"
     )
-    unused = policies.select("fqn").subtract(references.select("fqn"))
+    used = references.select("fqn").distinct()
+    unused = policies.select("fqn").subtract(used)
     return applied.unionByName(named("unused", unused))
 
 

@@ -118,9 +118,8 @@ def exposed_columns(audit: Audit) -> DataFrame:
     risky = snapshot.columns.filter(kept).select("fqn", truncated_table("fqn").alias("object"))
     references = snapshot.masking_policy_references
     if references is not None:
-        masked = references.filter(F.col("status") == "ACTIVE").select(
-            F.col("target_fqn").alias("fqn")
-        )
+        active = references.filter(F.col("status") == "ACTIVE")
+        masked = active.select(F.col("target_fqn").alias("fqn")).distinct()
         risky = risky.join(masked, "fqn", "left_anti")
     wide = audit.workspace.stage(
         audit.object_user_counts.filter(F.col("n_users") > exposure_threshold(snapshot.users)),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
+from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,23 +73,24 @@ class Snapshot:
     ) -> Snapshot:
         """Normalise raw tables.
 
-        The history windows end at the given times, by default now. With a workspace
-        the access log is parsed once, for all its rollups; without one each rollup
+        The history windows end at the given times, by default now, fixed once for all
+        queries over this snapshot. With a workspace the access log is parsed once, for all its rollups; without one each rollup
         stays a lazy plan of its own.
         """
+        now = F.lit(datetime.now(UTC))
         made: dict[str, DataFrame] = {}
         for name, mapper in normalize.DIRECT.items():
             if raw.get(name) is not None:
                 made[name] = mapper(raw[name])
         if raw.get("login_history") is not None:
-            until = F.current_timestamp() if login_as_of is None else login_as_of
+            until = now if login_as_of is None else login_as_of
             made["login_history"] = normalize.login_history(raw["login_history"], until)
         if raw.get("policy_references") is not None:
             refs = raw["policy_references"]
             made["masking_policy_references"] = normalize.masking_policy_references(refs)
             made["row_access_policy_references"] = normalize.row_access_policy_references(refs)
         if raw.get("access_history") is not None:
-            until = F.current_timestamp() if access_as_of is None else access_as_of
+            until = now if access_as_of is None else access_as_of
             log = normalize.access_log(raw["access_history"], until)
             if workspace is None:
                 made["usage_tables"] = usage_rollup(log, "table")
