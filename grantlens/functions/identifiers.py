@@ -7,7 +7,6 @@ stay inside the JVM, so they fuse into the surrounding scan stage.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,13 +40,15 @@ def clean_asset_name(c: Column | str) -> Column:
 
 
 def _quoted(c: Column) -> Column:
-    return F.concat(F.lit(QUOTE), clean_asset_name(c), F.lit(QUOTE))
+    """A clean asset name in quotes."""
+    quotes = F.when(c.startswith(QUOTE), QUOTE * 2).otherwise(QUOTE)
+    return F.concat(quotes, c, quotes)
 
 
 def fqn(*parts: Column | str) -> Column:
     """Quote each part and join with dots; null when a part is null."""
-    quoted = [_quoted(_col(p)) for p in parts]
-    return reduce(lambda left, right: F.concat(left, F.lit("."), right), quoted)
+    dotted = [x for p in parts for x in (F.lit("."), _quoted(_col(p)))]
+    return F.concat(*dotted[1:])
 
 
 def _quote_bare(c: Column) -> Column:

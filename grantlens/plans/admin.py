@@ -129,14 +129,29 @@ def inactive_users(audit: Audit) -> CheckPlan:
 
 
 CHECKS = [
-    Check("c01_admin_users", "Users with Admin Roles", ("role_grants", "users"), admin_users),
-    Check("c02_backup_admin", "Backup Account Admin", ("role_grants",), backup_admin),
+    Check(
+        "c01_admin_users",
+        "Users with Admin Roles",
+        ("role_grants", "users"),
+        admin_users,
+        order=("admin_role", "user"),
+    ),
+    Check(
+        "c02_backup_admin", "Backup Account Admin", ("role_grants",), backup_admin, order=("user",)
+    ),
     Check("c04_network_policy", "Active Network Policies", ("network_policies",), network_policy),
-    Check("c05_password_only", "Password-Only Logins", ("login_history",), password_only),
+    Check(
+        "c05_password_only",
+        "Password-Only Logins",
+        ("login_history",),
+        password_only,
+        order=("user",),
+    ),
     Check(
         "c06_inactive_users",
         "Inactive Users",
         ("login_history", "users", "usage_tables"),
         inactive_users,
+        order=("reason", "user"),
     ),
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
-from threading import RLock
+from threading import Lock
 from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +33,17 @@ class CheckPlan:
 
 @dataclass(frozen=True)
 class Check:
-    """A named check. ``inputs`` are the snapshot tables its answer comes from."""
+    """A named check.
+
+    ``inputs`` are the snapshot tables its answer comes from; ``order`` names the columns
+    that sort its findings in a report, with a minus for descending.
+    """
 
     id: str
     title: str
     inputs: tuple[str, ...]
     plan: Callable[[Audit], CheckPlan]
+    order: tuple[str, ...] = ()
 
 
 def not_collected() -> CheckPlan:
@@ -69,7 +74,8 @@ class Audit:
         self.snapshot = snapshot
         self.workspace = workspace or Workspace(spark)
         self.keep = keep
-        self._lock = RLock()
+        self._guard = Lock()
+        self._locks: dict[str, Lock] = {}
         self._views: dict[str, object] = {}
         self._plans: dict[str, CheckPlan] = {}
 
@@ -83,7 +89,9 @@ class Audit:
 
     def _view(self, name: str, build: Callable[[], T]) -> T:
         """Build a shared view once, also when checks run side by side."""
-        with self._lock:
+        with self._guard:
+            lock = self._locks.setdefault(name, Lock())
+        with lock:
             if name not in self._views:
                 self._views[name] = build()
             return self._views[name]

@@ -223,19 +223,31 @@ def future_grant_coverage(audit: Audit) -> CheckPlan:
 
 CHECKS = [
     Check(
-        "c03_shadow_grants", "Shadow Future Grants", ("future_grants",), shadow_future_grants
+        "c03_shadow_grants",
+        "Shadow Future Grants",
+        ("future_grants",),
+        shadow_future_grants,
+        order=("schema", "asset_type", "role"),
+    ),
+    Check(
+        "c07_managed_schemas",
+        "Managed Access Schemas",
+        ("schemas",),
+        managed_schemas,
+        order=("schema",),
     ),
-    Check("c07_managed_schemas", "Managed Access Schemas", ("schemas",), managed_schemas),
     Check(
         "c08_inaccessible_objects",
         "Inaccessible Tables and Views",
         ("privilege_grants",),
         inaccessible_objects,
+        order=("grantee", "object"),
     ),
     Check(
         "c12_future_grant_coverage",
         "Future Grant Coverage",
         ("future_grants", "schemas", "databases"),
         future_grant_coverage,
+        order=("covered", "schema", "db"),
     ),
 ]

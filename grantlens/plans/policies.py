@@ -73,6 +73,7 @@ CHECKS = [
         partial(
             policy_check, policies="masking_policies", references="masking_policy_references"
         ),
+        order=("kind", "target", "policy"),
     ),
     Check(
         "c16_row_access_policies",
@@ -83,5 +84,6 @@ CHECKS = [
             policies="row_access_policies",
             references="row_access_policy_references",
         ),
+        order=("kind", "target", "policy"),
     ),
 ]

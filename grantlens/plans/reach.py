@@ -146,30 +146,46 @@ def sensitive_columns(audit: Audit) -> CheckPlan:
 
 
 CHECKS = [
-    Check("c09_most_used_tables", "Most-Used Tables and Views", ("usage_tables",), most_used_tables),
-    Check("c10_most_used_columns", "Most-Used Columns", ("usage_columns",), most_used_columns),
+    Check(
+        "c09_most_used_tables",
+        "Most-Used Tables and Views",
+        ("usage_tables",),
+        most_used_tables,
+        order=("ranking", "rank"),
+    ),
+    Check(
+        "c10_most_used_columns",
+        "Most-Used Columns",
+        ("usage_columns",),
+        most_used_columns,
+        order=("ranking", "rank"),
+    ),
     Check(
         "c11_least_used_tables",
         "Least-Used Tables and Views",
         ("usage_tables", "entities"),
         least_used_tables,
+        order=("usage_count", "object"),
     ),
     Check(
         "c13_most_accessible",
         "Most-Accessible Tables and Views",
         ("privilege_grants", "role_grants"),
         most_accessible,
+        order=("-n_users", "object"),
     ),
     Check(
         "c14_least_accessible",
         "Least-Accessible Tables and Views",
         ("privilege_grants", "role_grants"),
         least_accessible,
+        order=("n_users", "object"),
     ),
     Check(
         "c17_sensitive_columns",
         "Potentially Sensitive Columns",
         ("privilege_grants", "role_grants", "columns", "users"),
         sensitive_columns,
+        order=("fqn",),
     ),
 ]

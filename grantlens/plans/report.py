@@ -12,7 +12,7 @@ from grantlens.plans.check import Audit, Check
 from grantlens.plans.registry import registered_checks
 from grantlens.plans.scorecard import check_results, scorecard
 from grantlens.sources.snapshot import Snapshot
-from grantlens.workspace import Workspace
+from grantlens.workspace import Workspace, side_by_side
 
 
 def sections(results: DataFrame) -> DataFrame:
@@ -21,6 +21,16 @@ def sections(results: DataFrame) -> DataFrame:
     return results.withColumn("section", order).orderBy("section", "sort_key", "title")
 
 
+def in_order(findings: DataFrame, check: Check) -> DataFrame:
+    """Findings sorted as the check asks, by those of its columns the table has."""
+    keys = [
+        F.desc(name[1:]) if name.startswith("-") else F.asc(name)
+        for name in check.order
+        if name.lstrip("-") in findings.columns
+    ]
+    return findings.orderBy(*keys) if keys else findings
+
+
 def write_report(
     spark: SparkSession,
     snapshot: Snapshot,
@@ -46,8 +56,9 @@ def write_report(
         card = scorecard(results).withColumn(
             "fetch_error", F.lit(snapshot.fetch_error).cast("string")
         )
-        save(sections(results), "check_results")
-        save(card, "scorecard")
+        tables = {"check_results": sections(results), "scorecard": card}
         for check in chosen:
             for name, findings in audit.plan(check).findings.items():
-                save(findings, "_".join(filter(None, ["findings", check.id, name])))
+                title = "_".join(filter(None, ["findings", check.id, name]))
+                tables[title] = in_order(findings, check)
+        side_by_side(spark, lambda name: save(tables[name], name), tables)

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.functions.scoring import STATUSES, grade
 from grantlens.plans.check import Audit, Check, result_row
 from grantlens.plans.registry import registered_checks
-
-
-# Checks whose jobs may run side by side.
-CONCURRENT_CHECKS = 6
+from grantlens.workspace import side_by_side
 
 
 def check_results(audit: Audit, checks: Sequence[Check] | None = None) -> DataFrame:
@@ -25,9 +20,8 @@ def check_results(audit: Audit, checks: Sequence[Check] | None = None) -> DataFr
     Checks are independent and many of their jobs are small, so several are submitted
     at a time to keep the cluster busy.
     """
-    row = inheritable_thread_target(audit.spark)(lambda check: result_row(audit, check))
-    with ThreadPoolExecutor(CONCURRENT_CHECKS) as pool:
-        rows = list(pool.map(row, checks or registered_checks()))
+    chosen = checks or registered_checks()
+    rows = side_by_side(audit.spark, lambda check: result_row(audit, check), chosen)
     return reduce(DataFrame.unionByName, rows).orderBy("sort_key", "title")
 
 

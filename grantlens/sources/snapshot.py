@@ -14,7 +14,7 @@ from grantlens.operators.usage import staged_usage, unreadable_rows, usage_rollu
 from grantlens.sources import normalize
 from grantlens.sources.raw import RawTables
 from grantlens.sources.schemas import OPTIONAL_RAW, RAW, SNAPSHOT
-from grantlens.workspace import Workspace
+from grantlens.workspace import Workspace, side_by_side
 
 
 @dataclass(frozen=True)
@@ -102,8 +102,15 @@ class Snapshot:
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Save every collected table as a parquet folder."""
-        for name, df in self.tables().items():
-            df.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+        tables = self.tables()
+        if not tables:
+            return
+        root = path.rstrip("/")
+
+        def save(name: str) -> None:
+            tables[name].write.mode(mode).parquet(f"{root}/{name}")
+
+        side_by_side(next(iter(tables.values())).sparkSession, save, tables)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Snapshot:

@@ -11,12 +11,22 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+R = TypeVar("R")
+
+# Independent jobs submitted at a time.
+CONCURRENT_JOBS = 16
+
 # Tables known to be no larger than this stay plans: redoing them beats a write.
 SMALL_ROWS = 100_000
 
@@ -79,3 +89,10 @@ def _checkpoint_root(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local"):
         return tempfile.mkdtemp(prefix="grantlens-")
     raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+
+
+def side_by_side(spark: SparkSession, action: Callable[[T], R], items: Iterable[T]) -> list[R]:
+    """Run an action that submits jobs for several items at a time; results in order."""
+    run = inheritable_thread_target(spark)(action)
+    with ThreadPoolExecutor(CONCURRENT_JOBS) as pool:
+        return list(pool.map(run, items))

@@ -216,3 +216,22 @@ def test_schemas_match_normalisers(spark):
         expected = table(spark, name).dtypes
         assert df.dtypes == expected, name
     assert set(Snapshot.from_raw(full).tables()) == set(SNAPSHOT)
+
+
+def test_history_windows_and_columns_reach_the_scan(spark, tmp_path):
+    for name in ("access_history", "login_history", "privilege_grants"):
+        raw(spark, name).write.parquet(f"{tmp_path}/{name}")
+    snap = Snapshot.from_raw(read_raw(spark, str(tmp_path)), as_of(), as_of())
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    usage = plan(snap.usage_tables)
+    assert "GreaterThan(QUERY_START_TIME" in usage
+    assert usage.count("Exchange hashpartitioning") == 1
+    logins = plan(snap.login_history.select("user"))
+    assert "GreaterThan(EVENT_TIMESTAMP" in logins
+    assert "ReadSchema: struct<USER_NAME:string,EVENT_TIMESTAMP:timestamp>" in logins
+    grants = plan(snap.privilege_grants.filter("asset_type = 'SCHEMA'").select("grantee"))
+    assert "EqualTo(granted_on,SCHEMA)" in grants
+    assert "ReadSchema: struct<granted_on:string,granted_to:string,grantee_name:string>" in grants
