@@ -182,7 +182,7 @@ class SampleAccount:
             )
 
         homes = customer.join(geo, customer["c_nationkey"] == geo["n_nationkey"])
-        key, user, nation = F.col("c_custkey"), F.col("user"), F.col("n_name")
+        user, nation = F.col("user"), F.col("n_name")
         neighbour = F.concat(
             F.lit("NATION_"), ((F.col("n_nationkey") + 5) % NATIONS).cast("string")
         )
@@ -194,10 +194,18 @@ class SampleAccount:
         ]
         pairs = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(g).alias("g")) for r, g in fixed])
         inner = self._once.select(F.inline(pairs))
-        segment = F.concat(F.lit("SEG_"), F.col("c_mktsegment"))
+        key = F.col("c_custkey")
+        extra_roles = F.array_compact(
+            F.array(
+                F.when(key % 3 == 0, F.concat(F.lit("SEG_"), F.col("c_mktsegment"))),
+                F.when(key % 97 == 0, "ACCOUNTADMIN"),
+                F.when(key % 89 == 0, "SECURITYADMIN"),
+            )
+        )
+        extra = customer.select("user", F.explode(extra_roles).alias("extra"))
         return (
             grants(homes, nation, user, "USER")
-            .unionByName(grants(customer.filter(key % 3 == 0), segment, user, "USER"))
+            .unionByName(grants(extra, F.col("extra"), user, "USER"))
             .unionByName(grants(geo, F.col("region_read"), nation, "ROLE"))
             .unionByName(
                 grants(
@@ -208,12 +216,6 @@ class SampleAccount:
                 )
             )
             .unionByName(grants(geo.filter("n_nationkey % 4 = 0"), neighbour, nation, "ROLE"))
-            .unionByName(
-                grants(customer.filter(key % 97 == 0), _text("ACCOUNTADMIN"), user, "USER")
-            )
-            .unionByName(
-                grants(customer.filter(key % 89 == 0), _text("SECURITYADMIN"), user, "USER")
-            )
             .unionByName(grants(inner, F.col("r"), F.col("g"), "ROLE"))
         )
 
