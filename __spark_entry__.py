@@ -208,7 +208,7 @@ def _user_counts(spark: SparkSession, folder: str, plan: str = "auto") -> DataFr
     snapshot = audit.snapshot
     return access.object_user_counts(
         audit.workspace,
-        audit.object_privileges,
+        audit.reachable_grants,
         snapshot.role_grants,
         snapshot.users,
         audit.role_closure,

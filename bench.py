@@ -79,7 +79,7 @@ def main() -> None:
         def counts(plan: str) -> DataFrame:
             return access.object_user_counts(
                 workspace,
-                audit.object_privileges,
+                audit.reachable_grants,
                 snapshot.role_grants,
                 snapshot.users,
                 audit.role_closure,

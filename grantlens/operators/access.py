@@ -64,6 +64,20 @@ def reachable(privileges: DataFrame) -> DataFrame:
     return privileges.filter(F.col("has_db_permission") & F.col("has_schema_permission"))
 
 
+def reachable_grants(
+    workspace: Workspace, privileges: DataFrame, stored_rows: int | None = None
+) -> Stage:
+    """(object, role) of working privileges.
+
+    ``stored_rows`` is the size of ``privileges`` if that is a stored table, which is
+    then filtered in place instead of being written once more.
+    """
+    grants = reachable(privileges).select("object", F.col("grantee").alias("role"))
+    if stored_rows is not None:
+        return Stage(grants, stored_rows)
+    return workspace.stage(grants, "reachable")
+
+
 def user_object_access(
     workspace: Workspace, privileges: DataFrame, user_roles: DataFrame
 ) -> DataFrame:
@@ -100,7 +114,8 @@ def set_ids(rows: DataFrame, owner: str) -> DataFrame:
 def set_roles(rows: DataFrame, members: DataFrame, owner: str) -> DataFrame:
     """(set_id, weight, role): the roles of each set, read back from one owner of it.
 
-    ``weight`` is the number of owners with that set.
+    ``weight`` is the number of owners with that set. The join is on the owner, who has
+    each role once, so no key has more rows than there are roles.
     """
     samples = members.groupBy("set_id").agg(
         F.min(owner).alias(owner), F.count(F.lit(1)).alias("weight")
@@ -110,7 +125,7 @@ def set_roles(rows: DataFrame, members: DataFrame, owner: str) -> DataFrame:
 
 def object_user_counts(
     workspace: Workspace,
-    privileges: DataFrame,
+    grants: Stage,
     role_grants: DataFrame,
     users: DataFrame,
     closure: Stage,
@@ -120,11 +135,9 @@ def object_user_counts(
 
     Joining grants to users through roles repeats every user for every object. Both
     sides repeat few role sets, so equal sets are merged first, the sets are matched,
-    and counts are weighted by set size. ``plan`` forces ``profiles`` or ``bitmaps``.
+    and counts are weighted by set size. ``grants`` are ``reachable_grants``; ``plan``
+    forces ``profiles`` or ``bitmaps``.
     """
-    grants = workspace.stage(
-        reachable(privileges).select("object", F.col("grantee").alias("role")), "reachable"
-    )
     objects = workspace.stage(
         set_ids(grants.df, "object"), "object-sets", at_most=grants.rows
     )

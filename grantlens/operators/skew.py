@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ HOT_KEYS = 1024
 # Rows of a hot key, per side, that go to one task.
 SLICE_ROWS = 20_000
 
+# Slices of the left rows without a key, which match nothing but may have to be kept.
+NULL_SLICES = 4096
+
 
 def lookup_join(
     workspace: Workspace,
@@ -71,9 +77,12 @@ def balanced_join(
     marks = F.broadcast(hot.df)
     n_left = F.coalesce("left_slices", F.lit(1))
     n_right = F.coalesce("right_slices", F.lit(1)) if spread_right else F.lit(1)
+    keyless = reduce(or_, [F.col(name).isNull() for name in on])
     lefts = left.df.join(marks, on, "left").select(
         *left.df.columns,
-        _own_slice(spread_left, n_left).alias("_left_slice"),
+        _own_slice(spread_left, F.when(keyless, NULL_SLICES).otherwise(n_left)).alias(
+            "_left_slice"
+        ),
         _every_slice(n_right).alias("_right_slice"),
     )
     rights = right.df.join(marks, on, "left").withColumn(

@@ -114,19 +114,35 @@ class Audit:
 
     @property
     def object_privileges(self) -> DataFrame:
-        def build() -> DataFrame:
+        return self._privileges[0]
+
+    @property
+    def _privileges(self) -> tuple[DataFrame, int | None]:
+        """Object privileges, with their row count when they are stored."""
+
+        def build() -> tuple[DataFrame, int | None]:
             grants = self.snapshot.privilege_grants
             privileges = access.object_privileges_by_role(self.workspace, grants)
-            return self.kept(privileges, "object-privileges")
+            if not self.keep:
+                return privileges, None
+            stored = self.workspace.stage(privileges, "object-privileges")
+            return stored.df, stored.rows
 
         return self._view("object_privileges", build)
 
+    @property
+    def reachable_grants(self) -> Stage:
+        return self._view(
+            "reachable_grants",
+            lambda: access.reachable_grants(self.workspace, *self._privileges),
+        )
+
     @property
     def object_user_counts(self) -> DataFrame:
         def build() -> DataFrame:
             counts = access.object_user_counts(
                 self.workspace,
-                self.object_privileges,
+                self.reachable_grants,
                 self.snapshot.role_grants,
                 self.snapshot.users,
                 self.role_closure,

@@ -167,7 +167,8 @@ def test_counts_equal_counting_the_rows(spark, workspace, plan, seed):
     expected = rows(
         v02.groupBy("object").agg(F.count_distinct("user").alias("n")), "object", "n"
     )
-    counts = access.object_user_counts(workspace, v01, grants, users, closure, plan)
+    reached = access.reachable_grants(workspace, v01)
+    counts = access.object_user_counts(workspace, reached, grants, users, closure, plan)
     assert rows(counts, "object", "n_users") == expected
     assert counts.count() == len(expected) > 5
 
@@ -179,7 +180,8 @@ def test_one_more_grant_never_lowers_a_count(spark, workspace):
     def counts(g):
         v01 = access.object_privileges_by_role(workspace, privileges)
         closure = graph.role_closure(workspace, g)
-        found = access.object_user_counts(workspace, v01, g, users, closure)
+        reached = access.reachable_grants(workspace, v01, stored_rows=1000)
+        found = access.object_user_counts(workspace, reached, g, users, closure)
         return {r["object"]: r["n_users"] for r in found.collect()}
 
     before, after = counts(grants), counts(more)
@@ -261,6 +263,21 @@ def test_slices_spread_a_hot_key(spark, workspace):
     assert [tuple(r) for r in hot.df.collect()] == [("hot", 20, 1)]
 
 
+def test_rows_without_a_key_are_spread_and_kept(spark, workspace):
+    left = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).alias("key"),
+        F.col("id").cast("string").alias("a"),
+    )
+    right = spark.createDataFrame([("3", 1)], "key string, v int")
+    found = skew.lookup_join(
+        workspace, left, Stage(right, 1), ["key"], "left", "a",
+        broadcast_rows=0, hot_pairs=100, slice_rows=50,
+    )
+    assert found.count() == 3000
+    assert [r["a"] for r in found.filter("v = 1").collect()] == ["3"]
+    assert found.filter("key IS NULL").select("a").distinct().count() == 2000
+
+
 def test_few_keys_can_be_hot(spark, workspace):
     wide = spark.range(20_000).select(F.col("id").cast("string").alias("key"), F.col("id").alias("a"))
     stage = Stage(wide, 20_000)
