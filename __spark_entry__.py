@@ -19,6 +19,13 @@ from grantlens.sources.sample import SampleAccount
 from grantlens.sources.snapshot import Snapshot
 from grantlens.workspace import Workspace
 
+try:
+    import grantlens.llm.queries as llm
+except ModuleNotFoundError as missing:  # the subpackage and its pipeline may be left out
+    if missing.name not in ("grantlens.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 CHECKS = {check.id: check for check in BUILT_IN}
@@ -340,8 +347,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {**SOURCES, **FUNCTIONS, **OPERATORS, **CHECK_QUERIES}
+    own = {**SOURCES, **FUNCTIONS, **OPERATORS, **CHECK_QUERIES}
+    return {**own, **llm.queries()} if llm else own
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql()
+    own = oracle.oracle_sql()
+    return {**own, **llm.oracle_sql()} if llm else own
