@@ -4,17 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grantlens.llm import byte_bpe, token_counts
+from grantlens.llm import byte_bpe, quality, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The fold of a document: crc32 of its id as text, modulo the number of folds.
+HELD_OUT = 2
+
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _held_out(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == HELD_OUT
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(~_held_out(4))
+    scored = toxicity.fit(docs, labels).score(docs)
+    return scored.select(
+        "doc_id",
+        F.coalesce(_held_out(4), F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,6 +43,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_documents(spark, folder))
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,7 +58,7 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op6_token_counts, op9_byte_bpe)
+    found = (op1_toxicity, op6_token_counts, op7_quality, op9_byte_bpe)
     return {query.__name__: query for query in found}
 
 
