@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm import byte_bpe, quality, token_counts, toxicity
+from grantlens.llm import byte_bpe, licenses, quality, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,14 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, folder), shards=40)
+
+
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_documents(spark, folder))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,9 +66,9 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_toxicity, op6_token_counts, op7_quality, op9_byte_bpe)
+    found = (op1_toxicity, op2_sharding, op3_licenses, op6_token_counts, op7_quality, op9_byte_bpe)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licenses": licenses.scan_sql()}
