@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm import byte_bpe, licenses, quality, sharding, token_counts, toxicity
+from grantlens.llm import byte_bpe, language_model, licenses, near_dedup, quality, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,12 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_documents(spark, folder))
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    scored = language_model.fit(docs.filter(~_held_out(7))).score(docs)
+    return scored.withColumn("held_out", F.coalesce(_held_out(7), F.lit(False)))
+
+
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,8 +71,12 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, folder)).members
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_toxicity, op2_sharding, op3_licenses, op6_token_counts, op7_quality, op9_byte_bpe)
+    found = (op1_toxicity, op2_sharding, op3_licenses, op6_token_counts, op7_quality, op8_lm_scoring, op9_byte_bpe, op10_near_dedup)
     return {query.__name__: query for query in found}
 
 
