@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm import byte_bpe, language_model, licenses, near_dedup, quality, sharding, token_counts, toxicity
+from grantlens.llm import byte_bpe, fingerprints, language_model, licenses, near_dedup, quality, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,10 @@ def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_documents(spark, folder))
 
 
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(_documents(spark, folder))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,7 +80,7 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_toxicity, op2_sharding, op3_licenses, op6_token_counts, op7_quality, op8_lm_scoring, op9_byte_bpe, op10_near_dedup)
+    found = (op1_toxicity, op2_sharding, op3_licenses, op4_fingerprints, op6_token_counts, op7_quality, op8_lm_scoring, op9_byte_bpe, op10_near_dedup)
     return {query.__name__: query for query in found}
 
 
