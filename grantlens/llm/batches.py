@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Text bytes worked on at a time in a Python worker. Bounds the numpy scratch arrays.
 SLICE_BYTES = 2_000_000
@@ -37,7 +38,7 @@ def _offsets(array: pa.Array) -> np.ndarray:
     return whole[array.offset : array.offset + len(array) + 1]
 
 
-def map_slices(df: DataFrame, function: Slices, schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, function: Slices, schema: str | StructType, column: str = "text") -> DataFrame:
     """``mapInArrow`` with batches cut by bytes. ``function`` gets and returns one record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

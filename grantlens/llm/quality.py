@@ -269,21 +269,25 @@ class QualityModel:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """doc_id, score (0 to 1, higher: finer) and keep of every document."""
-        labels, weights, intercept = self.labels, self.weights, self.intercept
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            column = batch.column("text")
-            if weights is None:
-                score = labels.posterior(["".join("-0+"[v + 1] for v in row) for row in vote_batch(column)])
-            else:
-                row, bucket, value = hashed_batch(column)
-                margin = np.bincount(row, weights=weights[bucket] * value, minlength=batch.num_rows)
-                score = 1 / (1 + np.exp(-np.clip(margin + intercept, -500, 500)))
+            score = self.scores(batch.column("text"))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
         scored = map_slices(id_and_text(docs), run, "doc_id long, score double")
         return scored.withColumn("keep", F.col("score") >= KEEP)
 
+    def filter(self, docs: DataFrame) -> DataFrame:
+        """The documents whose score reaches ``KEEP``, with all their columns."""
+        return map_slices(docs, lambda batch: batch.filter(pa.array(self.scores(batch.column("text")) >= KEEP)), docs.schema)
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        if self.weights is None:
+            return self.labels.posterior(["".join("-0+"[v + 1] for v in row) for row in vote_batch(column)])
+        row, bucket, value = hashed_batch(column)
+        margin = np.bincount(row, weights=self.weights[bucket] * value, minlength=len(column))
+        return 1 / (1 + np.exp(-np.clip(margin + self.intercept, -500, 500)))
+
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     """Labeller accuracies from the votes on all documents; the scorer from ``rows`` of them at most."""
@@ -322,3 +326,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, score and keep of every document, by a model of the same documents."""
     return fit(docs).score(docs)
+
+
+def keep_fine(docs: DataFrame) -> DataFrame:
+    """The documents that the classifier keeps, with all their columns."""
+    return fit(docs).filter(docs)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grantlens.llm import byte_bpe, fingerprints, language_model, licenses, near_dedup, quality, sharding, token_counts, toxicity
+import corpus_pipeline
+from grantlens.llm import byte_bpe, decontamination, fingerprints, language_model, licenses, near_dedup, quality, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,10 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, folder))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,9 +85,23 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_toxicity, op2_sharding, op3_licenses, op4_fingerprints, op6_token_counts, op7_quality, op8_lm_scoring, op9_byte_bpe, op10_near_dedup)
-    return {query.__name__: query for query in found}
+    found = (
+        op1_toxicity,
+        op2_sharding,
+        op3_licenses,
+        op4_fingerprints,
+        op5_decontamination,
+        op6_token_counts,
+        op7_quality,
+        op8_lm_scoring,
+        op9_byte_bpe,
+        op10_near_dedup,
+    )
+    return {**{query.__name__: query for query in found}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licenses": licenses.scan_sql()}
+    found = {"op3_licenses": licenses.scan_sql()}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

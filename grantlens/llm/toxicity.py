@@ -22,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from grantlens.llm import text_stats
 from grantlens.llm.batches import id_and_text, map_slices, mix, shingle_sets
@@ -252,6 +253,24 @@ class ToxicityModel:
         return scored.select("doc_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("score"))
 
 
+    def keep_clean(self, docs: DataFrame) -> DataFrame:
+        """The documents that score below the threshold, with all their columns; all of them without trees."""
+        if self.trees is None:
+            return docs
+        words = self.words
+        names = [F.col(f"`{name}`") for name in docs.columns]
+        rows = docs.select(F.struct(*names).alias("row"), F.col("text").alias("text"))
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            columns = [pa.array(c) for c in feature_batch(batch.column("text"), words)]
+            return pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", *FEATURES])
+
+        schema = StructType([rows.schema["row"], *(StructField(name, DoubleType()) for name in FEATURES)])
+        raw = self.trees.transform(_assembled(map_slices(rows, run, schema)))
+        raw = raw.select("row", vector_to_array("probability")[1].alias("margin"))
+        return self.calibration.transform(raw).filter(F.col("score") < THRESHOLD).select("row.*")
+
+
 def _assembled(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
