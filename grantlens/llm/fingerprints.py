@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from grantlens.workspace import Stage, Workspace
 
-PIECE_WORDS = 12
+PIECE_WORDS = 24
 
 # Cells of a fingerprint and of the tables that digests are dealt to: three groups, one cell in each.
 CELLS = 24
@@ -96,15 +96,22 @@ def _into(cell: Column, place: Column, third: Column, entries: Column, sign: int
     )
 
 
+def _filled(entries: Column, third: Column) -> Column:
+    """The cells of a table that holds the entries."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    places = F.sequence(F.lit(0), (third * 3 - 1).cast("int"))
+    return _let(entries, lambda e: F.transform(places, lambda j: _into(empty, j, third, e, 1)))
+
+
 def table(keys: Column, third: Column, seed: Column) -> Column:
     """The cells of a table of three times ``third`` cells."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    return _let(
-        _entries(keys, third, seed),
-        lambda entries: F.transform(
-            F.sequence(F.lit(0), (third * 3 - 1).cast("int")), lambda j: _into(empty, j, third, entries, 1)
-        ),
-    )
+    return _filled(_entries(keys, third, seed), third)
+
+
+def difference_table(left: Column, right: Column, third: Column, seed: Column) -> Column:
+    """What ``subtract`` gives for the tables of two lists: the right one's digests go in with count -1."""
+    against = _entries(right, third, seed, count=lambda _: F.lit(-1))
+    return _filled(F.concat(_entries(left, third, seed), against), third)
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -130,7 +137,13 @@ def peel(cells: Column, third: Column, seed: Column) -> Column:
             entries = _entries(fresh, third, seed, lambda i: i["k"], lambda i: i["n"])
             rest = _let(
                 entries,
-                lambda e: F.transform(state["cells"], lambda c, j: _into(c, j, third, e, -1)),
+                lambda e: _let(
+                    F.flatten(F.transform(e, lambda x: x["at"])),
+                    lambda touched: F.transform(
+                        state["cells"],
+                        lambda c, j: F.when(F.array_contains(touched, j), _into(c, j, third, e, -1)).otherwise(c),
+                    ),
+                ),
             )
             return F.struct(
                 F.when(F.size(fresh) == 0, state["cells"]).otherwise(rest).alias("cells"),
@@ -159,7 +172,7 @@ def _retried(left: Column, right: Column) -> Column:
         third = (F.lit(CELLS // 3) * F.pow(F.lit(2), number - 1)).cast("int")
         return _let(
             third,
-            lambda t: peel(subtract(table(left, t, number), table(right, t, number)), t, number),
+            lambda t: peel(difference_table(left, right, t, number), t, number),
         )
 
     return F.aggregate(
