@@ -27,17 +27,18 @@ from grantlens.workspace import Stage, Workspace
 
 PIECE_WORDS = 24
 
-# Cells of a fingerprint and of the tables that digests are dealt to: three groups, one cell in each.
+# Cells of a fingerprint, and of each table that digests are dealt to: three groups, one cell in each.
 CELLS = 24
+DEALT_CELLS = 30
 
 # Digests of both texts in one table, about, where they are dealt to several.
-DEALT = 8
+DEALT = 12
 
 # Times that a table is made anew, each with twice the cells.
 TRIES = 9
 
-# Rounds of peeling; a table of n digests needs about log n.
-ROUNDS = 40
+# Rounds of peeling; tables that need more count as failed and are made anew, larger.
+ROUNDS = 12
 
 # Rows per range of ids, about, and ranges that are broadcast at most.
 RANGE_ROWS = 512
@@ -166,10 +167,11 @@ def peel(cells: Column, third: Column, seed: Column) -> Column:
 
 def _retried(left: Column, right: Column) -> Column:
     """The difference of two lists of digests by tables that grow until one peels."""
-    none = F.struct(F.lit(False).alias("ok"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+    empty = F.size(left) + F.size(right) == 0
+    none = F.struct(empty.alias("ok"), F.lit(0).alias("left"), F.lit(0).alias("right"))
 
     def attempt(number: Column) -> Column:
-        third = (F.lit(CELLS // 3) * F.pow(F.lit(2), number - 1)).cast("int")
+        third = (F.lit(DEALT_CELLS // 3) * F.pow(F.lit(2), number - 1)).cast("int")
         return _let(
             third,
             lambda t: peel(difference_table(left, right, t, number), t, number),
@@ -197,10 +199,14 @@ def _dealt(keys: Column, outer: Column, inner: Column) -> Column:
 
 def _differences(left: Column, right: Column) -> Column:
     """How many digests only the left and only the right list has, from several tables."""
-    side = F.greatest(F.lit(1), F.ceil(F.sqrt((F.size(left) + F.size(right)) / F.lit(float(DEALT))))).cast("int")
+    n = F.greatest(F.lit(1), F.ceil((F.size(left) + F.size(right)) / F.lit(float(DEALT))))
+    outer = F.ceil(F.sqrt(n)).cast("int")
+    sides = F.struct(outer.alias("outer"), F.ceil(n / outer).cast("int").alias("inner"))
     parts = _let(
-        side,
-        lambda n: F.zip_with(_dealt(left, n, n), _dealt(right, n, n), lambda a, b: _retried(a, b)),
+        sides,
+        lambda s: F.zip_with(
+            _dealt(left, s["outer"], s["inner"]), _dealt(right, s["outer"], s["inner"]), lambda a, b: _retried(a, b)
+        ),
     )
     none = F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"))
     return F.aggregate(
