@@ -15,7 +15,7 @@ from grantlens.plans.admin import ACCOUNT_ADMIN, SECURITY_ADMIN
 from grantlens.plans.check import Audit, result_row
 from grantlens.plans.registry import BUILT_IN, sql_check
 from grantlens.plans.scorecard import check_metrics, check_results, scorecard, status_counts
-from grantlens.sources.sample import SampleAccount
+from sample_account import SampleAccount
 from grantlens.sources.snapshot import Snapshot
 from grantlens.workspace import Workspace
 

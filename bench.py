@@ -21,7 +21,7 @@ from grantlens.plans.registry import BUILT_IN
 from grantlens.plans.report import write_report
 from grantlens.plans.scorecard import check_results
 from grantlens.sources.raw import read_raw
-from grantlens.sources.sample import ACCESS_AS_OF, LOGIN_AS_OF, SampleAccount
+from sample_account import ACCESS_AS_OF, LOGIN_AS_OF, SampleAccount
 from grantlens.sources.snapshot import Snapshot
 from grantlens.workspace import Workspace, side_by_side
 

@@ -98,19 +98,46 @@ def _hash_part(member: Column, start: int) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
-def set_ids(rows: DataFrame, owner: str) -> DataFrame:
-    """(owner, set_id): a name for the set of roles of each owner.
+def set_names(rows: DataFrame, owner: str) -> DataFrame:
+    """(owner, n_roles, set_id): a candidate name for the set of roles of each owner.
 
     ``rows`` is distinct (owner, role). A set is named by its size and 180 bits of an
     order-free SHA-256 fold, which is a plain aggregate combined on the map side: no
-    role list is ever gathered, however many roles one owner has.
+    role list is ever gathered, however many roles one owner has. Different sets may
+    share a name, by intent even, so names are only candidates.
     """
     parts = [F.hex(F.bit_xor(_hash_part(F.col("role"), start))) for start in (1, 16, 31)]
     return rows.groupBy(owner).agg(
-        F.concat_ws("-", F.count(F.lit(1)), *parts).alias("set_id")
+        F.count(F.lit(1)).alias("n_roles"),
+        F.concat_ws("-", F.count(F.lit(1)), *parts).alias("set_id"),
     )
 
 
+def set_ids(workspace: Workspace, rows: DataFrame, owner: str) -> Stage:
+    """(owner, set_id): equal exactly for owners with equal sets of roles.
+
+    The roles of every owner are looked up among those of one owner with the same
+    candidate name. Sets of one size that share all roles are equal; an owner whose set
+    differs gets a name of its own.
+    """
+    named = workspace.stage(set_names(rows, owner), f"{owner}-set-names")
+    samples = named.df.groupBy("set_id").agg(F.min(owner).alias(owner))
+    claimed = rows.join(named.df.select(owner, "set_id"), owner)
+    expected = workspace.stage(
+        rows.join(samples, owner).select("set_id", "role"), f"{owner}-sample-roles"
+    )
+    shared = lookup_join(
+        workspace, claimed, expected, ["set_id", "role"], "left_semi", spread=owner
+    )
+    counts = shared.groupBy(owner).agg(F.count(F.lit(1)).alias("n_shared"))
+    same = F.col("n_shared").eqNullSafe(F.col("n_roles"))
+    own_name = F.concat_ws("#", "set_id", owner)
+    exact = named.df.join(counts, owner, "left").select(
+        owner, F.when(same, F.col("set_id")).otherwise(own_name).alias("set_id")
+    )
+    return workspace.stage(exact, f"{owner}-sets", at_most=named.rows)
+
+
 def set_roles(rows: DataFrame, members: DataFrame, owner: str) -> DataFrame:
     """(set_id, weight, role): the roles of each set, read back from one owner of it.
 
@@ -138,9 +165,7 @@ def object_user_counts(
     and counts are weighted by set size. ``grants`` are ``reachable_grants``; ``plan``
     forces ``profiles`` or ``bitmaps``.
     """
-    objects = workspace.stage(
-        set_ids(grants.df, "object"), "object-sets", at_most=grants.rows
-    )
+    objects = set_ids(workspace, grants.df, "object")
     asking = workspace.stage(set_roles(grants.df, objects.df, "object"), "asking-sets")
 
     # (held_by, role): holding the first gives the second, which some object asks for.
@@ -156,7 +181,7 @@ def object_user_counts(
         workspace, direct_roles(role_grants), useful, ["role"], "left_semi", spread="user"
     )
     held = workspace.stage(direct.join(active_names(users), "user", "left_semi"), "held-roles")
-    people = workspace.stage(set_ids(held.df, "user"), "user-sets", at_most=held.rows)
+    people = set_ids(workspace, held.df, "user")
     profiles = workspace.stage(
         set_roles(held.df, people.df, "user").withColumnRenamed("role", "held_by"),
         "profiles",

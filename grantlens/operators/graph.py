@@ -76,20 +76,33 @@ def user_roles(
 
 
 def role_members(
-    workspace: Workspace, role_grants: DataFrame, roots: Sequence[str], closure: Stage
+    workspace: Workspace, role_grants: DataFrame, roots: Sequence[str]
 ) -> DataFrame:
-    """(root, user): users, disabled ones too, that hold each root role in any way."""
+    """(root, user): users, disabled ones too, that hold each root role in any way.
+
+    The graph is followed from the roots only, a round per step, and new pairs only.
+    """
     spark: SparkSession = workspace.spark
     itself = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("root"))
-    through = closure.df.filter(F.col("role").isin(*roots)).select(
-        F.col("role").alias("root"), F.col("held_by").alias("role")
+    edges = workspace.stage(
+        role_edges(role_grants)
+        .filter(F.col("dst_type") == ROLE)
+        .select(F.col("src").alias("role"), F.col("dst").alias("carrier")),
+        "role-edges",
+    )
+    known = fresh = workspace.stage(
+        itself.distinct().withColumn("role", F.col("root")), "carriers", at_most=len(roots)
     )
-    carriers = itself.withColumn("role", F.col("root")).unionByName(through).distinct()
+    while fresh.rows > 0:
+        onward = balanced_join(workspace, fresh, edges, ["role"], "inner", "root", "carrier")
+        found = onward.select("root", F.col("carrier").alias("role")).distinct()
+        fresh = workspace.stage(found.join(known.df, ["root", "role"], "left_anti"), "carriers")
+        known = Stage(known.df.unionByName(fresh.df), known.rows + fresh.rows)
     # One row per carrying role, so the grants side can be looked up without fan-out.
     by_role = workspace.stage(
-        carriers.groupBy("role").agg(F.collect_set("root").alias("roots")),
+        known.df.groupBy("role").agg(F.collect_set("root").alias("roots")),
         "carriers",
-        at_most=len(roots) + closure.rows,
+        at_most=known.rows,
     )
     held = lookup_join(
         workspace, direct_roles(role_grants), by_role, ["role"], "inner", spread="user"

@@ -16,9 +16,6 @@ BROADCAST_ROWS = 100_000
 # Work (left rows times right rows) of one key that a single task may take on.
 HOT_PAIRS = 100_000_000
 
-# At most this many keys are split: a key must hold 1/HOT_KEYS of all the work.
-HOT_KEYS = 1024
-
 # Rows of a hot key, per side, that go to one task.
 SLICE_ROWS = 20_000
 
@@ -74,7 +71,8 @@ def balanced_join(
     if hot.rows == 0:
         return left.df.join(right.df, on, how)
 
-    marks = F.broadcast(hot.df)
+    # Many hot keys are joined by a shuffle; each key has one mark, so nothing is repeated.
+    marks = F.broadcast(hot.df) if hot.rows <= BROADCAST_ROWS else hot.df
     n_left = F.coalesce("left_slices", F.lit(1))
     n_right = F.coalesce("right_slices", F.lit(1)) if spread_right else F.lit(1)
     keyless = reduce(or_, [F.col(name).isNull() for name in on])
@@ -111,11 +109,7 @@ def _hot_keys(
     hot_pairs: int,
     slice_rows: int,
 ) -> Stage:
-    """Keys too large for one task, with their slice counts.
-
-    A key qualifies with at least 1/HOT_KEYS of all pairs, so there are never more
-    than HOT_KEYS of them and the result can always be broadcast.
-    """
+    """Keys too large for one task, with their slice counts."""
     lefts = left.df.groupBy(on).agg(F.count(F.lit(1)).alias("left_rows"))
     rights = right.df.groupBy(on).agg(F.count(F.lit(1)).alias("right_rows"))
     sized = lefts.join(rights, on, "full").select(
@@ -127,8 +121,7 @@ def _hot_keys(
         sized.withColumn("pairs", F.col("left_rows").cast("double") * F.col("right_rows")),
         "key-sizes",
     ).df
-    share = sizes.agg(F.sum("pairs") / HOT_KEYS).scalar()
-    hot = sizes.filter(F.col("pairs") >= F.greatest(F.lit(float(hot_pairs)), share))
+    hot = sizes.filter(F.col("pairs") >= hot_pairs)
     return workspace.stage(
         hot.select(
             *on,

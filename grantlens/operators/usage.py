@@ -1,10 +1,9 @@
 """Rollups of the access log.
 
 Every log row is one query with a JSON array of the objects it touched. An object
-counts once per query, which is settled inside the row with array functions; the
-only shuffle is the final count, combined on the map side, so a table that
-everybody queries costs one row per task. Names are quoted after counting: quoting
-never makes two names equal, and there are far fewer counts than log entries.
+counts once per query, under its quoted name, which is settled inside the row with
+array functions; the only shuffle is the final count, combined on the map side, so a
+table that everybody queries costs one row per task.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from grantlens.workspace import Workspace
 COLUMNS = "array<struct<columnName:string>>"
 ACCESSED = f"array<struct<objectDomain:string,objectName:string,columns:{COLUMNS}>>"
 ACCESSED_TABLES = "array<struct<objectDomain:string,objectName:string>>"
-ENTRIES = "array<struct<name:string,column:string>>"
+ENTRIES = "array<struct<level:string,object:string>>"
 
 # Kinds of object whose use is counted.
 COUNTED_DOMAINS = ["Table", "View"]
@@ -26,25 +25,34 @@ COUNTED_DOMAINS = ["Table", "View"]
 TOP = 10
 
 
+def _nameless(entry: Column, schema: str) -> Column:
+    """Whether an entry that counts lacks the name of its object or of one of its columns."""
+    missing = entry["objectName"].isNull()
+    if schema == ACCESSED:
+        columns = F.coalesce(entry["columns"], F.array().cast(COLUMNS))
+        missing = missing | F.exists(columns, lambda c: c["columnName"].isNull())
+    return F.coalesce(entry["objectDomain"].isin(*COUNTED_DOMAINS), F.lit(False)) & missing
+
+
 def _objects(log: DataFrame, schema: str = ACCESSED) -> DataFrame:
-    """(user, unreadable, objects): the tables and views of each query."""
+    """(user, unreadable, objects): the tables and views of each query, and whether anything is left out."""
     parsed = log.select("user", "accessed", F.from_json("accessed", schema).alias("parsed"))
     counted = F.filter(
         "parsed",
         lambda o: o["objectDomain"].isin(*COUNTED_DOMAINS) & o["objectName"].isNotNull(),
     )
-    unreadable = F.col("accessed").isNotNull() & F.col("parsed").isNull()
+    unreadable = F.col("accessed").isNotNull() & (
+        F.col("parsed").isNull() | F.exists("parsed", lambda o: _nameless(o, schema))
+    )
     return parsed.select("user", unreadable.alias("unreadable"), counted.alias("objects"))
 
 
-def _entry(name: Column, column: Column) -> Column:
-    return F.struct(name.alias("name"), column.alias("column"))
+def _entry(level: str, name: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), name.alias("object"))
 
 
 def _table_entries() -> Column:
-    return F.transform(
-        F.col("objects.objectName"), lambda name: _entry(name, F.lit(None).cast("string"))
-    )
+    return F.transform(F.col("objects.objectName"), lambda name: _entry("table", quote_fqn(name)))
 
 
 def _column_entries() -> Column:
@@ -53,58 +61,49 @@ def _column_entries() -> Column:
             F.coalesce(o["columns"], F.array().cast(COLUMNS)),
             lambda c: c["columnName"].isNotNull(),
         )
-        return F.transform(known, lambda c: _entry(o["objectName"], c["columnName"]))
+        table = quote_fqn(o["objectName"])
+        return F.transform(
+            known,
+            lambda c: _entry("column", F.concat(table, F.lit("."), quote_fqn(c["columnName"]))),
+        )
 
     return F.flatten(F.transform("objects", of))
 
 
 def _counted(objects: DataFrame, entries: Column) -> DataFrame:
-    """(user, name, column, usage_count): rows that hold each entry at least once."""
+    """(level, user, object, usage_count): rows that hold each entry at least once."""
     return (
         objects.select("user", F.explode(F.array_distinct(entries)).alias("entry"))
-        .groupBy("user", F.col("entry.name").alias("name"), F.col("entry.column").alias("column"))
+        .groupBy(F.col("entry.level").alias("level"), "user", F.col("entry.object").alias("object"))
         .agg(F.count(F.lit(1)).alias("usage_count"))
     )
 
 
-def _quoted() -> Column:
-    table = quote_fqn("name")
-    column = F.concat(table, F.lit("."), quote_fqn("column"))
-    return F.when(F.col("column").isNull(), table).otherwise(column)
-
-
 def usage_rollup(log: DataFrame, level: str) -> DataFrame:
     """(user, object, usage_count): queries per user and table, or per user and column."""
     if level == "table":
         counts = _counted(_objects(log, ACCESSED_TABLES), _table_entries())
     else:
         counts = _counted(_objects(log), _column_entries())
-    return counts.select("user", _quoted().alias("object"), "usage_count")
+    return counts.select("user", "object", "usage_count")
 
 
 def unreadable_rows(log: DataFrame) -> DataFrame:
-    """(user, rows): log rows whose text is not a JSON array and so were left out."""
-    bad = _objects(log, ACCESSED_TABLES).filter("unreadable")
+    """(user, rows): log rows that are no JSON array, or have entries without names, which do not count."""
+    bad = _objects(log).filter("unreadable")
     return bad.groupBy("user").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def staged_usage(log: DataFrame, workspace: Workspace) -> dict[str, DataFrame]:
     """All rollups of the log from one scan, one JSON parse and one shuffle."""
     nothing = F.array().cast(ENTRIES)
-    unnamed = F.array(F.struct(F.lit(None).alias("name"), F.lit(None).alias("column")))
+    bad = F.array(_entry("unreadable", F.lit(None).cast("string")))
     entries = F.concat(
         F.coalesce(_table_entries(), nothing),
         F.coalesce(_column_entries(), nothing),
-        F.when(F.col("unreadable"), unnamed.cast(ENTRIES)).otherwise(nothing),
-    )
-    level = (
-        F.when(F.col("name").isNull(), "unreadable")
-        .when(F.col("column").isNull(), "table")
-        .otherwise("column")
-    )
-    counts = _counted(_objects(log), entries).select(
-        level.alias("level"), "user", _quoted().alias("object"), "usage_count"
+        F.when(F.col("unreadable"), bad).otherwise(nothing),
     )
+    counts = _counted(_objects(log), entries)
     usage = workspace.stage(counts, "usage", partition_by="level").df
 
     def of(level: str) -> DataFrame:

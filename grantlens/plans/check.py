@@ -59,8 +59,8 @@ def information() -> CheckPlan:
 class Audit:
     """One snapshot with the views that several checks share, each built once.
 
-    With ``keep`` set, findings are written to the workspace as well, so that metrics
-    and reports read them back instead of computing them again.
+    Unless ``keep`` is off, usage and findings are written to the workspace too, so that
+    the logs are read once, and metrics and reports read findings back.
     """
 
     def __init__(
@@ -68,10 +68,10 @@ class Audit:
         spark: SparkSession,
         snapshot: Snapshot,
         workspace: Workspace | None = None,
-        keep: bool = False,
+        keep: bool = True,
     ) -> None:
         self.spark = spark
-        self.snapshot = snapshot
+        self._given = snapshot
         self.workspace = workspace or Workspace(spark)
         self.keep = keep
         self._guard = Lock()
@@ -96,6 +96,12 @@ class Audit:
                 self._views[name] = build()
             return self._views[name]
 
+    @property
+    def snapshot(self) -> Snapshot:
+        if not self.keep:
+            return self._given
+        return self._view("snapshot", lambda: self._given.staged(self.workspace))
+
     @property
     def role_closure(self) -> Stage:
         return self._view(
@@ -152,9 +158,7 @@ class Audit:
         return self._view("object_user_counts", build)
 
     def role_members(self, *roots: str) -> DataFrame:
-        return graph.role_members(
-            self.workspace, self.snapshot.role_grants, roots, self.role_closure
-        )
+        return graph.role_members(self.workspace, self.snapshot.role_grants, roots)
 
 
 def count_of(df: DataFrame) -> Column:

@@ -30,7 +30,6 @@ from grantlens.plans.check import (
 # Score rules of the sensitive column check.
 EXPOSED = 0.89
 MIN_THRESHOLD = 3
-SHOWN = 50
 
 
 def _insight(findings: DataFrame, metrics: dict[str, Column] | None = None) -> CheckPlan:
@@ -141,7 +140,7 @@ def sensitive_columns(audit: Audit) -> CheckPlan:
             "threshold": exposure_threshold(audit.snapshot.users),
             "n_active": active_users(audit.snapshot.users),
         },
-        {"": exposed.orderBy("fqn").limit(SHOWN)},
+        {"": exposed},
     )
 
 

@@ -120,8 +120,9 @@ def policies(raw: DataFrame) -> DataFrame:
 
 
 def login_history(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Logins of the seven days before ``as_of``."""
-    recent = raw.filter(F.col("EVENT_TIMESTAMP") > as_of - F.expr(LOGIN_WINDOW))
+    """Logins of the seven days up to ``as_of``."""
+    time = F.col("EVENT_TIMESTAMP")
+    recent = raw.filter((time > as_of - F.expr(LOGIN_WINDOW)) & (time <= as_of))
     return recent.select(
         clean_identifier("USER_NAME").alias("user"),
         F.col("FIRST_AUTHENTICATION_FACTOR").alias("first_authentication_factor"),
@@ -132,8 +133,9 @@ def login_history(raw: DataFrame, as_of: Column) -> DataFrame:
 
 
 def access_log(raw: DataFrame, as_of: Column) -> DataFrame:
-    """Access log rows of the ninety days before ``as_of``, JSON still unparsed."""
-    recent = raw.filter(F.col("QUERY_START_TIME") > as_of - F.expr(ACCESS_WINDOW))
+    """Access log rows of the ninety days up to ``as_of``, JSON still unparsed."""
+    time = F.col("QUERY_START_TIME")
+    recent = raw.filter((time > as_of - F.expr(ACCESS_WINDOW)) & (time <= as_of))
     return recent.select(
         clean_identifier("USER_NAME").alias("user"),
         F.col("DIRECT_OBJECTS_ACCESSED").alias("accessed"),

@@ -12,6 +12,21 @@ from grantlens.sources.schemas import OPTIONAL_RAW, RAW
 
 RawTables = dict[str, DataFrame | None]
 
+# Error conditions of Spark for tables that do not exist.
+ABSENT = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+
+# How sources name tables that do not exist or that the reader has no right to.
+REFUSALS = (
+    "does not exist",
+    "not found",
+    "no such table",
+    "not authorized",
+    "permission",
+    "privilege",
+    "access denied",
+    "accesscontrol",
+)
+
 
 def read_raw(
     spark: SparkSession,
@@ -36,21 +51,23 @@ def read_raw(
 
 
 def _unless_absent(name: str, read: Callable[[], DataFrame]) -> DataFrame | None:
-    """None for a table that does not exist, or an optional one that cannot be opened."""
+    """None for a table that does not exist, or an optional one that may not be read."""
     try:
         return read()
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
-            return None
-        if name in OPTIONAL_RAW:
+    except (PySparkException, Py4JJavaError) as error:
+        if isinstance(error, AnalysisException) and error.getCondition() in ABSENT:
             return None
-        raise
-    except (PySparkException, Py4JJavaError):
-        if name in OPTIONAL_RAW:
+        if name in OPTIONAL_RAW and _refused(error):
             return None
         raise
 
 
+def _refused(error: Exception) -> bool:
+    """Whether the source says that the table is not there or not allowed, in its own words."""
+    words = str(error).lower()
+    return any(word in words for word in REFUSALS)
+
+
 def read_raw_jdbc(
     spark: SparkSession,
     url: str,

@@ -6,7 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ class Snapshot:
     row_access_policy_references: DataFrame | None = None
     network_policies: DataFrame | None = None
     fetch_error: str | None = None
+    # The access log behind usage tables that are still plans over it.
+    access_log: DataFrame | None = None
 
     @property
     def has_data(self) -> bool:
@@ -74,8 +77,8 @@ class Snapshot:
         """Normalise raw tables.
 
         The history windows end at the given times, by default now, fixed once for all
-        queries over this snapshot. With a workspace the access log is parsed once, for all its rollups; without one each rollup
-        stays a lazy plan of its own.
+        queries over this snapshot. With a workspace the logs are read once; without one
+        they stay plans until ``staged`` or ``write``.
         """
         now = F.lit(datetime.now(UTC))
         made: dict[str, DataFrame] = {}
@@ -92,25 +95,34 @@ class Snapshot:
         if raw.get("access_history") is not None:
             until = now if access_as_of is None else access_as_of
             log = normalize.access_log(raw["access_history"], until)
-            if workspace is None:
-                made["usage_tables"] = usage_rollup(log, "table")
-                made["usage_columns"] = usage_rollup(log, "column")
-                made["unreadable_log_rows"] = unreadable_rows(log)
-            else:
-                made |= staged_usage(log, workspace)
-        return cls(**made)
+            made["usage_tables"] = usage_rollup(log, "table")
+            made["usage_columns"] = usage_rollup(log, "column")
+            made["unreadable_log_rows"] = unreadable_rows(log)
+            made["access_log"] = log
+        lazy = cls(**made)
+        return lazy if workspace is None else lazy.staged(workspace)
+
+    def staged(self, workspace: Workspace) -> Snapshot:
+        """The same snapshot with its usage stored, from one scan and one parse of the access log."""
+        if self.access_log is None:
+            return self
+        usage = staged_usage(self.access_log, workspace)
+        wanted = {name: df for name, df in usage.items() if getattr(self, name) is not None}
+        return replace(self, **wanted, access_log=None)
 
     def write(self, path: str, mode: str = "errorifexists") -> None:
-        """Save every collected table as a parquet folder."""
-        tables = self.tables()
-        if not tables:
+        """Save every collected table as a parquet folder; the access log is read once."""
+        if not self.tables():
             return
+        spark = next(iter(self.tables().values())).sparkSession
         root = path.rstrip("/")
+        with Workspace(spark) as workspace:
+            tables = self.staged(workspace).tables()
 
-        def save(name: str) -> None:
-            tables[name].write.mode(mode).parquet(f"{root}/{name}")
+            def save(name: str) -> None:
+                tables[name].write.mode(mode).parquet(f"{root}/{name}")
 
-        side_by_side(next(iter(tables.values())).sparkSession, save, tables)
+            side_by_side(spark, save, tables)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Snapshot:
@@ -129,7 +141,7 @@ class Snapshot:
         return replace(self, **dict.fromkeys(names))
 
 
-assert [f.name for f in fields(Snapshot)] == [*SNAPSHOT, "fetch_error"]
+assert [f.name for f in fields(Snapshot)] == [*SNAPSHOT, "fetch_error", "access_log"]
 
 
 def load_snapshot(
@@ -140,14 +152,15 @@ def load_snapshot(
 ) -> Snapshot:
     """Read and normalise an account, tolerating only the optional tables to be missing.
 
-    Any other failure gives an empty snapshot that carries the error, so an audit
-    still runs and reports every check as unknown.
+    A source that cannot be opened, or lacks another table, gives an empty snapshot that
+    carries the error, so an audit still runs and reports every check as unknown. A job
+    that fails later fails the audit.
     """
     try:
         raw = reader()
         missing = sorted(n for n in RAW if n not in OPTIONAL_RAW and raw.get(n) is None)
         if missing:
-            raise ValueError(f"missing tables: {', '.join(missing)}")
-        return Snapshot.from_raw(raw, login_as_of, access_as_of, workspace)
-    except Exception as error:  # noqa: BLE001
+            raise FileNotFoundError(f"missing tables: {', '.join(missing)}")
+    except (PySparkException, Py4JJavaError, OSError) as error:
         return Snapshot(fetch_error=f"Unable to read the account: {error}")
+    return Snapshot.from_raw(raw, login_as_of, access_as_of, workspace)

@@ -9,7 +9,6 @@ the readers.
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
@@ -44,8 +43,12 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark = spark
-        self.path = f"{(root or _checkpoint_root(spark)).rstrip('/')}/grantlens-{uuid.uuid4().hex}"
+        self.path = f"{(root or _shared_root(spark)).rstrip('/')}/grantlens-{uuid.uuid4().hex}"
         self._numbers = itertools.count(1)
+        # What nobody closes goes when the driver ends.
+        path, fs = self._location()
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
     def stage(
         self,
@@ -69,10 +72,13 @@ class Workspace:
         writer.parquet(path)
         return Stage(self.spark.read.schema(df.schema).parquet(path), seen.get["rows"])
 
+    def _location(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def close(self) -> None:
         """Drop the staged tables; call once nothing lazy reads them any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path, fs = self._location()
         fs.delete(path, True)
 
     def __enter__(self) -> Workspace:
@@ -82,13 +88,12 @@ class Workspace:
         self.close()
 
 
-def _checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="grantlens-")
-    raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+def _shared_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or else the warehouse.
+
+    Both are shared by the driver and all executors, unlike a temporary folder.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def side_by_side(spark: SparkSession, action: Callable[[T], R], items: Iterable[T]) -> list[R]:

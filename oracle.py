@@ -16,7 +16,7 @@ CTES = {
     "parts": """SELECT p_partkey AS p, db, n_name AS sch, 'T_' || p_partkey AS name,
         CASE p_type WHEN 'PROMO' THEN 'VIEW' WHEN 'LARGE' THEN 'STAGE' ELSE 'TABLE' END AS kind,
         '"' || db || '"."' || n_name || '"."T_' || p_partkey || '"' AS obj
-        FROM part JOIN geo ON p_partkey % 25 = n""",
+        FROM part JOIN geo ON p_partkey % (SELECT count(*) FROM nation) = n""",
     "t_databases": """SELECT db AS name, 'SYSADMIN' AS owner, '"' || db || '"' AS fqn FROM reg
         UNION ALL SELECT 'SNOWFLAKE', '', '"SNOWFLAKE"' FROM reg WHERE r = 0""",
     "t_schemas": """SELECT n_name AS name, db AS "database", 'SYSADMIN' AS owner,
@@ -35,7 +35,7 @@ CTES = {
         FROM parts CROSS JOIN column_names WHERE (p + i) % 3 <> 0""",
     "t_columns": """SELECT col AS name, db AS "database", sch AS "schema", name AS "table",
         obj || '."' || col || '"' AS fqn FROM part_columns""",
-    "t_users": """SELECT c_name AS name, c_acctbal < 0 AS disabled, 'USERADMIN' AS owner,
+    "t_users": """SELECT CASE WHEN c_custkey % 500 = 7 THEN 'SNOWFLAKE' ELSE c_name END AS name, c_acctbal < 0 AS disabled, 'USERADMIN' AS owner,
         strftime(TIMESTAMP '2024-01-01' + to_seconds(c_custkey), '%Y-%m-%d %H:%M:%S')
           AS last_successful_login,
         c_mktsegment <> 'MACHINERY' AS has_password FROM customer""",
@@ -45,71 +45,83 @@ CTES = {
           WHERE c_custkey % 3 = 0
         UNION ALL SELECT region_read, n_name, 'ROLE' FROM geo
         UNION ALL SELECT 'GLOBAL_READ', region_read, 'ROLE' FROM reg WHERE r % 2 = 0
-        UNION ALL SELECT 'NATION_' || ((n + 5) % 25), n_name, 'ROLE' FROM geo WHERE n % 4 = 0
+        UNION ALL SELECT 'NATION_' || ((n + 5) % (SELECT count(*) FROM nation)), n_name, 'ROLE' FROM geo WHERE n % 4 = 0
         UNION ALL SELECT 'ACCOUNTADMIN', c_name, 'USER' FROM customer WHERE c_custkey % 97 = 0
         UNION ALL SELECT 'SECURITYADMIN', c_name, 'USER' FROM customer WHERE c_custkey % 89 = 0
         UNION ALL SELECT * FROM (VALUES ('SECURITYADMIN', 'ACCOUNTADMIN', 'ROLE'),
           ('CYCLE_A', 'CYCLE_B', 'ROLE'), ('CYCLE_B', 'CYCLE_A', 'ROLE'),
           ('CYCLE_A', 'NATION_3', 'ROLE')) AS v(role, grantee, grantee_type)""",
-    "object_grants": """SELECT DISTINCT obj AS asset, kind AS asset_type, g.n_name AS grantee,
+    "object_grants": """SELECT DISTINCT obj AS asset, kind AS asset_type,
+        CASE WHEN p % 90 = 4 AND l_returnflag = 'R' THEN ''
+          WHEN p % 90 = 5 AND l_returnflag = 'R' THEN 'ACCOUNTADMIN' ELSE g.n_name END AS grantee,
         CASE l_returnflag WHEN 'A' THEN 'SELECT' WHEN 'N' THEN 'INSERT' ELSE 'UPDATE' END
           AS privilege
         FROM lineitem JOIN parts ON l_partkey = p JOIN supplier ON l_suppkey = s_suppkey
-        JOIN geo AS g ON s_nationkey = g.n WHERE l_linenumber = 1""",
-    "schema_grants": """SELECT '"' || m.db || '"."' || m.n_name || '"' AS asset,
-        'SCHEMA' AS asset_type, g.n_name AS grantee, 'USAGE' AS privilege
-        FROM geo AS m JOIN geo AS g ON (m.n * 7 + g.n) % 3 <> 0
-        UNION ALL SELECT '"' || db || '"."' || n_name || '"', 'SCHEMA', n_name, 'MONITOR'
-        FROM geo""",
-    "database_grants": """SELECT '"' || reg.db || '"' AS asset, 'DATABASE' AS asset_type,
-        g.n_name AS grantee, 'USAGE' AS privilege
-        FROM reg JOIN geo AS g ON (reg.r + g.n) % 4 <> 0""",
+        JOIN geo AS g ON s_nationkey = g.n""",
+    "dealings": """SELECT DISTINCT c_nationkey AS buyer, s_nationkey AS seller FROM lineitem
+        JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+        JOIN supplier ON l_suppkey = s_suppkey""",
+    "geo_grantees": """SELECT m.*, g.n AS gn, g.n_name AS grantee FROM geo AS m
+        JOIN dealings ON m.n = buyer JOIN geo AS g ON seller = g.n""",
+    "reg_grantees": """SELECT DISTINCT reg.r, reg.db, g.n AS gn, g.n_name AS grantee FROM reg
+        JOIN geo AS m ON m.r = reg.r JOIN dealings ON m.n = buyer JOIN geo AS g ON seller = g.n""",
+    "schema_grants": """SELECT '"' || db || '"."' || n_name || '"' AS asset,
+        'SCHEMA' AS asset_type, grantee, 'USAGE' AS privilege
+        FROM geo_grantees WHERE (n * 7 + gn) % 3 <> 0
+        UNION ALL SELECT '"' || db || '"."' || n_name || '"', 'SCHEMA', grantee, 'MONITOR'
+        FROM geo_grantees WHERE n = gn""",
+    "database_grants": """SELECT '"' || db || '"' AS asset, 'DATABASE' AS asset_type,
+        grantee, 'USAGE' AS privilege FROM reg_grantees WHERE (r + gn) % 4 <> 0""",
     "t_privilege_grants": """SELECT * FROM object_grants UNION ALL SELECT * FROM schema_grants
         UNION ALL SELECT * FROM database_grants""",
     "t_future_grants": """SELECT target, asset_type, grantee, set_on FROM (
-        SELECT reg.db || '.<TABLE>' AS target, 'TABLE' AS asset_type, g.n_name AS grantee,
-          '"' || reg.db || '"' AS set_on FROM reg JOIN geo AS g
-          ON reg.r <> 3 AND (reg.r * 3 + g.n) % 7 = 0
-        UNION ALL SELECT reg.db || '.<SCHEMA>', 'SCHEMA', g.n_name, '"' || reg.db || '"'
-          FROM reg JOIN geo AS g ON reg.r % 2 = 0 AND g.n % 9 = 0
-        UNION ALL SELECT reg.db || '.<VIEW>', 'VIEW', g.n_name, '"' || reg.db || '"'
-          FROM reg JOIN geo AS g ON reg.r = 1 AND g.n % 5 = 0
-        UNION ALL SELECT m.db || '.' || m.n_name || '.<TABLE>', 'TABLE', g.n_name,
-          '"' || m.db || '"."' || m.n_name || '"'
-          FROM geo AS m JOIN geo AS g ON m.n % 3 = 0 AND (m.n + g.n) % 6 = 0)""",
-    "t_masking_policies": """SELECT 'MP_' || i AS name, db AS "database", 'NATION_0' AS "schema",
-        'SYSADMIN' AS owner, '"' || db || '"."NATION_0"."MP_' || i || '"' AS fqn
-        FROM reg CROSS JOIN range(12) AS t(i) WHERE r = 0""",
-    "t_row_access_policies": """SELECT 'RP_' || i AS name, db AS "database",
+        SELECT db || '.<TABLE>' AS target, 'TABLE' AS asset_type, grantee,
+          '"' || db || '"' AS set_on FROM reg_grantees WHERE r <> 3 AND (r * 3 + gn) % 7 = 0
+        UNION ALL SELECT db || '.<SCHEMA>', 'SCHEMA', grantee, '"' || db || '"'
+          FROM reg_grantees WHERE r % 2 = 0 AND gn % 9 = 0
+        UNION ALL SELECT db || '.<VIEW>', 'VIEW', grantee, '"' || db || '"'
+          FROM reg_grantees WHERE r = 1 AND gn % 5 = 0
+        UNION ALL SELECT db || '.' || n_name || '.<TABLE>', 'TABLE', grantee,
+          '"' || db || '"."' || n_name || '"'
+          FROM geo_grantees WHERE n % 3 = 0 AND (n + gn) % 6 = 0)""",
+    "t_masking_policies": """SELECT 'MP_' || (p_partkey // 30) AS name, 'DB_AFRICA' AS "database",
         'NATION_0' AS "schema", 'SYSADMIN' AS owner,
-        '"' || db || '"."NATION_0"."RP_' || i || '"' AS fqn
-        FROM reg CROSS JOIN range(5) AS t(i) WHERE r = 0""",
-    "t_masking_refs": """SELECT 'MP_' || (p // 40 % 10) AS name, 'DB_AFRICA' AS "database",
+        '"DB_AFRICA"."NATION_0"."MP_' || (p_partkey // 30) || '"' AS fqn
+        FROM part WHERE p_partkey % 30 = 0""",
+    "t_row_access_policies": """SELECT 'RP_' || (p_partkey // 80) AS name,
+        'DB_AFRICA' AS "database", 'NATION_0' AS "schema", 'SYSADMIN' AS owner,
+        '"DB_AFRICA"."NATION_0"."RP_' || (p_partkey // 80) || '"' AS fqn
+        FROM part WHERE p_partkey % 80 = 0""",
+    "t_network_policies": """SELECT 'NP_' || s_suppkey AS name FROM supplier
+        WHERE s_suppkey % 5 = 0""",
+    "t_masking_refs": """SELECT 'MP_' || (p // 40) AS name, 'DB_AFRICA' AS "database",
         'NATION_0' AS "schema", p AS policy_id, obj || '."email"' AS target_fqn,
         CASE WHEN p % 80 = 0 THEN '"DB_AFRICA"."NATION_0"."PII"' END AS tag_fqn,
         CASE WHEN p % 200 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status,
-        '"DB_AFRICA"."NATION_0"."MP_' || (p // 40 % 10) || '"' AS fqn
+        '"DB_AFRICA"."NATION_0"."MP_' || (p // 40) || '"' AS fqn
         FROM parts WHERE p % 40 = 0""",
-    "t_row_access_refs": """SELECT 'RP_' || (p // 100 % 5) AS name, 'DB_AFRICA' AS "database",
+    "t_row_access_refs": """SELECT 'RP_' || (p // 100) AS name, 'DB_AFRICA' AS "database",
         'NATION_0' AS "schema", p AS policy_id, obj AS target_fqn,
         CASE WHEN p % 80 = 0 THEN '"DB_AFRICA"."NATION_0"."PII"' END AS tag_fqn,
         'ACTIVE' AS status,
-        '"DB_AFRICA"."NATION_0"."RP_' || (p // 100 % 5) || '"' AS fqn
+        '"DB_AFRICA"."NATION_0"."RP_' || (p // 100) || '"' AS fqn
         FROM parts WHERE p % 100 = 0""",
     "t_login_history": """SELECT 'Customer#' || lpad(user_id::VARCHAR, 9, '0') AS "user",
         CASE event_type WHEN 'purchase' THEN 'OAUTH_ACCESS_TOKEN' WHEN 'signup'
           THEN 'RSA_KEYPAIR' ELSE 'PASSWORD' END AS first_authentication_factor,
         CASE WHEN event_type = 'view' THEN 'DUO_PUSH' END AS second_authentication_factor,
         event_type <> 'error' AS success, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS event_timestamp
-        FROM events WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 7 DAYS""",
+        FROM events WHERE ts > TIMESTAMP '2024-01-20' - INTERVAL 7 DAYS
+          AND ts <= TIMESTAMP '2024-01-20'""",
     "queries_run": """SELECT 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS "user", p, obj,
         l_linenumber AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey
         JOIN parts ON l_partkey = p
-        WHERE o_orderdate > TIMESTAMP '2001-08-01' - INTERVAL 90 DAYS AND kind <> 'STAGE'""",
+        WHERE o_orderdate > TIMESTAMP '2001-06-01' - INTERVAL 90 DAYS
+          AND o_orderdate <= TIMESTAMP '2001-06-01' AND kind <> 'STAGE'""",
     "usage_t": """SELECT "user", obj AS "object", count(*) AS usage_count FROM queries_run
         GROUP BY ALL""",
     "usage_c": """SELECT "user", q.obj || '."' || col || '"' AS "object", count(*) AS usage_count
-        FROM queries_run AS q JOIN part_columns USING (p) WHERE line % 4 <> 0 AND pos <= 2
+        FROM queries_run AS q JOIN part_columns USING (p) WHERE line % 4 <> 0
         GROUP BY ALL""",
     "popular_t": """SELECT "object", count(*) AS n_users, sum(usage_count)::BIGINT AS usage_count
         FROM usage_t GROUP BY ALL""",
@@ -123,13 +135,13 @@ CTES = {
           WHERE grantee_type = 'USER'
         UNION SELECT g.grantee, reach.role FROM t_role_grants AS g JOIN reach
           ON g.role = reach.held_by WHERE grantee_type = 'USER'""",
-    "active_user_roles": """SELECT "user", role FROM all_user_roles JOIN t_users
-        ON "user" = name WHERE NOT disabled""",
+    "active_user_roles": """SELECT "user", role FROM all_user_roles
+        WHERE "user" IN (SELECT name FROM t_users WHERE NOT disabled)""",
     "v01": """SELECT o."object", o.db, o."schema", o.grantee, d.asset IS NOT NULL AS has_db_permission,
         s.asset IS NOT NULL AS has_schema_permission FROM (
           SELECT DISTINCT asset AS "object", split_part(asset, '.', 1) AS db,
             split_part(asset, '.', 1) || '.' || split_part(asset, '.', 2) AS "schema", grantee
-          FROM t_privilege_grants WHERE asset_type NOT IN ('DATABASE', 'SCHEMA')) AS o
+          FROM t_privilege_grants WHERE asset_type NOT IN ('DATABASE', 'SCHEMA') AND grantee <> '') AS o
         LEFT JOIN (SELECT DISTINCT asset, grantee FROM t_privilege_grants
           WHERE asset_type = 'DATABASE') AS d ON o.db = d.asset AND o.grantee = d.grantee
         LEFT JOIN (SELECT DISTINCT asset, grantee FROM t_privilege_grants
@@ -152,10 +164,10 @@ CTES = {
           AND x.asset_type = s.asset_type AND x.grantee = d.grantee)""",
     "c05": """SELECT DISTINCT "user" FROM t_login_history WHERE success
         AND first_authentication_factor = 'PASSWORD' AND second_authentication_factor IS NULL""",
-    "c06": """SELECT name AS "user", 'no_login_7d' AS reason FROM t_users WHERE NOT disabled
-          AND name NOT IN (SELECT "user" FROM t_login_history WHERE success)
-        UNION ALL SELECT name, 'no_access_90d' FROM t_users WHERE NOT disabled
-          AND name NOT IN (SELECT "user" FROM usage_t)""",
+    "c06": """SELECT DISTINCT name AS "user", 'no_login_7d' AS reason FROM t_users WHERE NOT disabled
+          AND name <> 'SNOWFLAKE' AND name NOT IN (SELECT "user" FROM t_login_history WHERE success)
+        UNION ALL SELECT DISTINCT name, 'no_access_90d' FROM t_users WHERE NOT disabled
+          AND name <> 'SNOWFLAKE' AND name NOT IN (SELECT "user" FROM usage_t)""",
     "c08": """SELECT grantee, "object", CASE WHEN NOT has_db_permission AND
         NOT has_schema_permission THEN 'both' WHEN NOT has_db_permission THEN 'database'
         ELSE 'schema' END AS missing_level FROM v01
@@ -199,7 +211,7 @@ CTES = {
           (SELECT count(*) FROM (SELECT DISTINCT db, asset_type FROM future_pairs))
         UNION ALL SELECT 'c03_shadow_grants', 'n_affected_databases',
           (SELECT count(DISTINCT split_part("schema", '.', 1)) FROM c03)
-        UNION ALL SELECT 'c04_network_policy', 'n_policies', (SELECT count(*) FROM reg WHERE r = 0)
+        UNION ALL SELECT 'c04_network_policy', 'n_policies', (SELECT count(*) FROM t_network_policies)
         UNION ALL SELECT 'c05_password_only', 'n_logins',
           (SELECT count(*) FILTER (success) FROM t_login_history)
         UNION ALL SELECT 'c05_password_only', 'password_only_share', (SELECT share FROM pw)
@@ -256,7 +268,7 @@ CTES = {
             / (SELECT count(*) FROM (SELECT DISTINCT db, asset_type FROM future_pairs))::DOUBLE,
           (SELECT count(*) FROM c03), 'future_grants'
         UNION ALL SELECT 'c04_network_policy', 'Active Network Policies',
-          (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0.49::DOUBLE END FROM reg WHERE r = 0), 0,
+          (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0.49::DOUBLE END FROM t_network_policies), 0,
           'network_policies'
         UNION ALL SELECT 'c05_password_only', 'Password-Only Logins', 1 - (SELECT share FROM pw),
           (SELECT count(*) FROM c05), 'login_history'
@@ -299,7 +311,7 @@ CTES = {
           'row_access_policies,row_access_policy_references'
         UNION ALL SELECT 'c17_sensitive_columns', 'Potentially Sensitive Columns',
           (SELECT CASE WHEN count(*) > 0 THEN 0.89::DOUBLE ELSE 1 END FROM c17),
-          (SELECT least(count(*), 50) FROM c17), 'privilege_grants,role_grants,columns,users')""",
+          (SELECT count(*) FROM c17), 'privilege_grants,role_grants,columns,users')""",
     "results": """SELECT *, CASE WHEN score IS NULL THEN 'UNKNOWN' WHEN score = -2 THEN 'INSIGHT'
         WHEN score = -1 THEN 'INFO' WHEN score < 0.5 THEN 'FAIL' WHEN score < 0.9 THEN 'WARN'
         ELSE 'PASS' END AS status, CASE WHEN score IS NULL THEN 100 WHEN score = -2 THEN 99
@@ -376,7 +388,7 @@ _SNAPSHOT_ROWS = {
     "unreadable_log_rows": "(SELECT 1 WHERE false)",
     "masking_policy_references": "t_masking_refs",
     "row_access_policy_references": "t_row_access_refs",
-    "network_policies": "(SELECT 1 FROM reg WHERE r = 0)",
+    "network_policies": "t_network_policies",
 }
 
 SELECTS = {
@@ -396,8 +408,8 @@ SELECTS = {
     "src_login_history": "SELECT * FROM t_login_history",
     "src_masking_policy_refs": "SELECT * FROM t_masking_refs",
     "src_row_access_policy_refs": "SELECT * FROM t_row_access_refs",
-    "src_network_policy_flag": """SELECT count(*) > 0 AS has_network_policy FROM region
-        WHERE r_regionkey = 0""",
+    "src_network_policy_flag": """SELECT count(*) > 0 AS has_network_policy
+        FROM t_network_policies""",
     "snapshot_roundtrip": "\nUNION ALL ".join(
         f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {source}) AS n_rows"
         for name, source in _SNAPSHOT_ROWS.items()
@@ -459,7 +471,7 @@ SELECTS = {
         WHERE "schema" <> 'INFORMATION_SCHEMA' ORDER BY n_users, fqn LIMIT 10""",
     "c15_masking_policies": "SELECT * FROM policy_rows",
     "c16_row_access_policies": "SELECT * FROM row_policy_rows",
-    "c17_sensitive_columns": "SELECT * FROM c17 ORDER BY fqn LIMIT 50",
+    "c17_sensitive_columns": "SELECT * FROM c17",
     "check_results": """SELECT check_id, title, round(score, 6) AS score, status, n_findings,
         round(sort_key, 6) AS sort_key, inputs FROM results""",
     "check_metrics": "SELECT check_id, metric, round(value, 6) AS value FROM metric_rows",

@@ -17,9 +17,9 @@ from grantlens.sources.schemas import RAW, raw_source
 from grantlens.sources.snapshot import Snapshot
 from grantlens.workspace import Workspace
 
-# When the histories end.
-LOGIN_AS_OF = "2024-01-31"
-ACCESS_AS_OF = "2001-08-01"
+# When the history windows end; the data goes on after them.
+LOGIN_AS_OF = "2024-01-20"
+ACCESS_AS_OF = "2001-06-01"
 
 # Columns of every sample table, by position.
 COLUMN_NAMES = [
@@ -33,9 +33,6 @@ COLUMN_NAMES = [
     "client_ip",
 ]
 
-NATIONS = 25
-
-
 def _text(value: str) -> Column:
     return F.lit(value)
 
@@ -68,13 +65,34 @@ class SampleAccount:
             self._regions, nation["n_regionkey"] == F.col("r_regionkey")
         ).select("n_nationkey", "n_name", "r_regionkey", "db", "region_read")
 
-    def _grantees(self, assets: DataFrame) -> DataFrame:
-        """Repeat each asset for every nation role as (n, grantee_name)."""
+    @cached_property
+    def _nations(self) -> Column:
+        """Number of nations, as a scalar subquery."""
+        return self._read("nation").agg(F.count(F.lit(1))).scalar()
+
+    @cached_property
+    def _dealings(self) -> DataFrame:
+        """(buyer, n, grantee_name): nations whose customers bought from the nation n, which is named."""
+        lines = self._read("lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey"))
+        orders = self._read("orders").select(
+            F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")
+        )
+        customer = self._read("customer").select("c_custkey", F.col("c_nationkey").alias("buyer"))
+        supplier = self._read("supplier").select("s_suppkey", F.col("s_nationkey").alias("n"))
         nation = self._read("nation").select(
             F.col("n_nationkey").alias("n"), F.col("n_name").alias("grantee_name")
         )
-        numbered = assets.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(NATIONS - 1))))
-        return numbered.join(nation, "n")
+        bought = lines.join(supplier, "s_suppkey").join(orders, "l_orderkey")
+        pairs = bought.join(customer, "c_custkey").select("buyer", "n").distinct()
+        return pairs.join(nation, "n")
+
+    def _grantees(self, assets: DataFrame, key: str) -> DataFrame:
+        """Each asset with the nations (n, grantee_name) that deal with its own, or with its region's."""
+        home = self._geo.select(F.col("n_nationkey").alias("buyer"), F.col("r_regionkey").alias("home"))
+        if key == "r_regionkey":
+            dealt = self._dealings.join(home, "buyer").select("home", "n", "grantee_name").distinct()
+            return assets.join(dealt, assets[key] == dealt["home"]).drop("home")
+        return assets.join(self._dealings, assets[key] == self._dealings["buyer"]).drop("buyer")
 
     @cached_property
     def _once(self) -> DataFrame:
@@ -92,7 +110,7 @@ class SampleAccount:
             "p_partkey",
             F.concat(F.lit("T_"), F.col("p_partkey").cast("string")).alias("name"),
             kind.alias("kind"),
-            (F.col("p_partkey") % NATIONS).cast("int").alias("n_nationkey"),
+            (F.col("p_partkey") % self._nations).cast("int").alias("n_nationkey"),
         )
         home = self._geo.select("n_nationkey", "db", F.col("n_name").alias("schema"))
         return part.join(home, "n_nationkey").select("p_partkey", "db", "schema", "name", "kind")
@@ -156,8 +174,9 @@ class SampleAccount:
         last = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(
             secs=F.col("c_custkey").cast("decimal(18,6)")
         )
+        name = F.when(F.col("c_custkey") % 500 == 7, "SNOWFLAKE").otherwise(F.col("c_name"))
         return self._read("customer").select(
-            F.col("c_name").alias("name"),
+            name.alias("name"),
             flag(F.col("c_acctbal") < 0).alias("disabled"),
             _text("USERADMIN").alias("owner"),
             last.alias("last_success_login"),
@@ -184,7 +203,7 @@ class SampleAccount:
         homes = customer.join(geo, customer["c_nationkey"] == geo["n_nationkey"])
         user, nation = F.col("user"), F.col("n_name")
         neighbour = F.concat(
-            F.lit("NATION_"), ((F.col("n_nationkey") + 5) % NATIONS).cast("string")
+            F.lit("NATION_"), ((F.col("n_nationkey") + 5) % self._nations).cast("string")
         )
         fixed = [
             ("SECURITYADMIN", "ACCOUNTADMIN"),
@@ -241,9 +260,9 @@ class SampleAccount:
         usage = _text("USAGE")
         geo = self._geo
         schema = F.concat_ws(".", "db", "n_name")
-        on_schema = self._grantees(geo)
+        on_schema = self._grantees(geo, "n_nationkey")
         to_role = (F.col("n_nationkey") * 7 + F.col("n")) % 3 != 0
-        on_database = self._grantees(self._regions)
+        on_database = self._grantees(self._regions, "r_regionkey")
         own = geo.withColumn("grantee_name", F.col("n_name"))
         return (
             grants(
@@ -271,8 +290,11 @@ class SampleAccount:
         )
 
     def _object_grants(self) -> DataFrame:
-        """The nation of each first line item's supplier may use the part's table."""
-        lines = self._read("lineitem").filter("l_linenumber = 1")
+        """The nation of each line item's supplier may use the part's table.
+
+        Some grants go to nobody, some to the administrator.
+        """
+        lines = self._read("lineitem")
         supplier = self._read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
         nation = self._read("nation").select(
             F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("grantee_name")
@@ -297,8 +319,12 @@ class SampleAccount:
                 privilege.alias("privilege"),
                 "kind",
                 F.concat_ws(".", "db", schema, "name").alias("asset"),
-                "grantee_name",
+                F.when((F.col("p_partkey") % 90 == 4) & (F.col("l_returnflag") == "R"), "")
+                .when((F.col("p_partkey") % 90 == 5) & (F.col("l_returnflag") == "R"), "ACCOUNTADMIN")
+                .otherwise(F.col("grantee_name"))
+                .alias("grantee_name"),
             )
+            .distinct()
         )
 
     def future_grants(self) -> DataFrame:
@@ -311,8 +337,8 @@ class SampleAccount:
                 _text("false").alias("grant_option"),
             )
 
-        on_database = self._grantees(self._regions)
-        on_schema = self._grantees(self._geo)
+        on_database = self._grantees(self._regions, "r_regionkey")
+        on_schema = self._grantees(self._geo, "n_nationkey")
         db = F.col("db")
         return (
             grants(
@@ -333,20 +359,21 @@ class SampleAccount:
             )
         )
 
-    def _policies(self, prefix: str, count: int) -> DataFrame:
-        numbers = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-        return self._once.select("db", numbers.alias("i")).select(
-            F.concat(F.lit(prefix), F.col("i").cast("string")).alias("name"),
-            F.col("db").alias("database_name"),
+    def _policies(self, prefix: str, every: int) -> DataFrame:
+        """A policy for every so many parts, numbered, in the schema NATION_0."""
+        part = F.col("p_partkey")
+        return self._read("part").filter(part % every == 0).select(
+            F.concat(F.lit(prefix), F.floor(part / every).cast("string")).alias("name"),
+            _text("DB_AFRICA").alias("database_name"),
             _text("NATION_0").alias("schema_name"),
             _text("SYSADMIN").alias("owner"),
         )
 
     def masking_policies(self) -> DataFrame:
-        return self._policies("MP_", 12)
+        return self._policies("MP_", 30)
 
     def row_access_policies(self) -> DataFrame:
-        return self._policies("RP_", 5)
+        return self._policies("RP_", 80)
 
     def policy_references(self) -> DataFrame:
         part = F.col("p_partkey")
@@ -370,14 +397,13 @@ class SampleAccount:
                 tag("PII").alias("TAG_NAME"),
             )
 
-        def numbered(prefix: str, every: int, count: int) -> Column:
-            number = F.floor(part / every) % count
-            return F.concat(F.lit(prefix), number.cast("string"))
+        def numbered(prefix: str, every: int) -> Column:
+            return F.concat(F.lit(prefix), F.floor(part / every).cast("string"))
 
         active = _text("ACTIVE")
         sometimes = F.when(part % 200 == 0, "INACTIVE").otherwise("ACTIVE")
-        masking = numbered("MP_", 40, 10)
-        rows = numbered("RP_", 100, 5)
+        masking = numbered("MP_", 40)
+        rows = numbered("RP_", 100)
         return (
             references(40, "MASKING_POLICY", masking, _text("email"), sometimes)
             .unionByName(references(100, "ROW_ACCESS_POLICY", rows, _none(), active))
@@ -415,18 +441,14 @@ class SampleAccount:
         )
         full_name = F.concat_ws(".", "db", "schema", "name")
         domain = F.initcap("kind")
-        columns = F.slice(
-            F.filter(
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("i"), F.lit(n).alias("columnName"))
-                        for i, n in enumerate(COLUMN_NAMES)
-                    ]
-                ),
-                lambda c: (part + c["i"]) % 3 != 0,
+        columns = F.filter(
+            F.array(
+                *[
+                    F.struct(F.lit(i).alias("i"), F.lit(n).alias("columnName"))
+                    for i, n in enumerate(COLUMN_NAMES)
+                ]
             ),
-            1,
-            2,
+            lambda c: (part + c["i"]) % 3 != 0,
         )
         column_names = F.transform(columns, lambda c: F.struct(c["columnName"].alias("columnName")))
         no_columns = F.lit(None).cast("array<struct<columnName:string>>")
@@ -455,7 +477,9 @@ class SampleAccount:
         )
 
     def network_policies(self) -> DataFrame:
-        return self._read("region").filter("r_regionkey = 0").select(F.col("r_name").alias("name"))
+        return self._read("supplier").filter("s_suppkey % 5 = 0").select(
+            F.concat(F.lit("NP_"), F.col("s_suppkey").cast("string")).alias("name")
+        )
 
     def raw(self, *names: str) -> RawTables:
         """The named raw tables, or all of them; the others count as not collected."""

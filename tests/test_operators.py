@@ -1,4 +1,5 @@
 import random
+import hashlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -59,7 +60,7 @@ def test_user_roles_match_traversal(spark, workspace, seed):
     assert rows(found, "user", "role") == {p for p in held_roles(grants) if p[0] in active}
     assert found.count() == found.distinct().count()
 
-    members = graph.role_members(workspace, df, ["R1", "R2", "ABSENT"], closure)
+    members = graph.role_members(workspace, df, ["R1", "R2", "ABSENT"])
     expected = {(r, u) for u, r in held_roles(grants) if r in ("R1", "R2")}
     assert rows(members, "root", "user") == expected
 
@@ -202,10 +203,10 @@ def test_plan_choice_compares_shuffled_bytes(spark):
     assert access.cheaper_plan(stage(20_000, 2, "profile"), sets, members) == "bitmaps"
 
 
-def test_sets_are_named_without_regard_to_order(spark):
+def test_sets_are_named_without_regard_to_order(spark, workspace):
     pairs = [("a", "x"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", "x"), ("d", "y"), ("e", "z")]
     df = spark.createDataFrame(pairs, "owner string, role string")
-    members = access.set_ids(df, "owner")
+    members = access.set_ids(workspace, df, "owner").df
     ids = {r["owner"]: r["set_id"] for r in members.collect()}
     assert ids["a"] == ids["b"]
     assert len(set(ids.values())) == 4
@@ -215,6 +216,39 @@ def test_sets_are_named_without_regard_to_order(spark):
     }
 
 
+def colliding_sets():
+    """Two disjoint sets of roles, equally large, whose folded hashes are the same."""
+    basis = {}
+    for i in range(400):
+        digest = int(hashlib.sha256(f"ROLE_{i}".encode()).hexdigest()[:45], 16)
+        members = {i}
+        while digest and digest.bit_length() in basis:
+            other, their = basis[digest.bit_length()]
+            digest ^= other
+            members ^= their
+        if digest:
+            basis[digest.bit_length()] = digest, members
+        elif len(members) % 2 == 0:
+            half = len(members) // 2
+            return sorted(members)[:half], sorted(members)[half:]
+
+
+@pytest.mark.parametrize("plan", ["profiles", "bitmaps"])
+def test_sets_with_one_name_are_told_apart(spark, workspace, plan):
+    left, right = colliding_sets()
+    grants = [(f"o{i}", f"ROLE_{i}") for i in [*left, *right]]
+    held = [("x", f"ROLE_{i}") for i in left] + [("y", f"ROLE_{i}") for i in right]
+    rows = spark.createDataFrame(held, "user string, role string")
+    names = access.set_names(rows, "user").collect()
+    assert len({r["set_id"] for r in names}) == 1  # the candidate names do collide
+    role_grants = rows.select("role", F.col("user").alias("grantee"), F.lit("USER").alias("grantee_type"))
+    users = spark.createDataFrame([("x", False), ("y", False)], "name string, disabled boolean")
+    given = workspace.stage(spark.createDataFrame(grants, "object string, role string"), "grants")
+    closure = graph.role_closure(workspace, role_grants)
+    found = access.object_user_counts(workspace, given, role_grants, users, closure, plan)
+    assert {r["object"]: r["n_users"] for r in found.collect()} == {o: 1 for o, _ in grants}
+
+
 # --- skew ---------------------------------------------------------------------
 
 
@@ -278,10 +312,21 @@ def test_rows_without_a_key_are_spread_and_kept(spark, workspace):
     assert found.filter("key IS NULL").select("a").distinct().count() == 2000
 
 
-def test_few_keys_can_be_hot(spark, workspace):
-    wide = spark.range(20_000).select(F.col("id").cast("string").alias("key"), F.col("id").alias("a"))
-    stage = Stage(wide, 20_000)
-    assert skew._hot_keys(workspace, stage, stage, ["key"], 1, 1).rows <= skew.HOT_KEYS
+def test_every_hot_key_is_split(spark, workspace, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 1000)
+    rows = spark.range(12_000).select(
+        (F.col("id") % 3000).cast("string").alias("key"), F.col("id").cast("string").alias("a")
+    )
+    stage = Stage(rows, 12_000)
+    hot = skew._hot_keys(workspace, stage, stage, ["key"], 16, 2)
+    assert hot.rows == 3000
+    assert hot.df.select("left_slices", "right_slices").distinct().collect() == [(2, 2)]
+    right = Stage(rows.withColumnRenamed("a", "b"), 12_000)
+    found = skew.balanced_join(
+        workspace, stage, right, ["key"], "inner", "a", "b", hot_pairs=16, slice_rows=2
+    )
+    assert "_left_slice" in found._jdf.queryExecution().analyzed().toString()
+    assert found.count() == 3000 * 16 == found.distinct().count()
 
 
 def test_balanced_join_is_plain_without_hot_keys(spark, workspace):

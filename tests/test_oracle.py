@@ -41,11 +41,14 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+OWN = set(QUERIES) - set(entry.llm.queries() if entry.llm else ())
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert OWN <= set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query_matches_sql(spark, con, plans, name):
     df = QUERIES[name](spark, FOLDER)
     names, rows = spark_rows(df)

@@ -1,9 +1,10 @@
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from grantlens import Audit, Snapshot, check_results, load_snapshot, read_raw, read_raw_jdbc
+from grantlens import Audit, Snapshot, check_results, load_snapshot, read_raw, read_raw_jdbc, write_report
 from grantlens.sources.schemas import OPTIONAL_RAW, RAW, SNAPSHOT
 from grantlens.workspace import Workspace
 from tests.tables import database, raw, snapshot, table
@@ -59,7 +60,83 @@ def test_usage_from_json(spark, staged):
     }
     columns = {(r["user"], r["object"], r["usage_count"]) for r in snap.usage_columns.collect()}
     assert columns == {("B", '"DB"."S"."W"."C1"', 1), ("B", '"DB"."S"."W"."C2"', 1)}
-    assert [tuple(r) for r in snap.unreadable_log_rows.collect()] == [("A", 1)]
+    unreadable = {tuple(r) for r in snap.unreadable_log_rows.collect()}
+    assert unreadable == {("A", 2), ("B", 1)}  # no JSON, or entries without names
+
+
+@pytest.mark.parametrize("staged", [False, True])
+def test_usage_has_one_row_per_quoted_name(spark, staged):
+    text = (
+        '[{"objectDomain":"Table","objectName":"D.S.T","columns":[{"columnName":"a.b"}]},'
+        '{"objectDomain":"Table","objectName":"D.S.T.a","columns":[{"columnName":"b"}]}]'
+    )
+    snap = Snapshot.from_raw(
+        {"access_history": raw(spark, "access_history", [log("A", text, 1)])},
+        access_as_of=as_of(),
+        workspace=Workspace(spark) if staged else None,
+    )
+    assert [tuple(r) for r in snap.usage_columns.collect()] == [("A", '"D"."S"."T"."a"."b"', 1)]
+
+
+def test_windows_end_at_the_given_time(spark):
+    times = [AS_OF - timedelta(days=1), AS_OF, AS_OF + timedelta(seconds=1)]
+    logins = [{"USER_NAME": f"u{i}", "EVENT_TIMESTAMP": t} for i, t in enumerate(times)]
+    queries = [{**log(f"u{i}", objects("DB.S.T"), 0), "QUERY_START_TIME": t} for i, t in enumerate(times)]
+    snap = Snapshot.from_raw(
+        {
+            "login_history": raw(spark, "login_history", logins),
+            "access_history": raw(spark, "access_history", queries),
+        },
+        as_of(),
+        as_of(),
+    )
+    assert {r["user"] for r in snap.login_history.collect()} == {"u0", "u1"}
+    assert {r["user"] for r in snap.usage_tables.collect()} == {"u0", "u1"}
+
+
+def logged_account(spark, folder):
+    """Raw tables in files, of which every reader has its own plan."""
+    rows = {"access_history": LOG, "users": [], "databases": [{"name": "DB", "owner": "O"}]}
+    for name in RAW:
+        raw(spark, name, rows.get(name, ())).write.parquet(f"{folder}/{name}")
+    return Snapshot.from_raw(read_raw(spark, folder), as_of(), as_of())
+
+
+def log_scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"FileScan parquet \[[^\]]*DIRECT_OBJECTS_ACCESSED", plan)
+
+
+@pytest.mark.parametrize("path", ["report", "write", "results"])
+def test_public_paths_read_the_access_log_once(spark, tmp_path, monkeypatch, path):
+    snap = logged_account(spark, f"{tmp_path}/raw")
+    scans = []
+    stage = Workspace.stage
+
+    def recorded(self, df, name, **options):
+        scans.extend(log_scans(df))
+        return stage(self, df, name, **options)
+
+    monkeypatch.setattr(Workspace, "stage", recorded)
+    if path == "write":
+        snap.write(f"{tmp_path}/snap")
+        assert Snapshot.read(spark, f"{tmp_path}/snap").usage_tables.count() == 4
+    elif path == "report":
+        write_report(spark, snap, f"{tmp_path}/report")
+        assert spark.read.parquet(f"{tmp_path}/report/check_results").count() == 17
+    else:
+        plan = check_results(Audit(spark, snap))
+        assert not log_scans(plan)
+        assert plan.count() == 17
+    assert len(scans) == 1
+
+
+def test_failing_job_is_no_empty_snapshot(spark):
+    tables = {name: raw(spark, name) for name in RAW}
+    fails = F.raise_error(F.lit("broken file")).cast("string")
+    tables["access_history"] = raw(spark, "access_history", LOG).withColumn("DIRECT_OBJECTS_ACCESSED", fails)
+    with pytest.raises(Exception, match="broken file"):
+        load_snapshot(lambda: tables, as_of(), as_of(), Workspace(spark))
 
 
 def test_login_window(spark):
