@@ -8,8 +8,9 @@ the signature is cut into ``CHUNKS`` chunks, by pigeonhole one of them has at mo
 under its other values. Pairs are confirmed on the full sets.
 
 A bucket's members are first compared with the lowest one only. Then connected components are taken,
-and only buckets that still hold several components give pairs, and only across components. So a
-group of copies costs one comparison a member, and no link between components is lost.
+and only buckets that still hold several components give pairs, only across components, each pair in
+one bucket, and only if enough shingles of both occur in other documents too. So a group of copies costs
+one comparison a member, and no link between components is lost.
 
 Rows: one per doc_id. A text without words, or null, has an empty set and is linked with nothing. Fewer
 words than five are one shingle. Rows without doc_id get no row, as a component is named by an id, and
@@ -20,6 +21,7 @@ The smallest id names a component, so there are no ties. Other columns are ignor
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,9 @@ SHINGLE_WORDS = 5
 # Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
-# Signature: values of 16 bits, four to a long.
+# Signature: 64 values of 16 bits, stored as 16 longs, of which each has one bit of every value.
 SYMBOLS = 64
-LANES = SYMBOLS // 4
+PLANES = 16
 
 # At similarity 0.85 a value differs with probability 0.15: of 64, 28 or more do in 1 of 28 million
 # pairs, and less often the more similar the sets are.
@@ -51,7 +53,10 @@ _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 _FACTOR = ((_SEEDS >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
 _TOGGLE = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
-SIGNATURE = [f"s{k}" for k in range(LANES)]
+SIGNATURE = [f"s{k}" for k in range(PLANES)]
+
+_CUTS = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int).tolist()
+_EDGES = list(zip(_CUTS[:-1], _CUTS[1:], strict=True))  # first and last-plus-one value of each chunk
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -73,18 +78,31 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return result
 
 
+def to_planes(symbols: np.ndarray) -> np.ndarray:
+    """Values (rows x SYMBOLS) as longs (rows x PLANES): bit i of long p is bit p of value i."""
+    bits = (symbols[:, None, :] >> np.arange(PLANES, dtype=np.uint16)[None, :, None]) & np.uint16(1)
+    return np.packbits(bits.astype(np.uint8), axis=2, bitorder="little").view(np.int64).reshape(-1, PLANES)
+
+
+def from_planes(planes: np.ndarray) -> np.ndarray:
+    """The inverse of ``to_planes``."""
+    shaped = np.ascontiguousarray(planes).view(np.uint8).reshape(-1, PLANES, SYMBOLS // 8)
+    bits = np.unpackbits(shaped, axis=2, bitorder="little").astype(np.uint16)
+    return (bits << np.arange(PLANES, dtype=np.uint16)[None, :, None]).sum(axis=1, dtype=np.uint16)
+
+
 def chunk_keys(symbols: np.ndarray) -> np.ndarray:
     """Keys (rows x SYMBOLS) of the index: for each value, its chunk's other values, hashed."""
     keys = np.empty((len(symbols), SYMBOLS), dtype=np.uint64)
-    edges = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
     wide = symbols.astype(np.uint64)
-    for start, stop in zip(edges[:-1], edges[1:], strict=True):
+    for start, stop in _EDGES:
         for left_out in range(start, stop):
             key = np.full(len(symbols), left_out + 1, dtype=np.uint64)
             for k in range(start, stop):
                 if k != left_out:
                     key = mix(key * np.uint64(0x100000001B3) + wide[:, k])
-            keys[:, left_out] = key
+            # The low bits say which value is left out.
+            keys[:, left_out] = (key & ~np.uint64(SYMBOLS - 1)) | np.uint64(left_out)
     return keys
 
 
@@ -95,27 +113,43 @@ def sign(docs: DataFrame) -> DataFrame:
         values, bounds = shingle_sets(batch.column("text"), SHINGLE_WORDS)
         sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values ^ np.uint64(seed)))]) for seed in (1, 2)]
         names = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
-        lanes = signatures(values, bounds).view(np.int64)
-        columns = [pa.array(np.diff(bounds)), *map(pa.array, names), *(pa.array(lanes[:, k].copy()) for k in range(LANES))]
+        planes = to_planes(signatures(values, bounds))
+        columns = [pa.array(np.diff(bounds)), *map(pa.array, names), *(pa.array(p.copy()) for p in planes.T)]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "name1", "name2", *SIGNATURE]
         )
 
-    lanes = ", ".join(f"{name} long" for name in SIGNATURE)
-    return map_slices(docs, run, f"doc_id long, n_shingles long, name1 long, name2 long, {lanes}")
+    planes = ", ".join(f"{name} long" for name in SIGNATURE)
+    return map_slices(docs, run, f"doc_id long, n_shingles long, name1 long, name2 long, {planes}")
+
+
+def difference(left: str, right: str) -> Column:
+    """A bit for each value in which the signatures of two aliased tables differ."""
+    planes = [F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}")) for name in SIGNATURE]
+    return reduce(Column.bitwiseOR, planes)
 
 
 def differing(left: str, right: str) -> Column:
     """How many of the signatures' values differ, in the columns of two aliased tables."""
-    total = F.lit(0)
-    for name in SIGNATURE:
-        # Fold each 16-bit value onto its lowest bit; additions would overflow under ANSI rules.
-        x = F.col(f"{left}.{name}").bitwiseXOR(F.col(f"{right}.{name}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 8)).bitwiseAND(F.lit(0x00FF00FF00FF00FF))
-        for step in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
+    return F.bit_count(difference(left, right))
+
+
+def _signed(bits: int) -> Column:
+    return F.lit(bits - 2**64 if bits >= 2**63 else bits).cast("long")
+
+
+def first_shared(mask: Column) -> Column:
+    """The value left out, as a bit, in the first key that a pair with this difference has in common."""
+
+    def bit(known: Column) -> Column:
+        first = F.lit(None).cast("long")
+        for start, stop in reversed(_EDGES):
+            inside = known.bitwiseAND(_signed((1 << stop) - (1 << start)))
+            left_out = F.when(inside == 0, _signed(1 << start)).otherwise(inside)
+            first = F.when(F.bit_count(inside) <= 1, left_out).otherwise(first)
+        return first
+
+    return F.transform(F.array(mask), bit)[0]
 
 
 def _keys(signed: DataFrame) -> DataFrame:
@@ -123,8 +157,8 @@ def _keys(signed: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lanes = np.stack([np.asarray(batch.column(name)) for name in SIGNATURE], axis=1)
-            keys = chunk_keys(np.ascontiguousarray(lanes).view(np.uint16))
+            planes = np.stack([np.asarray(batch.column(name)) for name in SIGNATURE], axis=1)
+            keys = chunk_keys(from_planes(planes))
             ids = np.repeat(np.asarray(batch.column("id")), SYMBOLS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
@@ -220,10 +254,23 @@ def near_duplicates(docs: DataFrame) -> NearDuplicates:
     label = F.coalesce("component", "id").alias("component")
     labelled = index.select("key", "id").join(found, "id", "left").select("key", "id", label)
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = labelled.join(mixed.filter("low < high").select("key"), "key")
-    rest = workspace.stage(rest.join(unique, "id").select("key", "id", "component", "n_shingles", *SIGNATURE), "near_rest").df
-    across = (F.col("x.component") < F.col("y.component")) & (differing("x", "y") <= DISTANCE) & _sizes_allow("x", "y")
-    pairs = rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & across)
+    rest = workspace.stage(
+        labelled.join(mixed.filter("low < high").select("key"), "key"), "near_rest"
+    ).df
+    alone = _alone(workspace, texts, rest.select(F.col("id").alias("doc_id")).distinct())
+    shared_part = (F.col("n_shingles") - F.col("alone")).alias("common")
+    bucketed = rest.join(alone, "id").join(unique, "id")
+    bucketed = bucketed.select("key", "id", "component", "n_shingles", shared_part, *SIGNATURE)
+    bucketed = workspace.stage(bucketed, "near_buckets").df
+    own_key = F.expr("shiftleft(1L, CAST(x.key & 63 AS INT))")
+    pairs = bucketed.alias("x").join(
+        bucketed.alias("y"),
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.component") < F.col("y.component"))
+        & _overlap_allows("x", "y")
+        & (differing("x", "y") <= DISTANCE)
+        & (first_shared(difference("x", "y")) == own_key),
+    )
     low, high = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
     second = workspace.stage(
         pairs.select(low, high).distinct().join(first.df, ["a", "b"], "left_anti"), "near_second"
@@ -247,6 +294,30 @@ def _sizes_allow(left: str, right: str) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
+def _overlap_allows(left: str, right: str) -> Column:
+    """Two sets have at most those shingles in common that each shares with some other document."""
+    most = F.least(f"{left}.common", f"{right}.common")
+    return most * (100 + PERCENT) >= (F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")) * PERCENT
+
+
+def _alone(workspace: Workspace, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and ``alone``: how many shingles of each of these documents none of the others has."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values, bounds = shingle_sets(batch.column("text"), SHINGLE_WORDS)
+        owner = np.repeat(np.asarray(batch.column("doc_id")), np.diff(bounds))
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(values.view(np.int64))], ["id", "shingle"])
+
+    chosen = workspace.stage(ids, "near_rest_ids")
+    sets = map_slices(_picked(texts, chosen), run, "id long, shingle long")
+    # One row per shingle: whether one document has it, and which.
+    owners = sets.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    alone = owners.filter("id = last").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = chosen.df.select(F.col("doc_id").alias("id"))
+    sizes = sizes.join(alone, "id", "left").select("id", F.coalesce("alone", F.lit(0)).alias("alone"))
+    return workspace.stage(sizes, "near_alone").df
+
+
 def _within(workspace: Workspace, unique: DataFrame, pairs: DataFrame) -> Stage:
     """Those pairs (a, b) whose signatures are within the distance."""
     left = pairs.distinct().join(unique.alias("x"), F.col("a") == F.col("x.id"))
@@ -256,7 +327,7 @@ def _within(workspace: Workspace, unique: DataFrame, pairs: DataFrame) -> Stage:
 
 
 def _confirmed(workspace: Workspace, texts: DataFrame, pairs: Stage) -> DataFrame:
-    ends = pairs.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = pairs.df.select(F.col("a").alias("doc_id")).union(pairs.df.select("b")).distinct()
     ids = workspace.stage(ends, "near_ends")
     sets = workspace.stage(_shingles(_picked(texts, ids)), "near_sets").df
     return _confirm(workspace, pairs, sets)
