@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import oracle
 from grantlens.functions import identifiers, names, scoring
 from grantlens.operators import access, graph, usage
 from grantlens.plans.admin import ACCOUNT_ADMIN, SECURITY_ADMIN
-from grantlens.plans.check import Audit, result_row
+from grantlens.plans.check import Audit, count_of, result_row
 from grantlens.plans.registry import BUILT_IN, sql_check
+from grantlens.plans.report import write_report
 from grantlens.plans.scorecard import check_metrics, check_results, scorecard, status_counts
-from sample_account import SampleAccount
-from grantlens.sources.snapshot import Snapshot
+from grantlens.sources.schemas import OPTIONAL_RAW
+from grantlens.sources.snapshot import Snapshot, load_snapshot
 from grantlens.workspace import Workspace
+from sample_account import SampleAccount
 
 try:
     import grantlens.llm.queries as llm
@@ -64,6 +66,10 @@ READS = {
 }
 
 
+# Findings tables of the checks that do not have exactly one.
+REPORTED = {"c04_network_policy": (), "c12_future_grant_coverage": ("schemas", "databases")}
+
+
 def _audit(spark: SparkSession, folder: str, *tables: str) -> Audit:
     return Audit(spark, SampleAccount(spark, folder).snapshot(None, "databases", *tables))
 
@@ -98,15 +104,70 @@ def _network_flag(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows per table of a snapshot that was written and loaded again."""
+    """Per table of a snapshot that was written and loaded again: its rows, and how many differ."""
     workspace = Workspace(spark)
     path = f"{workspace.path}/snapshot"
-    SampleAccount(spark, folder).snapshot(workspace).write(path)
-    counts = [
-        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"))
-        for name, df in Snapshot.read(spark, path).tables().items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    written = SampleAccount(spark, folder).snapshot(workspace)
+    written.write(path)
+
+    def compared(name: str, loaded: DataFrame) -> DataFrame:
+        kept = getattr(written, name)
+        both = kept.withColumn("n", F.lit(1)).unionByName(loaded.withColumn("n", F.lit(-1)))
+        changed = both.groupBy(*kept.columns).agg(F.sum("n").alias("n")).filter("n <> 0")
+        return loaded.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows")).select(
+            "table_name", "n_rows", count_of(changed).alias("n_changed")
+        )
+
+    loaded = Snapshot.read(spark, path).tables()
+    return reduce(DataFrame.unionByName, [compared(name, df) for name, df in loaded.items()])
+
+
+def _availability(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether tables of snapshots made from all raw tables, and without the optional ones, are there."""
+    raw = SampleAccount(spark, folder).raw()
+    required = {name: df for name, df in raw.items() if name not in OPTIONAL_RAW}
+    kinds = {"all": raw, "required": required, "partial": {"users": raw["users"]}}
+    rows = []
+    for kind, tables in kinds.items():
+        snapshot = load_snapshot(lambda tables=tables: tables)
+        rows.append(
+            raw["users"].agg(
+                F.lit(kind).alias("kind"),
+                F.lit(snapshot.has_data).alias("has_data"),
+                F.lit(snapshot.is_enterprise_or_higher).alias("enterprise"),
+                F.lit(snapshot.has("usage_tables")).alias("has_usage"),
+                F.lit(snapshot.fetch_error is not None).alias("failed"),
+                F.count(F.lit(1)).alias("n_users"),
+            )
+        )
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _gated_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Statuses of the checks when usage, row access policies and privileges were not collected."""
+    workspace = Workspace(spark)
+    missing = ("usage_tables", "usage_columns", "row_access_policies", "privilege_grants")
+    snapshot = SampleAccount(spark, folder).snapshot(workspace).without(*missing)
+    return check_results(Audit(spark, snapshot, workspace), BUILT_IN).select("check_id", "status")
+
+
+def _report(spark: SparkSession, folder: str) -> DataFrame:
+    """The results of a written report, read back, with their place in it."""
+    workspace = Workspace(spark)
+    path = f"{workspace.path}/report"
+    write_report(spark, SampleAccount(spark, folder).snapshot(workspace), path, checks=BUILT_IN)
+    results = spark.read.parquet(f"{path}/check_results")
+    # At most a row per check: the order of the files is the order of the report.
+    place = F.row_number().over(Window.orderBy("section", "sort_key", "title"))
+    listed = results.select("check_id", "section", place.alias("place"))
+    found = []
+    for check in BUILT_IN:
+        for name in REPORTED.get(check.id, ("",)):
+            title = "_".join(filter(None, ["findings", check.id, name]))
+            table = spark.read.parquet(f"{path}/{title}")
+            found.append(table.agg(F.lit(check.id).alias("check_id"), F.count(F.lit(1)).alias("n")))
+    written = reduce(DataFrame.unionByName, found).groupBy("check_id").agg(F.sum("n").alias("n_written"))
+    return listed.join(written, "check_id").select("check_id", "section", "place", "n_written")
 
 
 # --- functions ----------------------------------------------------------------
@@ -296,6 +357,7 @@ SOURCES: dict[str, Query] = {
     "src_login_history": _logins,
     "src_network_policy_flag": _network_flag,
     "snapshot_roundtrip": _roundtrip,
+    "snapshot_availability": _availability,
 }
 
 FUNCTIONS: dict[str, Query] = {
@@ -338,6 +400,8 @@ CHECK_QUERIES: dict[str, Query] = {
     "status_counts": _status_counts,
     "scorecard": _scorecard,
     "sql_check_example": _example_check,
+    "gated_results": _gated_results,
+    "report_results": _report,
 }
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 from collections.abc import Callable
 
@@ -36,6 +37,7 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"{tempfile.mkdtemp(prefix='grantlens-bench-')}/stages")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

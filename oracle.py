@@ -411,7 +411,7 @@ SELECTS = {
     "src_network_policy_flag": """SELECT count(*) > 0 AS has_network_policy
         FROM t_network_policies""",
     "snapshot_roundtrip": "\nUNION ALL ".join(
-        f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {source}) AS n_rows"
+        f"SELECT '{name}' AS table_name, (SELECT count(*) FROM {source}) AS n_rows, 0::BIGINT AS n_changed"
         for name, source in _SNAPSHOT_ROWS.items()
     ),
     "fn_fqn_parts": """SELECT fqn, '"' || "database" || '"' AS db,
@@ -479,6 +479,23 @@ SELECTS = {
     "scorecard": f"""SELECT round(score, 6) AS score, {_GRADE} AS grade,
         n_fail, n_warn, n_pass, n_info, n_insight, n_unknown FROM (
         SELECT avg(score) FILTER (score >= 0) AS score, {_STATUS_COUNTS} FROM results)""",
+    "snapshot_availability": """SELECT * FROM (VALUES ('all', true, true, true, false),
+        ('required', true, false, false, false), ('partial', false, false, false, true))
+        AS v(kind, has_data, enterprise, has_usage, failed),
+        (SELECT count(*) AS n_users FROM customer)""",
+    "gated_results": """SELECT check_id, CASE
+        WHEN check_id IN ('c09_most_used_tables', 'c10_most_used_columns',
+          'c11_least_used_tables', 'c16_row_access_policies') THEN 'INFO'
+        WHEN check_id IN ('c08_inaccessible_objects', 'c13_most_accessible',
+          'c14_least_accessible', 'c17_sensitive_columns') THEN 'UNKNOWN'
+        WHEN check_id = 'c06_inactive_users' THEN (SELECT CASE WHEN count(*) > 0 THEN 'WARN'
+          ELSE 'PASS' END FROM c06 WHERE reason = 'no_login_7d')
+        ELSE status END AS status FROM results""",
+    "report_results": """SELECT check_id, section, place::INT AS place, n_written FROM (
+        SELECT check_id, n_findings AS n_written, section, row_number() OVER (
+          ORDER BY section, sort_key, title) AS place FROM (SELECT *, list_position(
+          ['FAIL', 'WARN', 'PASS', 'INFO', 'INSIGHT', 'UNKNOWN'], status) AS section FROM results))
+        WHERE check_id <> 'c04_network_policy'""",
     "sql_check_example": """SELECT name FROM t_users WHERE has_password AND NOT disabled""",
 }
 
