@@ -235,8 +235,12 @@ def near_duplicates(docs: DataFrame) -> NearDuplicates:
     signed = workspace.stage(sign(texts), "near_signed").df
     named = ["name1", "name2", "n_shingles"]
     full = signed.filter("n_shingles > 0")
-    rep = full.groupBy(*named).agg(F.min("doc_id").alias("rep"))
-    rep = workspace.stage(full.select("doc_id", *named).join(rep, named).select("doc_id", "n_shingles", "rep"), "near_rep").df
+    copied = full.groupBy(*named).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # Written first, so that the join below is one that Spark can split by a hot set.
+    copied = workspace.stage(copied.filter("n > 1").drop("n"), "near_copied").df
+    rep = full.select("doc_id", *named).join(copied, named, "left")
+    rep = rep.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    rep = workspace.stage(rep, "near_rep").df
     sets = rep.filter("doc_id = rep").select(F.col("doc_id").alias("id"))
     unique = workspace.stage(
         full.join(sets, full["doc_id"] == sets["id"]).select("id", "n_shingles", *SIGNATURE), "near_unique"

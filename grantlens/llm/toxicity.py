@@ -219,18 +219,19 @@ def _terms_of(docs: DataFrame) -> DataFrame:
     return map_slices(id_and_text(docs), run, "doc_id long, m1 long, m2 long, terms array<long>")
 
 
-def learn_terms(docs: DataFrame) -> list[int]:
-    """Terms that mark toxic training texts. Of near copies (equal MinHash marks) one counts."""
+def learn_terms(docs: DataFrame, n_toxic: int, n_clean: int) -> list[int]:
+    """Terms that mark the toxic ones of the training documents, which have n_toxic and n_clean labels.
+
+    Of near copies (equal MinHash marks) one counts.
+    """
+    if not n_toxic or not n_clean:
+        return []
     single = _terms_of(docs).join(docs.select("doc_id", "toxic"), "doc_id")
     single = single.dropDuplicates(["m1", "toxic"]).dropDuplicates(["m2", "toxic"])
     counted = single.select("toxic", F.explode("terms").alias("term"))
-    toxic, clean = F.sum("toxic"), F.sum(1 - F.col("toxic"))
-    counts = counted.groupBy("term").agg(toxic.alias("toxic"), clean.alias("clean"))
-    totals = single.agg(toxic.alias("all_toxic"), clean.alias("all_clean")).first()
-    if not totals["all_toxic"] or not totals["all_clean"]:
-        return []
-    odds = ((F.col("toxic") + 0.1) / totals["all_toxic"]) / ((F.col("clean") + 0.5) / totals["all_clean"])
-    least = max(3.0, TERM_SHARE * totals["all_toxic"])
+    counts = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    odds = ((F.col("toxic") + 0.1) / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
+    least = max(3.0, TERM_SHARE * n_toxic)
     marked = counts.filter((F.col("toxic") >= least) & (odds >= TERM_RATIO))
     top = marked.orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
     return [row["term"] for row in top.select("term").collect()]  # MAX_TERMS rows at most
@@ -287,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
     sample = workspace.stage(texts, "toxicity_sample").df
     counts = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     prior = (counts["toxic"] + 1) / (counts["n"] + 2)
-    words = lexicon(learn_terms(sample))
+    words = lexicon(learn_terms(sample, counts["toxic"], counts["n"] - counts["toxic"]))
     measured = features(sample, words).join(sample.select("doc_id", "toxic"), "doc_id")
     measured = workspace.stage(measured, "toxicity_features").df.coalesce(4)
     aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(4)) == 0
