@@ -79,14 +79,25 @@ def reachable_grants(
 
 
 def user_object_access(
-    workspace: Workspace, privileges: DataFrame, user_roles: DataFrame
+    workspace: Workspace,
+    privileges: DataFrame,
+    user_roles: DataFrame,
+    objects: Column | None = None,
+    users: Column | None = None,
 ) -> DataFrame:
     """One row per working privilege and user that holds its role.
 
-    The rows themselves are the answer here; use ``object_user_counts`` to count.
+    The rows repeat every user of a role for every object of the role. Ask for some with
+    ``objects`` and ``users``, conditions on the columns of either side, which are applied
+    before anything is repeated; use ``object_user_counts`` to count.
     """
-    grants = workspace.stage(reachable(privileges), "reachable")
-    holders = workspace.stage(user_roles.withColumn("grantee", F.col("role")), "holders")
+    working, held = reachable(privileges), user_roles
+    if objects is not None:
+        working = working.filter(objects)
+    if users is not None:
+        held = held.filter(users)
+    grants = workspace.stage(working, "reachable")
+    holders = workspace.stage(held.withColumn("grantee", F.col("role")), "holders")
     return balanced_join(workspace, grants, holders, ["grantee"], "inner", "object", "user")
 
 

@@ -329,16 +329,16 @@ def test_c17_masks_and_threshold(spark):
 
     score, status, metrics, findings = run(spark, "c17", snapshot(spark, **base))
     assert (score, status, metrics["threshold"]) == (0.89, "WARN", 3.0)
-    assert [tuple(r) for r in findings[""]] == exposed
+    assert sorted(tuple(r) for r in findings[""]) == exposed
 
     target = q("D", "S", "T1", "email")
     for state, left in (("ACTIVE", exposed[1:]), ("INACTIVE", exposed)):
         snap = snapshot(spark, masking_policy_references=[reference(target, state)], **base)
-        assert [tuple(r) for r in run(spark, "c17", snap)[3][""]] == left
+        assert sorted(tuple(r) for r in run(spark, "c17", snap)[3][""]) == left
     assert run(spark, "c17", snapshot(spark, **(base | {"columns": columns[2:]})))[0] == 1.0
 
 
-def test_c17_shows_fifty_and_counts_all(spark):
+def test_c17_lists_all_columns(spark):
     columns = [column("D", "S", "T1", f"email{i:03}") for i in range(60)]
     users = [user(f"u{i}") for i in range(4)]
     snap = snapshot(
@@ -350,7 +350,7 @@ def test_c17_shows_fifty_and_counts_all(spark):
     )
     _, _, metrics, findings = run(spark, "c17", snap)
     assert metrics["n_exposed"] == 60.0
-    assert len(findings[""]) == 50
+    assert len(findings[""]) == 60
 
 
 def test_results_are_ordered_worst_first_then_by_title(spark):

@@ -130,6 +130,19 @@ def test_parent_permission_flags(spark, workspace):
     assert rows(found, "object", "db", "schema") == {(obj, q("D"), q("D", "S"))}
 
 
+def test_access_of_some_objects_and_users(spark, workspace):
+    grants = [privilege(q("D"), "DATABASE", "r"), privilege(q("D", "S"), "SCHEMA", "r")]
+    grants += [privilege(q("D", "S", f"T{i}"), "TABLE", "r", "SELECT") for i in range(4)]
+    privileges = access.object_privileges_by_role(workspace, table(spark, "privilege_grants", grants))
+    held = spark.createDataFrame([(f"u{i}", "r") for i in range(5)], "user string, role string")
+    every = access.user_object_access(workspace, privileges, held)
+    assert every.count() == 20
+    some = access.user_object_access(
+        workspace, privileges, held, F.col("object").endswith('T1"'), F.col("user") != "u0"
+    )
+    assert rows(some, "object", "user") == {(q("D", "S", "T1"), f"u{i}") for i in range(1, 5)}
+
+
 def test_account_level_grants_have_no_schema(spark, workspace):
     grants = [privilege(q("WH"), "WAREHOUSE", "r")]
     found = access.object_privileges_by_role(workspace, table(spark, "privilege_grants", grants))
