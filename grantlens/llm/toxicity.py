@@ -96,9 +96,10 @@ def _term_hashes(texts: Texts, plain: np.ndarray) -> list[np.ndarray]:
     letters = _LETTERS[plain]
     terms = [texts.hashes(plain, letters)]
     place = np.concatenate([[0], np.cumsum(letters, dtype=np.int64)])
-    nth = place[1:] - np.repeat(place[texts.begin], np.diff(np.append(texts.begin, len(plain)))) if len(plain) else place[1:]
-    if len(plain) and len(texts.begin) and texts.begin[0] > 0:  # bytes before the first word belong to none
-        nth = np.concatenate([np.zeros(texts.begin[0], np.int64), nth])[: len(plain)]
+    # How many letters of its word each byte ends.
+    begins = np.zeros(len(plain), dtype=np.int64)
+    begins[texts.begin] = 1
+    nth = place[1:] - np.concatenate([[0], place[texts.begin]])[np.cumsum(begins)]
     size = place[texts.end] - place[texts.begin]
     for length in BEGINNINGS:
         hashes = texts.hashes(plain, letters & (nth <= length))
