@@ -14,8 +14,11 @@ one comparison a member, and no link between components is lost.
 
 Rows: one per doc_id. A text without words, or null, has an empty set and is linked with nothing. Fewer
 words than five are one shingle. Rows without doc_id get no row, as a component is named by an id, and
-are kept by ``deduplicate``. Rows that share a doc_id count as one document whose texts follow each other.
-The smallest id names a component, so there are no ties. Other columns are ignored.
+are kept by ``deduplicate``. Where rows share a doc_id, equal rows count once and each different text is
+compared on its own: ``deduplicate`` drops those texts that are near copies and keeps their namesakes. Such
+a document's row adds up its texts' shingles; it is kept if one of its texts is, and else its component is
+the smallest one of its texts'. The smallest id names a component, and of its texts the one with the
+lowest MD5, so there are no ties. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from grantlens.llm.batches import id_and_text, map_slices, mix, shingle_sets
 from grantlens.llm.components import components
+from grantlens.operators.skew import lookup_join
 from grantlens.workspace import Stage, Workspace
 
 SHINGLE_WORDS = 5
@@ -46,6 +50,9 @@ PLANES = 16
 CHUNKS = 14
 DISTANCE = 27
 
+# The column that tells apart the texts of one doc_id.
+TEXT_KEY = "near_text_md5"
+
 # Ids that are broadcast to pick documents, at most; beyond that they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -203,12 +210,14 @@ class NearDuplicates:
     """What was found.
 
     members: doc_id, n_shingles, component_id and kept; links: confirmed pairs (a, b) of documents that
-    stand for their equal sets; repeated: the ids of several rows.
+    stand for their equal sets; repeated: the ids of several rows; gone: the doc_id of what is not kept,
+    and if ids are repeated also the ``TEXT_KEY`` of its text.
     """
 
     members: DataFrame
     links: DataFrame
     repeated: Stage
+    gone: DataFrame
 
 
 def _hinted(ids: Stage) -> DataFrame:
@@ -216,14 +225,18 @@ def _hinted(ids: Stage) -> DataFrame:
     return F.broadcast(ids.df) if ids.rows <= BROADCAST_IDS else ids.df
 
 
-def _one_row_per_id(docs: DataFrame, repeated: Stage) -> DataFrame:
-    """Documents with unique ids. Rows that share an id are put together, a line each."""
-    rows = id_and_text(docs).filter("doc_id IS NOT NULL")
-    if not repeated.rows:
-        return rows
+def _text_key(text: str) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias(TEXT_KEY)
+
+
+def _numbered(workspace: Workspace, docs: DataFrame, repeated: Stage) -> DataFrame:
+    """id, doc_id, key and text of every different row, where ids are repeated."""
+    rows = id_and_text(docs).filter("doc_id IS NOT NULL").select("doc_id", "text", _text_key("text"))
     single = rows.join(_hinted(repeated), "doc_id", "left_anti")
-    merged = rows.join(_hinted(repeated), "doc_id", "left_semi").distinct().groupBy("doc_id")
-    return single.unionByName(merged.agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text")))
+    several = rows.join(_hinted(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", TEXT_KEY])
+    both = single.unionByName(several.select(*single.columns))
+    # Written before use: the row number must not change if a task runs again.
+    return workspace.stage(both.withColumn("id", F.monotonically_increasing_id()), "near_rows").df
 
 
 def near_duplicates(docs: DataFrame) -> NearDuplicates:
@@ -231,7 +244,33 @@ def near_duplicates(docs: DataFrame) -> NearDuplicates:
     workspace = Workspace(docs.sparkSession)
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     repeated = workspace.stage(counted.filter("n > 1").select("doc_id"), "near_repeated")
-    texts = _one_row_per_id(docs, repeated)
+    if not repeated.rows:
+        found, links = _linked(workspace, id_and_text(docs).filter("doc_id IS NOT NULL"))
+        members = found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        return NearDuplicates(members, links, repeated, members.filter("NOT kept").select("doc_id"))
+
+    numbered = _numbered(workspace, docs, repeated)
+    found, links = _linked(workspace, numbered.select(F.col("id").alias("doc_id"), "text"))
+    owners = numbered.select("id", "doc_id", TEXT_KEY)
+    found = found.select(F.col("doc_id").alias("id"), "n_shingles", "component_id")
+    owned = workspace.stage(found.join(owners, "id"), "near_owned").df
+    lowest = owned.groupBy("component_id").agg(F.min(F.struct("doc_id", TEXT_KEY)).alias("lowest"))
+    lowest = workspace.stage(lowest, "near_lowest")
+    rows = lookup_join(workspace, owned, lowest, ["component_id"], "inner", spread="id")
+    rows = rows.withColumn("kept", F.struct("doc_id", TEXT_KEY) == F.col("lowest"))
+    rows = workspace.stage(rows.withColumn("low", F.col("lowest.doc_id")).drop("lowest"), "near_kept").df
+    members = rows.groupBy("doc_id").agg(
+        F.sum("n_shingles").alias("n_shingles"), F.min("low").alias("low"), F.max("kept").alias("kept")
+    )
+    named = F.when(F.col("kept"), F.col("doc_id")).otherwise(F.col("low")).alias("component_id")
+    members = members.select("doc_id", "n_shingles", named, "kept")
+    ends = [owners.select(F.col("id").alias(end), F.col("doc_id").alias(f"{end}_doc")) for end in ("a", "b")]
+    links = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b"))
+    return NearDuplicates(members, links, repeated, rows.filter("NOT kept").select("doc_id", TEXT_KEY))
+
+
+def _linked(workspace: Workspace, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles and component_id of texts with unique ids, and the links between them."""
     signed = workspace.stage(sign(texts), "near_signed").df
     named = ["name1", "name2", "n_shingles"]
     full = signed.filter("n_shingles > 0")
@@ -288,8 +327,7 @@ def near_duplicates(docs: DataFrame) -> NearDuplicates:
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
     empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    members = grouped.unionByName(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return NearDuplicates(members, links, repeated)
+    return grouped.unionByName(empty), links
 
 
 def _sizes_allow(left: str, right: str) -> Column:
@@ -338,12 +376,16 @@ def _confirmed(workspace: Workspace, texts: DataFrame, pairs: Stage) -> DataFram
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents that are kept: of each component the one with the smallest id, and of its rows one."""
+    """The documents that are kept: of each component the one with the smallest id, and of equal rows one."""
     found = near_duplicates(docs)
     workspace = Workspace(docs.sparkSession)
-    gone = workspace.stage(found.members.filter("NOT kept").select("doc_id"), "near_gone")
+    gone = workspace.stage(found.gone, "near_gone")
     if not found.repeated.rows:
         return docs.join(_hinted(gone), "doc_id", "left_anti")
-    again = docs.join(_hinted(found.repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rest = docs.join(_hinted(found.repeated), "doc_id", "left_anti")
-    return rest.unionByName(again).join(_hinted(gone), "doc_id", "left_anti")
+    keyed = docs.select("*", _text_key("text")).join(_hinted(gone), ["doc_id", TEXT_KEY], "left_anti")
+    rest = keyed.join(_hinted(found.repeated), "doc_id", "left_anti").select(*docs.columns)
+    again = keyed.join(_hinted(found.repeated), "doc_id", "left_semi")
+    # Rows that differ in other columns only: the one that comes first by the whole row's hash.
+    row = F.struct(*docs.columns)
+    again = again.groupBy("doc_id", TEXT_KEY).agg(F.min_by(row, F.md5(F.to_json(row).cast("binary"))).alias("row"))
+    return rest.unionByName(again.select("row.*"))
