@@ -2,9 +2,9 @@
 
 A document is the set of its distinct five-word shingles. Equal sets are merged first. Each set gets
 ``SYMBOLS`` MinHash values cut to 16 bits. For sets with the similarity looked for, more than
-``DISTANCE`` of them differ once in 28 million pairs or less; every pair within that distance is found:
-the signature is cut into ``CHUNKS`` chunks, by pigeonhole one of them has at most
-``DISTANCE // CHUNKS`` = 1 differing value, and each chunk is indexed once per value that may differ,
+``distance`` of them differ in one of ten million pairs or less; every pair within that distance is found:
+the signature is cut into more than ``distance / 2`` chunks, by pigeonhole one of them has at most
+one differing value, and each chunk is indexed once per value that may differ,
 under its other values. Pairs are confirmed on the full sets.
 
 A bucket's members are first compared with the lowest one only. Then connected components are taken,
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +39,15 @@ from grantlens.workspace import Stage, Workspace
 
 SHINGLE_WORDS = 5
 
-# Links: 100 * intersection >= PERCENT * union.
+# Links: 100 * intersection >= percent * union; this one unless the caller names another.
 PERCENT = 85
 
 # Signature: 64 values of 16 bits, stored as 16 longs, of which each has one bit of every value.
 SYMBOLS = 64
 PLANES = 16
 
-# At similarity 0.85 a value differs with probability 0.15: of 64, 28 or more do in 1 of 28 million
-# pairs, and less often the more similar the sets are.
-CHUNKS = 14
-DISTANCE = 27
+# The part of pairs at the similarity looked for that may lie beyond the signature distance, at most.
+MISSED = 1e-7
 
 # The column that tells apart the texts of one doc_id.
 TEXT_KEY = "near_text_md5"
@@ -62,8 +61,41 @@ _TOGGLE = (_SEEDS & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 SIGNATURE = [f"s{k}" for k in range(PLANES)]
 
-_CUTS = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int).tolist()
-_EDGES = list(zip(_CUTS[:-1], _CUTS[1:], strict=True))  # first and last-plus-one value of each chunk
+
+@dataclass(frozen=True)
+class Index:
+    """The chunks of signatures for one similarity; pairs that differ in ``distance`` values or fewer meet."""
+
+    percent: int
+    chunks: int
+
+    @property
+    def distance(self) -> int:
+        return min(2 * self.chunks - 1, SYMBOLS)
+
+    @property
+    def edges(self) -> list[tuple[int, int]]:
+        """First and last-plus-one value of each chunk."""
+        cuts = np.linspace(0, SYMBOLS, self.chunks + 1).round().astype(int).tolist()
+        return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def missed(percent: int, distance: int) -> float:
+    """The part of pairs with this similarity that differ in more values."""
+    one = 1 - percent / 100
+    return sum(comb(SYMBOLS, n) * one**n * (1 - one) ** (SYMBOLS - n) for n in range(distance + 1, SYMBOLS + 1))
+
+
+def index_for(percent: int) -> Index:
+    """The index with the fewest chunks that misses few enough pairs: 14 chunks at 85, 16 at 80."""
+    for chunks in range(1, SYMBOLS // 2 + 1):
+        index = Index(percent, chunks)
+        if missed(percent, index.distance) <= MISSED:
+            return index
+    raise ValueError(f"signatures are too short for a similarity of {percent} percent")
+
+
+DEFAULT = index_for(PERCENT)
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -98,11 +130,11 @@ def from_planes(planes: np.ndarray) -> np.ndarray:
     return (bits << np.arange(PLANES, dtype=np.uint16)[None, :, None]).sum(axis=1, dtype=np.uint16)
 
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
+def chunk_keys(symbols: np.ndarray, index: Index = DEFAULT) -> np.ndarray:
     """Keys (rows x SYMBOLS) of the index: for each value, its chunk's other values, hashed."""
     keys = np.empty((len(symbols), SYMBOLS), dtype=np.uint64)
     wide = symbols.astype(np.uint64)
-    for start, stop in _EDGES:
+    for start, stop in index.edges:
         for left_out in range(start, stop):
             key = np.full(len(symbols), left_out + 1, dtype=np.uint64)
             for k in range(start, stop):
@@ -145,12 +177,12 @@ def _signed(bits: int) -> Column:
     return F.lit(bits - 2**64 if bits >= 2**63 else bits).cast("long")
 
 
-def first_shared(mask: Column) -> Column:
+def first_shared(mask: Column, index: Index = DEFAULT) -> Column:
     """The value left out, as a bit, in the first key that a pair with this difference has in common."""
 
     def bit(known: Column) -> Column:
         first = F.lit(None).cast("long")
-        for start, stop in reversed(_EDGES):
+        for start, stop in reversed(index.edges):
             inside = known.bitwiseAND(_signed((1 << stop) - (1 << start)))
             left_out = F.when(inside == 0, _signed(1 << start)).otherwise(inside)
             first = F.when(F.bit_count(inside) <= 1, left_out).otherwise(first)
@@ -159,20 +191,20 @@ def first_shared(mask: Column) -> Column:
     return F.transform(F.array(mask), bit)[0]
 
 
-def _keys(signed: DataFrame) -> DataFrame:
+def _keys(signed: DataFrame, index: Index) -> DataFrame:
     """id and the keys under which it is indexed."""
 
     def run(batches):
         for batch in batches:
             planes = np.stack([np.asarray(batch.column(name)) for name in SIGNATURE], axis=1)
-            keys = chunk_keys(from_planes(planes))
+            keys = chunk_keys(from_planes(planes), index)
             ids = np.repeat(np.asarray(batch.column("id")), SYMBOLS)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
     return signed.select("id", *SIGNATURE).mapInArrow(run, "key long, id long")
 
 
-def _confirm(workspace: Workspace, pairs: Stage, sets: DataFrame) -> DataFrame:
+def _confirm(workspace: Workspace, pairs: Stage, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have the similarity; ``sets`` has id, n_shingles and the shingles."""
 
     def run(batches):
@@ -182,7 +214,7 @@ def _confirm(workspace: Workspace, pairs: Stage, sets: DataFrame) -> DataFrame:
             for left, right in zip(*lists, strict=True):
                 x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
@@ -239,18 +271,19 @@ def _numbered(workspace: Workspace, docs: DataFrame, repeated: Stage) -> DataFra
     return workspace.stage(both.withColumn("id", F.monotonically_increasing_id()), "near_rows").df
 
 
-def near_duplicates(docs: DataFrame) -> NearDuplicates:
-    """Link near-duplicate documents and name their components."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> NearDuplicates:
+    """Link documents whose similarity is ``percent`` or more and name their components."""
+    near = index_for(percent)
     workspace = Workspace(docs.sparkSession)
     counted = docs.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     repeated = workspace.stage(counted.filter("n > 1").select("doc_id"), "near_repeated")
     if not repeated.rows:
-        found, links = _linked(workspace, id_and_text(docs).filter("doc_id IS NOT NULL"))
+        found, links = _linked(workspace, id_and_text(docs).filter("doc_id IS NOT NULL"), near)
         members = found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
         return NearDuplicates(members, links, repeated, members.filter("NOT kept").select("doc_id"))
 
     numbered = _numbered(workspace, docs, repeated)
-    found, links = _linked(workspace, numbered.select(F.col("id").alias("doc_id"), "text"))
+    found, links = _linked(workspace, numbered.select(F.col("id").alias("doc_id"), "text"), near)
     owners = numbered.select("id", "doc_id", TEXT_KEY)
     found = found.select(F.col("doc_id").alias("id"), "n_shingles", "component_id")
     owned = workspace.stage(found.join(owners, "id"), "near_owned").df
@@ -269,7 +302,7 @@ def near_duplicates(docs: DataFrame) -> NearDuplicates:
     return NearDuplicates(members, links, repeated, rows.filter("NOT kept").select("doc_id", TEXT_KEY))
 
 
-def _linked(workspace: Workspace, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _linked(workspace: Workspace, texts: DataFrame, near: Index) -> tuple[DataFrame, DataFrame]:
     """doc_id, n_shingles and component_id of texts with unique ids, and the links between them."""
     signed = workspace.stage(sign(texts), "near_signed").df
     named = ["name1", "name2", "n_shingles"]
@@ -286,11 +319,12 @@ def _linked(workspace: Workspace, texts: DataFrame) -> tuple[DataFrame, DataFram
     ).df
 
     # The index: keys that several sets have, with the lowest of them.
-    keys = _keys(unique)
+    keys = _keys(unique, near)
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last")
     index = workspace.stage(keys.join(shared.select("key", "hub"), "key"), "near_index").df
-    first = _within(workspace, unique, index.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    links = workspace.stage(_confirmed(workspace, texts, first), "near_links").df
+    hubs = index.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    first = _within(workspace, unique, hubs, near)
+    links = workspace.stage(_confirmed(workspace, texts, first, near.percent), "near_links").df
     found = components(workspace, links)
 
     # What is left: buckets that hold several components.
@@ -310,16 +344,16 @@ def _linked(workspace: Workspace, texts: DataFrame) -> tuple[DataFrame, DataFram
         bucketed.alias("y"),
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.component") < F.col("y.component"))
-        & _overlap_allows("x", "y")
-        & (differing("x", "y") <= DISTANCE)
-        & (first_shared(difference("x", "y")) == own_key),
+        & _overlap_allows("x", "y", near.percent)
+        & (differing("x", "y") <= near.distance)
+        & (first_shared(difference("x", "y"), near) == own_key),
     )
     low, high = F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")
     second = workspace.stage(
         pairs.select(low, high).distinct().join(first.df, ["a", "b"], "left_anti"), "near_second"
     )
     if second.rows:
-        more = _confirmed(workspace, texts, second)
+        more = _confirmed(workspace, texts, second, near.percent)
         links = workspace.stage(links.unionByName(more), "near_all_links").df
         found = components(workspace, links)
 
@@ -330,16 +364,16 @@ def _linked(workspace: Workspace, texts: DataFrame) -> tuple[DataFrame, DataFram
     return grouped.unionByName(empty), links
 
 
-def _sizes_allow(left: str, right: str) -> Column:
+def _sizes_allow(left: str, right: str, percent: int) -> Column:
     """Sets too different in size cannot have the similarity."""
     x, y = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def _overlap_allows(left: str, right: str) -> Column:
+def _overlap_allows(left: str, right: str, percent: int) -> Column:
     """Two sets have at most those shingles in common that each shares with some other document."""
     most = F.least(f"{left}.common", f"{right}.common")
-    return most * (100 + PERCENT) >= (F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")) * PERCENT
+    return most * (100 + percent) >= (F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")) * percent
 
 
 def _alone(workspace: Workspace, texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -360,24 +394,24 @@ def _alone(workspace: Workspace, texts: DataFrame, ids: DataFrame) -> DataFrame:
     return workspace.stage(sizes, "near_alone").df
 
 
-def _within(workspace: Workspace, unique: DataFrame, pairs: DataFrame) -> Stage:
+def _within(workspace: Workspace, unique: DataFrame, pairs: DataFrame, near: Index) -> Stage:
     """Those pairs (a, b) whose signatures are within the distance."""
     left = pairs.distinct().join(unique.alias("x"), F.col("a") == F.col("x.id"))
     both = left.join(unique.alias("y"), F.col("b") == F.col("y.id"))
-    near = both.filter((differing("x", "y") <= DISTANCE) & _sizes_allow("x", "y"))
-    return workspace.stage(near.select("a", "b"), "near_pairs")
+    close = both.filter((differing("x", "y") <= near.distance) & _sizes_allow("x", "y", near.percent))
+    return workspace.stage(close.select("a", "b"), "near_pairs")
 
 
-def _confirmed(workspace: Workspace, texts: DataFrame, pairs: Stage) -> DataFrame:
+def _confirmed(workspace: Workspace, texts: DataFrame, pairs: Stage, percent: int) -> DataFrame:
     ends = pairs.df.select(F.col("a").alias("doc_id")).union(pairs.df.select("b")).distinct()
     ids = workspace.stage(ends, "near_ends")
     sets = workspace.stage(_shingles(_picked(texts, ids)), "near_sets").df
-    return _confirm(workspace, pairs, sets)
+    return _confirm(workspace, pairs, sets, percent)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents that are kept: of each component the one with the smallest id, and of equal rows one."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, percent)
     workspace = Workspace(docs.sparkSession)
     gone = workspace.stage(found.gone, "near_gone")
     if not found.repeated.rows:
