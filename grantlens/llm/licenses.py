@@ -31,6 +31,12 @@ SENTENCES = {
     "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl-program": "this program is free software",
+    "gpl3-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl2-terms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "gpl2-version": "either version 2 of the license or at your option any later version",
+    "gpl-useful": "this program is distributed in the hope that it will be useful but without any warranty",
+    "gpl-implied": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
     "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
@@ -53,10 +59,15 @@ RULES = (
     ("mit-text", "MIT", ("mit-grant", "mit-notice", "mit-asis")),
     ("mit-named", "MIT", ("mit-named",)),
     ("mit-licensed", "MIT", ("mit-licensed",)),
-    ("gpl-3.0-notice", "GPL-3.0", ("gpl-free", "gpl-hope", "gpl-see")),
-    ("gpl-3.0-grant", "GPL-3.0", ("gpl-free",)),
-    ("gpl-2.0-notice", "GPL-2.0", ("gpl2-free", "gpl-hope", "gpl-see")),
-    ("gpl-2.0-grant", "GPL-2.0", ("gpl2-free",)),
+    ("gpl-3.0-notice", "GPL-3.0", ("gpl-program", "gpl3-terms", "gpl-useful", "gpl-implied", "gpl-see")),
+    ("gpl-3.0-grant", "GPL-3.0", ("gpl-program", "gpl3-terms")),
+    ("gpl-2.0-notice", "GPL-2.0", ("gpl-program", "gpl2-terms", "gpl2-version", "gpl-useful", "gpl-implied", "gpl-see")),
+    ("gpl-2.0-grant", "GPL-2.0", ("gpl-program", "gpl2-terms", "gpl2-version")),
+    # Copies that have commas or nothing in place of the colon and semicolons.
+    ("gpl-3.0-uncut-notice", "GPL-3.0", ("gpl-free", "gpl-hope", "gpl-see")),
+    ("gpl-3.0-uncut-grant", "GPL-3.0", ("gpl-free",)),
+    ("gpl-2.0-uncut-notice", "GPL-2.0", ("gpl2-free", "gpl-hope", "gpl-see")),
+    ("gpl-2.0-uncut-grant", "GPL-2.0", ("gpl2-free",)),
     ("gpl-3.0-named", "GPL-3.0", ("gpl3-named",)),
     ("bsd-2-text", "BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("bsd-3-text", "BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
