@@ -8,7 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from grantlens.llm import byte_bpe, decontamination, fingerprints, language_model, licenses, near_dedup, quality, sharding, token_counts, toxicity
+from grantlens.llm import (
+    byte_bpe,
+    decontamination,
+    fingerprints,
+    language_model,
+    licenses,
+    near_dedup,
+    quality,
+    sharding,
+    spelling,
+    token_counts,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +96,10 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, folder)).members
 
 
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, folder), damage=31)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_toxicity,
@@ -96,6 +112,7 @@ def queries() -> dict[str, Query]:
         op8_lm_scoring,
         op9_byte_bpe,
         op10_near_dedup,
+        op11_spelling,
     )
     return {**{query.__name__: query for query in found}, "pipeline": corpus_pipeline.run}
 
