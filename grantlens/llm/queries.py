@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from grantlens.llm import (
     byte_bpe,
+    conversation_trie,
     decontamination,
     fingerprints,
     language_model,
@@ -32,6 +33,10 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def _conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/conversations.parquet")
+
+
 def _held_out(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == HELD_OUT
 
@@ -100,6 +105,10 @@ def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(_documents(spark, folder), damage=31)
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_conversations(spark, folder), block=20, shared=4)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_toxicity,
@@ -113,6 +122,7 @@ def queries() -> dict[str, Query]:
         op9_byte_bpe,
         op10_near_dedup,
         op11_spelling,
+        op12_prefix_trie,
     )
     return {**{query.__name__: query for query in found}, "pipeline": corpus_pipeline.run}
 
