@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from grantlens.llm import (
     byte_bpe,
+    chat_format,
     conversation_trie,
     decontamination,
     fingerprints,
     language_model,
     licenses,
     near_dedup,
+    oracles,
     quality,
     sharding,
     spelling,
@@ -109,6 +111,18 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_trie.prefix_trie(_conversations(spark, folder), block=20, shared=4)
 
 
+def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    says = F.lit("</s>[INST] ok [/INST]").alias("text")
+    asked = spark.range(0, 2, 1, 1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        says,
+    )
+    rows = _conversations(spark, folder).select("conv_id", "turn", "role", "text").unionByName(asked)
+    return chat_format.read_back(chat_format.examples(rows))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_toxicity,
@@ -123,12 +137,18 @@ def queries() -> dict[str, Query]:
         op10_near_dedup,
         op11_spelling,
         op12_prefix_trie,
+        op13_chat_format,
     )
     return {**{query.__name__: query for query in found}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_licenses": licenses.scan_sql()}
+    found = {
+        "op3_licenses": licenses.scan_sql(),
+        "op11_spelling": oracles.spelling(),
+        "op12_prefix_trie": oracles.prefix_trie(),
+        "op13_chat_format": oracles.chat_format(),
+    }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
