@@ -59,8 +59,8 @@ def information() -> CheckPlan:
 class Audit:
     """One snapshot with the views that several checks share, each built once.
 
-    Unless ``keep`` is off, usage and findings are written to the workspace too, so that
-    the logs are read once, and metrics and reports read findings back.
+    Unless ``keep`` is off, usage and findings are written to the workspace too, so that metrics and
+    reports read findings back, and the access log is read once, when a check first needs it.
     """
 
     def __init__(
@@ -100,7 +100,7 @@ class Audit:
     def snapshot(self) -> Snapshot:
         if not self.keep:
             return self._given
-        return self._view("snapshot", lambda: self._given.staged(self.workspace))
+        return self._view("snapshot", lambda: self._given.on_demand(self.workspace))
 
     @property
     def role_closure(self) -> Stage:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, field, fields, replace
 from datetime import UTC, datetime
+from threading import Lock
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -17,6 +18,9 @@ from grantlens.sources.raw import RawTables
 from grantlens.sources.schemas import OPTIONAL_RAW, RAW, SNAPSHOT
 from grantlens.workspace import Workspace, side_by_side
 
+# Tables that come from the access log.
+USAGE = ("usage_tables", "usage_columns", "unreadable_log_rows")
+
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -110,6 +114,12 @@ class Snapshot:
         wanted = {name: df for name, df in usage.items() if getattr(self, name) is not None}
         return replace(self, **wanted, access_log=None)
 
+    def on_demand(self, workspace: Workspace) -> Snapshot:
+        """The same snapshot, whose usage is stored when one of its usage tables is first asked for."""
+        if self.access_log is None:
+            return self
+        return _StoredOnDemand(**{f.name: getattr(self, f.name) for f in fields(self)}, workspace=workspace)
+
     def write(self, path: str, mode: str = "errorifexists") -> None:
         """Save every collected table as a parquet folder; the access log is read once."""
         if not self.tables():
@@ -141,6 +151,37 @@ class Snapshot:
         return replace(self, **dict.fromkeys(names))
 
 
+@dataclass(frozen=True)
+class _StoredOnDemand(Snapshot):
+    """Reads no log until a usage table is read, and then reads it once for all of them."""
+
+    workspace: Workspace | None = None
+    _lock: Lock = field(default_factory=Lock, repr=False, compare=False)
+
+    def __getattribute__(self, name: str) -> object:
+        value = super().__getattribute__(name)
+        if name in USAGE and value is not None:
+            return getattr(self._stored(), name)
+        return value
+
+    def _stored(self) -> Snapshot:
+        found = self.__dict__
+        with found["_lock"]:
+            if "_usage" not in found:
+                found["_usage"] = self._plain().staged(found["workspace"])
+            return found["_usage"]
+
+    def _plain(self) -> Snapshot:
+        return Snapshot(**{f.name: self.__dict__[f.name] for f in fields(Snapshot)})
+
+    def without(self, *names: str) -> Snapshot:
+        return self._plain().without(*names).on_demand(self.workspace)
+
+    def has(self, *names: str) -> bool:
+        """Whether the account was read and all the named tables were collected; reads none of them."""
+        return self.has_data and all(self.__dict__[name] is not None for name in names)
+
+
 assert [f.name for f in fields(Snapshot)] == [*SNAPSHOT, "fetch_error", "access_log"]
 
 

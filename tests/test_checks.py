@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 
 from grantlens import (
@@ -422,3 +424,51 @@ def test_python_check(spark):
 
 def test_empty_table_helper_is_typed(spark):
     assert table(spark, "users").dtypes[1] == ("disabled", "boolean")
+
+
+# --- the access log ---------------------------------------------------------------
+
+
+def lazy_account(spark, monkeypatch):
+    """A snapshot that fails when its access log is read, and the list of times its usage was stored."""
+    from grantlens.sources import snapshot as module
+
+    log = spark.range(1).select(
+        F.lit("u").alias("user"), F.raise_error(F.lit("the log was read")).cast("string").alias("accessed")
+    )
+    usage = {name: table(spark, name) for name in module.USAGE}
+    stored = []
+
+    def staged(given, workspace):
+        stored.append(given)
+        return usage
+
+    monkeypatch.setattr(module, "staged_usage", staged)
+    return replace(empty_snapshot(spark), access_log=log), stored
+
+
+USES_LOG = {"c06_inactive_users", "c09_most_used_tables", "c10_most_used_columns", "c11_least_used_tables"}
+
+
+@pytest.mark.parametrize("check", [c for c in BUILT_IN if c.id not in USES_LOG], ids=lambda c: c.id)
+def test_checks_without_usage_leave_the_log_alone(spark, monkeypatch, check):
+    lazy, stored = lazy_account(spark, monkeypatch)
+    assert result_row(Audit(spark, lazy), check).count() == 1
+    assert stored == []
+
+
+def test_checks_of_usage_read_the_log_once(spark, monkeypatch):
+    lazy, stored = lazy_account(spark, monkeypatch)
+    audit = Audit(spark, lazy)
+    rows = check_results(audit, [c for c in BUILT_IN if c.id in USES_LOG]).collect()
+    assert len(rows) == 4 and len(stored) == 1
+    assert audit.snapshot.has("usage_tables") and not audit.snapshot.without("usage_tables").has("usage_tables")
+
+
+def test_reports_and_sql_checks_leave_the_log_alone(spark, monkeypatch, tmp_path):
+    lazy, stored = lazy_account(spark, monkeypatch)
+    own = sql_check("x", "X", ("users",), "SELECT name FROM {users}")
+    write_report(spark, lazy, str(tmp_path / "report"), checks=[own, BUILT_IN[0]])
+    assert stored == []
+    spied = sql_check("y", "Y", ("usage_tables",), "SELECT object FROM {usage_tables}")
+    assert result_row(Audit(spark, lazy), spied).count() == 1 and len(stored) == 1
