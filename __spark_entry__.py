@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import oracle
 from grantlens.functions import identifiers, names, scoring
 from grantlens.operators import access, graph, usage
+from grantlens.operators.factored import FactoredAccess
 from grantlens.plans.admin import ACCOUNT_ADMIN, SECURITY_ADMIN
 from grantlens.plans.check import Audit, count_of, result_row
 from grantlens.plans.registry import BUILT_IN, sql_check
@@ -271,6 +272,36 @@ def _access(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("object", "db", "schema", "grantee", "user", "role")
 
 
+def _factored(spark: SparkSession, folder: str) -> tuple[FactoredAccess, Audit]:
+    audit = _audit(spark, folder, *COUNTS)
+    return audit.factored_access, audit
+
+
+def _object_sets(spark: SparkSession, folder: str) -> DataFrame:
+    return _factored(spark, folder)[0].object_sets.df
+
+
+def _profiles(spark: SparkSession, folder: str) -> DataFrame:
+    return _factored(spark, folder)[0].profiles.df
+
+
+def _role_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return _factored(spark, folder)[0].role_sizes()
+
+
+def _expanded(spark: SparkSession, folder: str) -> DataFrame:
+    factored, audit = _factored(spark, folder)
+    return factored.expand(audit.workspace)
+
+
+def _expanded_for_one(spark: SparkSession, folder: str, side: str) -> DataFrame:
+    """Access of the first user, or to the first object, that the factors know."""
+    factored, audit = _factored(spark, folder)
+    members = getattr(factored, f"{side}s").df
+    first = F.col(side) == members.agg(F.min(side)).scalar()
+    return factored.expand(audit.workspace, **{f"{side}s": first})
+
+
 def _user_counts(spark: SparkSession, folder: str, plan: str = "auto") -> DataFrame:
     audit = _audit(spark, folder, *COUNTS)
     snapshot = audit.snapshot
@@ -380,6 +411,12 @@ OPERATORS: dict[str, Query] = {
     "role_closure": _user_roles,
     "object_privileges_by_role": _privileges,
     "user_object_access": _access,
+    "access_object_sets": _object_sets,
+    "access_profiles": _profiles,
+    "access_role_sizes": _role_sizes,
+    "access_expanded": _expanded,
+    "access_of_one_user": partial(_expanded_for_one, side="user"),
+    "access_of_one_object": partial(_expanded_for_one, side="object"),
     "object_user_counts": _user_counts,
     "object_user_counts_bitmaps": partial(_user_counts, plan="bitmaps"),
 }

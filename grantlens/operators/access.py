@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,11 +127,10 @@ def set_names(rows: DataFrame, owner: str) -> DataFrame:
 
 
 def set_ids(workspace: Workspace, rows: DataFrame, owner: str) -> Stage:
-    """(owner, set_id): equal exactly for owners with equal sets of roles.
+    """(owner, set_id): equal exactly for owners with equal sets of roles; a set is named by its first owner.
 
-    The roles of every owner are looked up among those of one owner with the same
-    candidate name. Sets of one size that share all roles are equal; an owner whose set
-    differs gets a name of its own.
+    The roles of every owner are looked up among those of the first owner with the same candidate name.
+    Sets of one size that share all roles are equal; an owner whose set differs is a set of its own.
     """
     named = workspace.stage(set_names(rows, owner), f"{owner}-set-names")
     samples = named.df.groupBy("set_id").agg(F.min(owner).alias(owner))
@@ -141,41 +142,38 @@ def set_ids(workspace: Workspace, rows: DataFrame, owner: str) -> Stage:
         workspace, claimed, expected, ["set_id", "role"], "left_semi", spread=owner
     )
     counts = shared.groupBy(owner).agg(F.count(F.lit(1)).alias("n_shared"))
+    firsts = Stage(samples.withColumnRenamed(owner, "first"), named.rows)
+    checked = named.df.join(counts, owner, "left")
+    checked = lookup_join(workspace, checked, firsts, ["set_id"], "left", spread=owner)
     same = F.col("n_shared").eqNullSafe(F.col("n_roles"))
-    own_name = F.concat_ws("#", "set_id", owner)
-    exact = named.df.join(counts, owner, "left").select(
-        owner, F.when(same, F.col("set_id")).otherwise(own_name).alias("set_id")
-    )
+    exact = checked.select(owner, F.when(same, F.col("first")).otherwise(F.col(owner)).alias("set_id"))
     return workspace.stage(exact, f"{owner}-sets", at_most=named.rows)
 
 
 def set_roles(rows: DataFrame, members: DataFrame, owner: str) -> DataFrame:
-    """(set_id, weight, role): the roles of each set, read back from one owner of it.
+    """(set_id, weight, role): the roles of each set, read back from its first owner.
 
     ``weight`` is the number of owners with that set. The join is on the owner, who has
     each role once, so no key has more rows than there are roles.
     """
-    samples = members.groupBy("set_id").agg(
-        F.min(owner).alias(owner), F.count(F.lit(1)).alias("weight")
-    )
-    return rows.join(samples, owner).select("set_id", "weight", "role")
+    sets = members.groupBy(F.col("set_id").alias(owner)).agg(F.count(F.lit(1)).alias("weight"))
+    return rows.join(sets, owner).select(F.col(owner).alias("set_id"), "weight", "role")
 
 
-def object_user_counts(
-    workspace: Workspace,
-    grants: Stage,
-    role_grants: DataFrame,
-    users: DataFrame,
-    closure: Stage,
-    plan: str = "auto",
-) -> DataFrame:
-    """(object, n_users): enabled users that reach each object, exactly.
+@dataclass(frozen=True)
+class RoleSets:
+    """Objects and enabled users, merged by equal sets of roles, without a row per object and user."""
 
-    Joining grants to users through roles repeats every user for every object. Both
-    sides repeat few role sets, so equal sets are merged first, the sets are matched,
-    and counts are weighted by set size. ``grants`` are ``reachable_grants``; ``plan``
-    forces ``profiles`` or ``bitmaps``.
-    """
+    objects: Stage  # object, set_id
+    asking: Stage  # set_id, weight, role: roles that work on the objects of a set
+    people: Stage  # user, set_id
+    reach: Stage  # profile, weight, role: roles that the users of a set act with, if some object asks for them
+
+
+def role_sets(
+    workspace: Workspace, grants: Stage, role_grants: DataFrame, users: DataFrame, closure: Stage
+) -> RoleSets:
+    """Merge the objects of ``reachable_grants``, and the users with such roles, by their roles."""
     objects = set_ids(workspace, grants.df, "object")
     asking = workspace.stage(set_roles(grants.df, objects.df, "object"), "asking-sets")
 
@@ -203,18 +201,45 @@ def object_user_counts(
         "profile-roles",
         at_most=profiles.rows * given.rows,
     )
-    if plan == "auto":
-        plan = cheaper_plan(reach, asking, people)
-    if plan == "profiles":
-        counted = _count_by_profiles(workspace, asking, reach)
-    else:
-        counted = _count_by_bitmaps(workspace, asking, reach, people)
-    counts = workspace.stage(counted, "set-counts", at_most=asking.rows)
+    return RoleSets(objects, asking, people, reach)
+
+
+def object_user_counts(
+    workspace: Workspace,
+    grants: Stage,
+    role_grants: DataFrame,
+    users: DataFrame,
+    closure: Stage,
+    plan: str = "auto",
+) -> DataFrame:
+    """(object, n_users): enabled users that reach each object, exactly.
+
+    Joining grants to users through roles repeats every user for every object. Both
+    sides repeat few role sets, so equal sets are merged first, the sets are matched,
+    and counts are weighted by set size. ``grants`` are ``reachable_grants``; ``plan``
+    forces ``profiles`` or ``bitmaps``.
+    """
+    return counts_of_sets(workspace, role_sets(workspace, grants, role_grants, users, closure), plan)
+
+
+def counts_of_sets(workspace: Workspace, sets: RoleSets, plan: str = "auto") -> DataFrame:
+    """``object_user_counts`` of sets that are known."""
+    counted = set_counts(workspace, sets.asking, sets, plan)
+    counts = workspace.stage(counted, "set-counts", at_most=sets.asking.rows)
     return lookup_join(
-        workspace, objects.df, counts, ["set_id"], "inner", spread="object"
+        workspace, sets.objects.df, counts, ["set_id"], "inner", spread="object"
     ).select("object", "n_users")
 
 
+def set_counts(workspace: Workspace, asking: Stage, sets: RoleSets, plan: str = "auto") -> DataFrame:
+    """(set_id, n_users) of the object sets in ``asking`` that some user reaches."""
+    if plan == "auto":
+        plan = cheaper_plan(sets.reach, asking, sets.people)
+    if plan == "profiles":
+        return _count_by_profiles(workspace, asking, sets.reach)
+    return _count_by_bitmaps(workspace, asking, sets.reach, sets.people)
+
+
 def cheaper_plan(reach: Stage, asking: Stage, people: Stage) -> str:
     """Compare, in bytes to shuffle, what the two exact plans would emit.
 

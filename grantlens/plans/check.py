@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.functions.scoring import INFO, sort_key, status
-from grantlens.operators import access, graph
+from grantlens.operators import access, graph, ranking
+from grantlens.operators.factored import FactoredAccess
 from grantlens.sources.snapshot import Snapshot
 from grantlens.workspace import Stage, Workspace
 
@@ -144,15 +145,31 @@ class Audit:
         )
 
     @property
-    def object_user_counts(self) -> DataFrame:
-        def build() -> DataFrame:
-            counts = access.object_user_counts(
+    def role_sets(self) -> access.RoleSets:
+        """Objects and users by their roles: the factors of who reaches what."""
+        return self._view(
+            "role_sets",
+            lambda: access.role_sets(
                 self.workspace,
                 self.reachable_grants,
                 self.snapshot.role_grants,
                 self.snapshot.users,
                 self.role_closure,
-            )
+            ),
+        )
+
+    @property
+    def set_bounds(self) -> Stage:
+        return self._view("set_bounds", lambda: ranking.set_bounds(self.workspace, self.role_sets))
+
+    @property
+    def factored_access(self) -> FactoredAccess:
+        return FactoredAccess.of(self.role_sets)
+
+    @property
+    def object_user_counts(self) -> DataFrame:
+        def build() -> DataFrame:
+            counts = access.counts_of_sets(self.workspace, self.role_sets)
             return self.kept(counts, "object-user-counts")
 
         return self._view("object_user_counts", build)

@@ -14,6 +14,8 @@ from grantlens.functions.names import (
 )
 from grantlens.functions.scoring import INSIGHT
 from grantlens.functions.text import counted
+from grantlens.operators.ranking import counted as counted_sets
+from grantlens.operators.ranking import ranked_objects
 from grantlens.operators.skew import lookup_join
 from grantlens.operators.usage import TOP, most_used
 from grantlens.plans.admin import active_users
@@ -78,12 +80,16 @@ def least_used_tables(audit: Audit) -> CheckPlan:
     return _insight(audit.kept(lowest, "least-used-tables"))
 
 
+def _ranked(audit: Audit, objects: DataFrame, most: bool) -> DataFrame:
+    return ranked_objects(audit.workspace, audit.role_sets, audit.set_bounds, objects, TOP, most).rows
+
+
 def most_accessible(audit: Audit) -> CheckPlan:
     """Objects that the most users can reach."""
     if not audit.snapshot.has("privilege_grants", "role_grants", "users"):
         return not_collected()
-    counts = audit.object_user_counts.filter(in_user_space(F.col("object")))
-    top = counts.orderBy(F.desc("n_users"), "object").limit(TOP)
+    objects = audit.role_sets.objects.df.select("object").filter(in_user_space(F.col("object")))
+    top = _ranked(audit, objects, most=True).filter("n_users > 0")
     return _insight(audit.kept(top, "most-accessible"))
 
 
@@ -93,10 +99,7 @@ def least_accessible(audit: Audit) -> CheckPlan:
         return not_collected()
     objects = audit.snapshot.entities.select(F.col("fqn").alias("object")).distinct()
     objects = objects.filter(in_user_space(F.col("object")))
-    counts = objects.join(audit.object_user_counts, "object", "left").select(
-        "object", F.coalesce("n_users", F.lit(0).cast("bigint")).alias("n_users")
-    )
-    bottom = counts.orderBy("n_users", "object").limit(TOP)
+    bottom = _ranked(audit, objects, most=False)
     return _insight(audit.kept(bottom, "least-accessible"))
 
 
@@ -120,11 +123,22 @@ def exposed_columns(audit: Audit) -> DataFrame:
         active = references.filter(F.col("status") == "ACTIVE")
         masked = active.select(F.col("target_fqn").alias("fqn")).distinct()
         risky = risky.join(masked, "fqn", "left_anti")
-    wide = audit.workspace.stage(
-        audit.object_user_counts.filter(F.col("n_users") > exposure_threshold(snapshot.users)),
-        "widely-accessible",
+    # Users are counted only for sets that hold a table with such columns and may have enough of them.
+    workspace, sets = audit.workspace, audit.role_sets
+    tables = workspace.stage(risky.select("object").distinct(), "risky-tables")
+    placed = lookup_join(workspace, sets.objects.df, tables, ["object"], "left_semi", spread="set_id")
+    threshold = exposure_threshold(snapshot.users)
+    wide = audit.set_bounds.df.filter(F.col("upper") > threshold).select("set_id")
+    chosen = workspace.stage(
+        wide.join(placed.select("set_id").distinct(), "set_id", "left_semi"), "risky-sets"
+    )
+    counts = workspace.stage(
+        counted_sets(workspace, sets, chosen.df, chosen.rows).filter(F.col("n_users") > threshold),
+        "wide-sets",
     )
-    exposed = lookup_join(audit.workspace, risky, wide, ["object"], "inner", spread="fqn")
+    members = lookup_join(workspace, placed, counts, ["set_id"], "inner", spread="object")
+    reached = workspace.stage(members.select("object", "n_users"), "widely-accessible")
+    exposed = lookup_join(workspace, risky, reached, ["object"], "inner", spread="fqn")
     return exposed.select("fqn", "n_users")
 
 

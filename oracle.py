@@ -151,6 +151,16 @@ CTES = {
         JOIN active_user_roles AS u ON v01.grantee = u.role
         WHERE has_db_permission AND has_schema_permission""",
     "user_counts": """SELECT "object", count(DISTINCT "user") AS n_users FROM v02 GROUP BY ALL""",
+    "working": """SELECT DISTINCT "object", grantee AS role FROM v01
+        WHERE has_db_permission AND has_schema_permission""",
+    "object_set_names": """SELECT "object", min("object") OVER (PARTITION BY roles) AS object_set FROM (
+        SELECT "object", string_agg(role, chr(10) ORDER BY role) AS roles FROM working GROUP BY ALL)""",
+    "useful_roles": """SELECT role FROM working
+        UNION SELECT held_by FROM reach JOIN working USING (role)""",
+    "profile_names": """SELECT "user", min("user") OVER (PARTITION BY roles) AS profile FROM (
+        SELECT grantee AS "user", string_agg(DISTINCT role, chr(10) ORDER BY role) AS roles
+        FROM t_role_grants WHERE grantee_type = 'USER' AND role IN (SELECT role FROM useful_roles)
+          AND grantee IN (SELECT name FROM t_users WHERE NOT disabled) GROUP BY grantee)""",
     "c01": """SELECT DISTINCT role AS admin_role, "user" FROM all_user_roles
         WHERE role IN ('ACCOUNTADMIN', 'SECURITYADMIN')""",
     "c02": """SELECT "user" FROM c01 WHERE admin_role = 'ACCOUNTADMIN'""",
@@ -448,6 +458,17 @@ SELECTS = {
     "role_closure": "SELECT * FROM active_user_roles",
     "object_privileges_by_role": "SELECT * FROM v01",
     "user_object_access": "SELECT * FROM v02",
+    "access_object_sets": """SELECT object_set, role, n_objects FROM working
+        JOIN (SELECT object_set, count(*) AS n_objects FROM object_set_names GROUP BY ALL)
+          ON "object" = object_set""",
+    "access_profiles": """SELECT profile, role, n_users FROM active_user_roles
+        JOIN (SELECT profile, count(*) AS n_users FROM profile_names GROUP BY ALL) ON "user" = profile
+        WHERE role IN (SELECT role FROM working)""",
+    "access_role_sizes": """SELECT role, count(DISTINCT "object") AS n_objects,
+        count(DISTINCT "user") AS n_users, count(*) AS n_rows FROM v02 GROUP BY role""",
+    "access_expanded": "SELECT * FROM v02",
+    "access_of_one_user": """SELECT * FROM v02 WHERE "user" = (SELECT min("user") FROM v02)""",
+    "access_of_one_object": """SELECT * FROM v02 WHERE "object" = (SELECT min("object") FROM working)""",
     "object_user_counts": "SELECT * FROM user_counts",
     "object_user_counts_bitmaps": "SELECT * FROM user_counts",
     "c01_admin_users": "SELECT * FROM c01",
