@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.functions.identifiers import truncated_database, truncated_schema
-from grantlens.operators.graph import active_names, direct_roles
+from grantlens.operators.graph import CondensedClosure, active_names, condensed, direct_roles
 from grantlens.operators.skew import balanced_join, lookup_join
 from grantlens.workspace import Stage, Workspace
 
@@ -177,18 +177,25 @@ def role_sets(
     objects = set_ids(workspace, grants.df, "object")
     asking = workspace.stage(set_roles(grants.df, objects.df, "object"), "asking-sets")
 
-    # (held_by, role): holding the first gives the second, which some object asks for.
-    asked = asking.df.select("role").distinct()
+    # (held_by, role): holding the first gives the second, which some object asks for. The roles of a cycle are
+    # held as one, and so are named by their component.
+    cycles = closure.cycles if isinstance(closure, CondensedClosure) else None
+    asked = asking.df.select("role").distinct().withColumn("held_by", F.col("role"))
+    granted = direct_roles(role_grants)
+    if cycles is not None and cycles.rows > 0:
+        asked = condensed(workspace, asked, cycles, "held_by", spread="role")
+        granted = condensed(workspace, granted, cycles, "role", spread="user").distinct()
+    asked = workspace.stage(asked, "asked-roles", at_most=asking.rows)
+    # A component may stand for many roles, and many roles may reach it.
+    reaching = Stage(closure.df.select("held_by", F.col("role").alias("via")), closure.rows)
+    inner = Stage(asked.df.select("role", F.col("held_by").alias("via")), asked.rows)
+    inherited = balanced_join(workspace, reaching, inner, ["via"], "inner", "held_by", "role")
     given = workspace.stage(
-        asked.withColumn("held_by", F.col("role"))
-        .unionByName(closure.df.join(asked, "role", "left_semi"))
-        .distinct(),
+        asked.df.select("held_by", "role").unionByName(inherited.select("held_by", "role")).distinct(),
         "given-roles",
     )
     useful = Stage(given.df.select(F.col("held_by").alias("role")).distinct(), given.rows)
-    direct = lookup_join(
-        workspace, direct_roles(role_grants), useful, ["role"], "left_semi", spread="user"
-    )
+    direct = lookup_join(workspace, granted, useful, ["role"], "left_semi", spread="user")
     held = workspace.stage(direct.join(active_names(users), "user", "left_semi"), "held-roles")
     people = set_ids(workspace, held.df, "user")
     profiles = workspace.stage(

@@ -104,10 +104,10 @@ class Audit:
         return self._view("snapshot", lambda: self._given.on_demand(self.workspace))
 
     @property
-    def role_closure(self) -> Stage:
+    def role_closure(self) -> graph.CondensedClosure:
         return self._view(
             "role_closure",
-            lambda: graph.role_closure(self.workspace, self.snapshot.role_grants),
+            lambda: graph.condensed_closure(self.workspace, self.snapshot.role_grants),
         )
 
     @property

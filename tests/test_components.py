@@ -1,0 +1,108 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from grantlens.operators import access, graph
+from grantlens.operators.components import strong_components
+from grantlens.workspace import Workspace
+from tests.tables import privilege, q, table, to_role, to_user, user
+from tests.test_operators import held_roles, rows
+
+
+@pytest.fixture
+def workspace(spark):
+    return Workspace(spark)
+
+
+def brute(edges):
+    """node -> smallest node of its component, for components of two nodes or more."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    reach = {}
+    for start in {n for e in edges for n in e}:
+        seen, todo = set(), [start]
+        while todo:
+            for n in after.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        reach[start] = seen
+    groups = {a: {b for b in reach[a] if a in reach[b]} | {a} for a in reach}
+    return {a: min(g) for a, g in groups.items() if len(g) > 1}
+
+
+def found(spark, workspace, edges):
+    df = spark.createDataFrame(edges, "src string, dst string")
+    result = strong_components(workspace, df).df.collect()
+    assert len(result) == len({r.node for r in result})
+    return {r.node: r.component for r in result}
+
+
+def ring(names):
+    return list(zip(names, [*names[1:], names[0]], strict=True))
+
+
+def graphs():
+    yield "nothing", []
+    yield "loop", [("a", "a")]
+    yield "two", [("a", "b"), ("b", "a")]
+    yield "chain", [(f"n{i}", f"n{i + 1}") for i in range(40)]
+    yield "ring", ring([f"n{i}" for i in range(30)])
+    yield "petals", [e for k in range(4) for e in ring(["hub", *[f"p{k}{i}" for i in range(5)]])]
+    yield "rings on a chain", ring(list("abc")) + ring(list("xyz")) + [("a", "m"), ("m", "n"), ("n", "x"), ("q", "a"), ("z", "r")]
+    yield "ladder", [(f"a{i}", f"a{i + 1}") for i in range(9)] + [(f"a{i + 1}", f"a{i}") for i in range(9)]
+    yield "whole", [(a, b) for a in "abcde" for b in "abcde"]
+    yield "side way in", [("x", "v"), ("v", "w"), ("u", "w"), ("w", "u"), ("y", "v")]
+    for seed in range(4):
+        draw = random.Random(seed)
+        n = 14 + 10 * seed
+        yield f"random {seed}", [(f"n{draw.randrange(n)}", f"n{draw.randrange(n)}") for _ in range(int(n * (1.1 + 0.25 * seed)))]
+
+
+@pytest.mark.parametrize("edges", [g for _, g in graphs()], ids=[name for name, _ in graphs()])
+def test_components_equal_brute_force(spark, workspace, edges):
+    assert found(spark, workspace, edges) == brute(edges)
+
+
+def test_ring_of_many_roles_stores_a_row_each(spark, workspace):
+    n = 10_000
+    role = F.concat(F.lit("R"), F.lpad(F.col("id").cast("string"), 5, "0"))
+    onto = F.concat(F.lit("R"), F.lpad(((F.col("id") + 1) % n).cast("string"), 5, "0"))
+    grants = spark.range(n).select(role.alias("role"), onto.alias("grantee"), F.lit("ROLE").alias("grantee_type"))
+    staged = []
+    original = workspace.stage
+    workspace.stage = lambda *a, **kw: staged.append(original(*a, **kw)) or staged[-1]
+    closure = graph.condensed_closure(workspace, grants)
+    assert closure.rows == 0 and closure.cycles.rows == n
+    assert closure.cycles.df.select("component").distinct().collect() == [("R00000",)]
+    assert max(s.rows for s in staged) <= n and len(staged) < 40
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_roles_and_counts_over_cycles(spark, workspace, seed):
+    """The condensed closure gives the same roles and counts as following every grant."""
+    draw = random.Random(seed)
+    names = [f"R{i}" for i in range(12)]
+    grants = [to_role(a, b) for a, b in ring(names[:3]) + ring(names[4:6])]
+    grants += [to_role(draw.choice(names), draw.choice(names)) for _ in range(8)]
+    grants += [to_user(draw.choice(names), f"U{i}") for i in range(25)]
+    df = table(spark, "role_grants", grants)
+    users = table(spark, "users", [user(f"U{i}", disabled=i % 6 == 0) for i in range(25)])
+    active = {f"U{i}" for i in range(25) if i % 6}
+    expected = {pair for pair in held_roles(grants) if pair[0] in active}
+    condensed = graph.condensed_closure(workspace, df)
+    assert condensed.cycles.rows >= 5
+    held = graph.user_roles(workspace, df, users, condensed)
+    assert rows(held, "user", "role") == expected and held.count() == len(expected)
+
+    privileges = [privilege(q("D"), "DATABASE", r) for r in names] + [privilege(q("D", "S"), "SCHEMA", r) for r in names]
+    wanted = {f"T{i}": draw.sample(names, draw.randint(1, 3)) for i in range(20)}
+    privileges += [privilege(q("D", "S", t), "TABLE", r, "SELECT") for t, roles in wanted.items() for r in roles]
+    v01 = access.object_privileges_by_role(workspace, table(spark, "privilege_grants", privileges))
+    reached = access.reachable_grants(workspace, v01)
+    for plan in ("profiles", "bitmaps"):
+        counts = access.object_user_counts(workspace, reached, df, users, condensed, plan)
+        by_hand = {t: len({u for u, r in expected if r in roles}) for t, roles in wanted.items()}
+        assert rows(counts, "object", "n_users") == {(q("D", "S", t), n) for t, n in by_hand.items() if n}
