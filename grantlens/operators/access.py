@@ -16,6 +16,10 @@ from grantlens.workspace import Stage, Workspace
 SCHEMA_PRIVILEGES = ["OWNERSHIP", "USAGE"]
 
 BITMAP_BYTES = 4096
+BLOCK_USERS = BITMAP_BYTES * 8
+
+# Users of a role in a block are listed in up to so many pieces; a bitmap is smaller beyond that.
+MOST_PIECES = BITMAP_BYTES // 4
 PAIR_BYTES = 32
 PAIRS_WITHOUT_COUNTING = 10_000_000
 
@@ -250,8 +254,8 @@ def set_counts(workspace: Workspace, asking: Stage, sets: RoleSets, plan: str =
 def cheaper_plan(reach: Stage, asking: Stage, people: Stage) -> str:
     """Compare, in bytes to shuffle, what the two exact plans would emit.
 
-    Matching profiles emits one small row per role, object set and profile. Bitmaps
-    emit one 4 KiB block per role, object set and block of users.
+    Matching profiles emits one small row per role, object set and profile. The other plan emits, per role,
+    object set and block of users, at most a bitmap, and less where a role has few profiles.
     """
     if reach.rows * asking.rows <= PAIRS_WITHOUT_COUNTING:
         return "profiles"
@@ -282,10 +286,13 @@ def _count_by_profiles(workspace: Workspace, asking: Stage, reach: Stage) -> Dat
 def _count_by_bitmaps(
     workspace: Workspace, asking: Stage, reach: Stage, people: Stage
 ) -> DataFrame:
-    """Union the users of each object set's roles as bitmaps.
+    """Union the users of each object set's roles, block by block of user numbers.
 
-    Users are numbered in profile order, so the users of a role fill few blocks. The
-    numbering is written before use because it must not change between readers.
+    Users are numbered in profile order, so a profile fills one piece of a block: a run, or a single number
+    where profiles are small. The users of a role in a block are a sorted list of pieces as long as there
+    are few, and else a bitmap. Pieces of different profiles do not overlap, so equal pieces are merged and
+    their lengths added; only where a set has a bitmap too are they written into one. The numbering is
+    written before use because it must not change between readers.
     """
     numbered = workspace.stage(
         people.df.repartitionByRange("set_id", "user")
@@ -293,18 +300,46 @@ def _count_by_bitmaps(
         .select(F.col("set_id").alias("profile"), F.monotonically_increasing_id().alias("uid")),
         "numbered-users",
     )
-    blocks = workspace.stage(
-        numbered.df.groupBy("profile", F.bitmap_bucket_number("uid").alias("block")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("uid")).alias("bits")
-        ),
-        "profile-blocks",
+    start = F.min(F.bitmap_bit_position("uid"))
+    # One number holds a piece: its start, and its length less one.
+    piece = (start * BLOCK_USERS + F.count(F.lit(1)) - 1).cast("int")
+    pieces = workspace.stage(
+        numbered.df.groupBy("profile", F.bitmap_bucket_number("uid").alias("block")).agg(piece.alias("piece")),
+        "profile-pieces",
     )
     holders = Stage(reach.df.select("profile", "role"), reach.rows)
-    by_role = balanced_join(workspace, holders, blocks, ["profile"], "inner", "role", "block")
-    role_blocks = workspace.stage(
-        by_role.groupBy("role", "block").agg(F.bitmap_or_agg("bits").alias("bits")), "role-blocks"
+    by_role = balanced_join(workspace, holders, pieces, ["profile"], "inner", "role", "block")
+    # No more pieces than a block has users.
+    listed = workspace.stage(
+        by_role.groupBy("role", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces")), "role-blocks"
     )
+    few = F.size("pieces") <= MOST_PIECES
+    bitmaps = workspace.stage(_bitmaps(listed.df.filter(~few), "role", F.explode("pieces")), "role-bitmaps")
+
     sets = Stage(asking.df.select("set_id", "role"), asking.rows)
-    matched = balanced_join(workspace, sets, role_blocks, ["role"], "inner", "set_id", "block")
-    merged = matched.groupBy("set_id", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return merged.groupBy("set_id").agg(F.sum(F.bitmap_count("bits")).alias("n_users"))
+    sparse = Stage(listed.df.filter(few), listed.rows)
+    met = balanced_join(workspace, sets, sparse, ["role"], "inner", "set_id", "block")
+    merged = met.select("set_id", "block", F.explode("pieces").alias("piece")).distinct()
+    length = F.pmod("piece", F.lit(BLOCK_USERS)) + 1
+    if bitmaps.rows == 0:
+        return merged.groupBy("set_id").agg(F.sum(length).alias("n_users"))
+    merged = workspace.stage(merged, "set-pieces").df
+    filled = balanced_join(workspace, sets, bitmaps, ["role"], "inner", "set_id", "block")
+    filled = workspace.stage(
+        filled.groupBy("set_id", "block").agg(F.bitmap_or_agg("bits").alias("bits")), "set-bitmaps"
+    ).df
+    key = ["set_id", "block"]
+    apart = merged.join(filled.select(key), key, "left_anti").select("set_id", length.cast("bigint").alias("n"))
+    inside = _bitmaps(merged.join(filled.select(key), key, "left_semi"), "set_id", F.col("piece"))
+    whole = filled.unionByName(inside).groupBy(key).agg(F.bitmap_or_agg("bits").alias("bits"))
+    both = apart.unionByName(whole.select("set_id", F.bitmap_count("bits").alias("n")))
+    return both.groupBy("set_id").agg(F.sum("n").alias("n_users"))
+
+
+def _bitmaps(rows: DataFrame, owner: str, piece: Column) -> DataFrame:
+    """(owner, block, bits): pieces written into a bitmap per block."""
+    single = rows.select(owner, "block", piece.alias("piece"))
+    start = F.floor(F.col("piece") / BLOCK_USERS)
+    users = F.explode(F.sequence(start, start + F.pmod("piece", F.lit(BLOCK_USERS))))
+    positions = single.select(owner, "block", users.alias("position"))
+    return positions.groupBy(owner, "block").agg(F.bitmap_construct_agg("position").alias("bits"))

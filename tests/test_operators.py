@@ -187,6 +187,24 @@ def test_counts_equal_counting_the_rows(spark, workspace, plan, seed):
     assert counts.count() == len(expected) > 5
 
 
+@pytest.mark.parametrize("most_pieces", [0, 1, 2, 1000])
+def test_pieces_and_bitmaps_count_alike(spark, workspace, monkeypatch, most_pieces):
+    """Roles of few and of many profiles, in lists of pieces, in bitmaps, and in sets that have both."""
+    monkeypatch.setattr(access, "MOST_PIECES", most_pieces)
+    grants, users, privileges = account(spark, 7)
+    closure = graph.role_closure(workspace, grants)
+    reached = access.reachable_grants(workspace, access.object_privileges_by_role(workspace, privileges))
+    staged = {}
+    original = workspace.stage
+    workspace.stage = lambda df, name, **kw: staged.setdefault(name, original(df, name, **kw))
+    sets = access.role_sets(workspace, reached, grants, users, closure)
+    expected = rows(access.set_counts(workspace, sets.asking, sets, "profiles"), "set_id", "n_users")
+    assert rows(access.set_counts(workspace, sets.asking, sets, "bitmaps"), "set_id", "n_users") == expected
+    n_bitmaps = staged["role-bitmaps"].rows
+    assert n_bitmaps == 0 if most_pieces == 1000 else n_bitmaps > 0
+    assert most_pieces == 0 or n_bitmaps < staged["role-blocks"].rows
+
+
 def test_one_more_grant_never_lowers_a_count(spark, workspace):
     grants, users, privileges = account(spark, 9)
     more = grants.unionByName(table(spark, "role_grants", [to_user("R1", "U1")]))
