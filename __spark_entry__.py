@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime, timedelta
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,10 +18,11 @@ from grantlens.plans.check import Audit, count_of, result_row
 from grantlens.plans.registry import BUILT_IN, sql_check
 from grantlens.plans.report import write_report
 from grantlens.plans.scorecard import check_metrics, check_results, scorecard, status_counts
+from grantlens.sources.daily_usage import sliding_usage
 from grantlens.sources.schemas import OPTIONAL_RAW
 from grantlens.sources.snapshot import Snapshot, load_snapshot
 from grantlens.workspace import Workspace
-from sample_account import SampleAccount
+from sample_account import ACCESS_AS_OF, SampleAccount
 
 try:
     import grantlens.llm.queries as llm
@@ -250,6 +252,16 @@ def _popularity(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return usage.popularity(_table(spark, folder, table))
 
 
+def _sliding_usage(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """Usage as the second of two audits, a day apart, makes it from kept days."""
+    workspace = Workspace(spark)
+    log = SampleAccount(spark, folder).raw("access_history")["access_history"]
+    as_of = datetime.fromisoformat(ACCESS_AS_OF).replace(tzinfo=UTC)
+    path = f"{workspace.path}/daily-usage"
+    sliding_usage(log, path, as_of - timedelta(days=1), workspace)
+    return sliding_usage(log, path, as_of, workspace)[table]
+
+
 def _role_edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.role_edges(_table(spark, folder, "role_grants"))
 
@@ -404,6 +416,8 @@ FUNCTIONS: dict[str, Query] = {
 OPERATORS: dict[str, Query] = {
     "usage_tables": partial(_table, name="usage_tables"),
     "usage_columns": partial(_table, name="usage_columns"),
+    "usage_sliding_tables": partial(_sliding_usage, table="usage_tables"),
+    "usage_sliding_columns": partial(_sliding_usage, table="usage_columns"),
     "usage_popularity_tables": partial(_popularity, table="usage_tables"),
     "usage_popularity_columns": partial(_popularity, table="usage_columns"),
     "role_edges": _role_edges,

@@ -34,9 +34,9 @@ def _nameless(entry: Column, schema: str) -> Column:
     return F.coalesce(entry["objectDomain"].isin(*COUNTED_DOMAINS), F.lit(False)) & missing
 
 
-def _objects(log: DataFrame, schema: str = ACCESSED) -> DataFrame:
-    """(user, unreadable, objects): the tables and views of each query, and whether anything is left out."""
-    parsed = log.select("user", "accessed", F.from_json("accessed", schema).alias("parsed"))
+def _objects(log: DataFrame, schema: str = ACCESSED, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, user, unreadable, objects): the tables and views of each query, and whether anything is left out."""
+    parsed = log.select(*by, "user", "accessed", F.from_json("accessed", schema).alias("parsed"))
     counted = F.filter(
         "parsed",
         lambda o: o["objectDomain"].isin(*COUNTED_DOMAINS) & o["objectName"].isNotNull(),
@@ -44,7 +44,7 @@ def _objects(log: DataFrame, schema: str = ACCESSED) -> DataFrame:
     unreadable = F.col("accessed").isNotNull() & (
         F.col("parsed").isNull() | F.exists("parsed", lambda o: _nameless(o, schema))
     )
-    return parsed.select("user", unreadable.alias("unreadable"), counted.alias("objects"))
+    return parsed.select(*by, "user", unreadable.alias("unreadable"), counted.alias("objects"))
 
 
 def _entry(level: str, name: Column) -> Column:
@@ -70,11 +70,11 @@ def _column_entries() -> Column:
     return F.flatten(F.transform("objects", of))
 
 
-def _counted(objects: DataFrame, entries: Column) -> DataFrame:
-    """(level, user, object, usage_count): rows that hold each entry at least once."""
+def _counted(objects: DataFrame, entries: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, level, user, object, usage_count): rows that hold each entry at least once."""
     return (
-        objects.select("user", F.explode(F.array_distinct(entries)).alias("entry"))
-        .groupBy(F.col("entry.level").alias("level"), "user", F.col("entry.object").alias("object"))
+        objects.select(*by, "user", F.explode(F.array_distinct(entries)).alias("entry"))
+        .groupBy(*by, F.col("entry.level").alias("level"), "user", F.col("entry.object").alias("object"))
         .agg(F.count(F.lit(1)).alias("usage_count"))
     )
 
@@ -94,8 +94,8 @@ def unreadable_rows(log: DataFrame) -> DataFrame:
     return bad.groupBy("user").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def staged_usage(log: DataFrame, workspace: Workspace) -> dict[str, DataFrame]:
-    """All rollups of the log from one scan, one JSON parse and one shuffle."""
+def counted_usage(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, level, user, object, usage_count): all rollups of the log from one parse and one shuffle."""
     nothing = F.array().cast(ENTRIES)
     bad = F.array(_entry("unreadable", F.lit(None).cast("string")))
     entries = F.concat(
@@ -103,8 +103,11 @@ def staged_usage(log: DataFrame, workspace: Workspace) -> dict[str, DataFrame]:
         F.coalesce(_column_entries(), nothing),
         F.when(F.col("unreadable"), bad).otherwise(nothing),
     )
-    counts = _counted(_objects(log), entries)
-    usage = workspace.stage(counts, "usage", partition_by="level").df
+    return _counted(_objects(log, by=by), entries, by)
+
+
+def usage_tables(usage: DataFrame) -> dict[str, DataFrame]:
+    """The snapshot's usage tables by name, from rows of ``counted_usage``."""
 
     def of(level: str) -> DataFrame:
         return usage.filter(F.col("level") == level).drop("level")
@@ -118,6 +121,11 @@ def staged_usage(log: DataFrame, workspace: Workspace) -> dict[str, DataFrame]:
     }
 
 
+def staged_usage(log: DataFrame, workspace: Workspace) -> dict[str, DataFrame]:
+    """All rollups of the log, stored after one scan."""
+    return usage_tables(workspace.stage(counted_usage(log), "usage", partition_by="level").df)
+
+
 def popularity(usage: DataFrame) -> DataFrame:
     """(object, n_users, usage_count); a user has one usage row per object."""
     return usage.groupBy("object").agg(

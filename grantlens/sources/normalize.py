@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +18,8 @@ from grantlens.functions.identifiers import (
 )
 
 LOGIN_WINDOW = "INTERVAL 7 DAYS"
-ACCESS_WINDOW = "INTERVAL 90 DAYS"
+ACCESS_DAYS = 90
+ACCESS_WINDOW = f"INTERVAL {ACCESS_DAYS} DAYS"
 
 
 def databases(raw: DataFrame) -> DataFrame:
@@ -142,6 +146,21 @@ def access_log(raw: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def access_log_by_day(raw: DataFrame, periods: Sequence[tuple[datetime, datetime]]) -> DataFrame:
+    """(day, user, accessed) of the log rows in the periods (after, until], JSON still unparsed.
+
+    Like a window, a day does not hold its first instant but the next day's.
+    """
+    time = F.col("QUERY_START_TIME")
+    inside = [(time > F.lit(after)) & (time <= F.lit(until)) for after, until in periods]
+    kept = raw.filter(reduce(or_, inside, F.lit(False)))
+    return kept.select(
+        F.to_date(time - F.expr("INTERVAL 1 MICROSECOND")).alias("day"),
+        clean_identifier("USER_NAME").alias("user"),
+        F.col("DIRECT_OBJECTS_ACCESSED").alias("accessed"),
+    )
+
+
 def _policy_references(raw: DataFrame, kind: str, target: Column) -> DataFrame:
     return raw.filter(F.col("POLICY_KIND") == kind).select(
         F.col("POLICY_NAME").alias("name"),

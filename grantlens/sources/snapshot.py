@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, fields, replace
 from datetime import UTC, datetime
 from threading import Lock
@@ -77,12 +77,14 @@ class Snapshot:
         login_as_of: Column | None = None,
         access_as_of: Column | None = None,
         workspace: Workspace | None = None,
+        usage: Mapping[str, DataFrame] | None = None,
     ) -> Snapshot:
         """Normalise raw tables.
 
         The history windows end at the given times, by default now, fixed once for all
         queries over this snapshot. With a workspace the logs are read once; without one
-        they stay plans until ``staged`` or ``write``.
+        they stay plans until ``staged`` or ``write``. ``usage`` (``sliding_usage``) takes the
+        place of the access log, which is not read then.
         """
         now = F.lit(datetime.now(UTC))
         made: dict[str, DataFrame] = {}
@@ -96,7 +98,9 @@ class Snapshot:
             refs = raw["policy_references"]
             made["masking_policy_references"] = normalize.masking_policy_references(refs)
             made["row_access_policy_references"] = normalize.row_access_policy_references(refs)
-        if raw.get("access_history") is not None:
+        if usage is not None:
+            made |= usage
+        elif raw.get("access_history") is not None:
             until = now if access_as_of is None else access_as_of
             log = normalize.access_log(raw["access_history"], until)
             made["usage_tables"] = usage_rollup(log, "table")

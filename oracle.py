@@ -450,6 +450,8 @@ SELECTS = {
         WHEN score = -1 THEN 98 ELSE score END)::DOUBLE AS sort_key FROM order_scores""",
     "usage_tables": "SELECT * FROM usage_t",
     "usage_columns": "SELECT * FROM usage_c",
+    "usage_sliding_tables": "SELECT * FROM usage_t",
+    "usage_sliding_columns": "SELECT * FROM usage_c",
     "usage_popularity_tables": "SELECT * FROM popular_t",
     "usage_popularity_columns": "SELECT * FROM popular_c",
     "role_members_admin": 'SELECT admin_role AS root, "user" FROM c01',
