@@ -14,7 +14,7 @@ from grantlens.functions import identifiers, names, scoring
 from grantlens.operators import access, graph, usage
 from grantlens.operators.factored import FactoredAccess
 from grantlens.plans.admin import ACCOUNT_ADMIN, SECURITY_ADMIN
-from grantlens.plans.check import Audit, count_of, result_row
+from grantlens.plans.check import Audit, Check, count_of, result_row
 from grantlens.plans.registry import BUILT_IN, sql_check
 from grantlens.plans.report import write_report
 from grantlens.plans.scorecard import check_metrics, check_results, scorecard, status_counts
@@ -154,25 +154,61 @@ def _gated_results(spark: SparkSession, folder: str) -> DataFrame:
     return check_results(Audit(spark, snapshot, workspace), BUILT_IN).select("check_id", "status")
 
 
-def _report(spark: SparkSession, folder: str) -> DataFrame:
-    """The results of a written report, read back, with their place in it."""
+def _written_report(spark: SparkSession, folder: str) -> str:
     workspace = Workspace(spark)
     path = f"{workspace.path}/report"
     write_report(spark, SampleAccount(spark, folder).snapshot(workspace), path, checks=BUILT_IN)
-    results = spark.read.parquet(f"{path}/check_results")
-    # At most a row per check: the order of the files is the order of the report.
-    place = F.row_number().over(Window.orderBy("section", "sort_key", "title"))
-    listed = results.select("check_id", "section", place.alias("place"))
+    return path
+
+
+def _findings_tables() -> list[tuple[Check, str]]:
+    """Every findings table of a report with its check."""
+    return [
+        (check, "_".join(filter(None, [check.id, name])))
+        for check in BUILT_IN
+        for name in REPORTED.get(check.id, ("",))
+    ]
+
+
+def _report(spark: SparkSession, folder: str) -> DataFrame:
+    """The results of a written report, with the place they were stored with."""
+    path = _written_report(spark, folder)
+    listed = spark.read.parquet(f"{path}/check_results").select("check_id", "section", "place")
     found = []
-    for check in BUILT_IN:
-        for name in REPORTED.get(check.id, ("",)):
-            title = "_".join(filter(None, ["findings", check.id, name]))
-            table = spark.read.parquet(f"{path}/{title}")
-            found.append(table.agg(F.lit(check.id).alias("check_id"), F.count(F.lit(1)).alias("n")))
+    for check, title in _findings_tables():
+        table = spark.read.parquet(f"{path}/findings_{title}")
+        found.append(table.agg(F.lit(check.id).alias("check_id"), F.count(F.lit(1)).alias("n")))
     written = reduce(DataFrame.unionByName, found).groupBy("check_id").agg(F.sum("n").alias("n_written"))
     return listed.join(written, "check_id").select("check_id", "section", "place", "n_written")
 
 
+def _report_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each findings table as it lies in its files: rows, a digest of them, and rows that lie out of order."""
+    path = _written_report(spark, folder)
+    found = []
+    for check, title in _findings_tables():
+        table = spark.read.parquet(f"{path}/findings_{title}")
+        lists = {name: F.array_join(name, ",") for name, kind in table.dtypes if kind.startswith("array")}
+        cells = [F.coalesce(lists.get(name, F.col(name)).cast("string"), F.lit("~")) for name in sorted(table.columns)]
+        digest = F.conv(F.substring(F.md5(F.concat_ws("|", *cells).cast("binary")), 1, 8), 16, 10).cast("bigint")
+        by = [name for name in check.order if name.lstrip("-") in table.columns]
+        key = F.struct(*[-F.col(name[1:]) if name.startswith("-") else F.col(name) for name in by])
+        in_file = Window.partitionBy("file").orderBy("row")
+        stored = table.select(
+            digest.alias("digest"), key.alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")
+        )
+        checked = stored.withColumn("late", F.coalesce(F.lag("key").over(in_file) > F.col("key"), F.lit(False)))
+        found.append(
+            checked.agg(
+                F.lit(title).alias("findings"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.coalesce(F.sum("digest"), F.lit(0).cast("bigint")).alias("digest"),
+                F.count_if("late").alias("n_out_of_order"),
+            )
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- functions ----------------------------------------------------------------
 
 
@@ -453,6 +489,7 @@ CHECK_QUERIES: dict[str, Query] = {
     "sql_check_example": _example_check,
     "gated_results": _gated_results,
     "report_results": _report,
+    "report_findings": _report_findings,
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grantlens.functions.scoring import STATUSES
@@ -16,19 +16,30 @@ from grantlens.workspace import Workspace, side_by_side
 
 
 def sections(results: DataFrame) -> DataFrame:
-    """Results in report order: by section, then worst first, then title."""
+    """Results in report order, with their ``place``: by section, then worst first, then title."""
     order = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))
-    return results.withColumn("section", order).orderBy("section", "sort_key", "title")
+    # A row per check.
+    place = F.row_number().over(Window.orderBy("section", "sort_key", "title"))
+    return results.withColumn("section", order).withColumn("place", place).orderBy("place")
 
 
-def in_order(findings: DataFrame, check: Check) -> DataFrame:
-    """Findings sorted as the check asks, by those of its columns the table has."""
-    keys = [
+def order_keys(check: Check, columns: Sequence[str]) -> list[Column]:
+    """What the check sorts its findings by, as far as the table has the columns."""
+    return [
         F.desc(name[1:]) if name.startswith("-") else F.asc(name)
         for name in check.order
-        if name.lstrip("-") in findings.columns
+        if name.lstrip("-") in columns
     ]
-    return findings.orderBy(*keys) if keys else findings
+
+
+def in_order(findings: DataFrame, check: Check) -> DataFrame:
+    """Findings sorted inside each file; ``findings_order`` in the results says by what to merge them."""
+    keys = order_keys(check, findings.columns)
+    return findings.sortWithinPartitions(*keys) if keys else findings
+
+
+def _names(names: Sequence[str]) -> Column:
+    return F.array(*[F.lit(name) for name in names]).cast("array<string>")
 
 
 def write_report(
@@ -56,7 +67,11 @@ def write_report(
         card = scorecard(results).withColumn(
             "fetch_error", F.lit(snapshot.fetch_error).cast("string")
         )
-        tables = {"check_results": sections(results), "scorecard": card}
+        orders = F.create_map(*[
+            part for check in chosen for part in (F.lit(check.id), _names(check.order))
+        ])
+        listed = sections(results).withColumn("findings_order", orders[F.col("check_id")])
+        tables = {"check_results": listed, "scorecard": card}
         for check in chosen:
             for name, findings in audit.plan(check).findings.items():
                 title = "_".join(filter(None, ["findings", check.id, name]))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from datetime import UTC, date, datetime, time, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +33,11 @@ def whole_days(after: datetime, until: datetime) -> list[date]:
 
 
 def stored_days(spark: SparkSession, path: str) -> set[date]:
-    try:
-        kept = spark.read.schema(STORED).parquet(path).filter(F.col("level") == KEPT)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return set()
     # One row per day.
+    kept = spark.read.schema(STORED).parquet(path).filter(F.col("level") == KEPT)
     return {row.day for row in kept.select("day").distinct().collect()}
 
 

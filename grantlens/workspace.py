@@ -89,11 +89,18 @@ class Workspace:
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or else the warehouse.
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or else a warehouse that was named.
 
-    Both are shared by the driver and all executors, unlike a temporary folder.
+    Driver and executors must share it. Without either only a local session has such a folder of its own.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    named = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or named.get("spark.sql.warehouse.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def side_by_side(spark: SparkSession, action: Callable[[T], R], items: Iterable[T]) -> list[R]:

@@ -523,5 +523,44 @@ SELECTS = {
 }
 
 
+_USED = ["message", "n_users", "object", "rank", "ranking", "usage_count"]
+
+# Findings tables of a report: the query with their rows, and their columns by name.
+REPORTED = {
+    "c01_admin_users": ("c01_admin_users", ["admin_role", "user"]),
+    "c02_backup_admin": ("c02_backup_admin", ["user"]),
+    "c03_shadow_grants": ("c03_shadow_grants", ["asset_type", "role", "schema"]),
+    "c05_password_only": ("c05_password_only", ["user"]),
+    "c06_inactive_users": ("c06_inactive_users", ["reason", "user"]),
+    "c07_managed_schemas": ("c07_managed_schemas", ["schema"]),
+    "c08_inaccessible_objects": ("c08_inaccessible_objects", ["grantee", "missing_level", "object"]),
+    "c09_most_used_tables": ("c09_most_used_tables", _USED),
+    "c10_most_used_columns": ("c10_most_used_columns", _USED),
+    "c11_least_used_tables": ("c11_least_used_tables", ["object", "usage_count"]),
+    "c12_future_grant_coverage_schemas": ("c12_schema_coverage", ["asset_types", "covered", "schema"]),
+    "c12_future_grant_coverage_databases": ("c12_database_coverage", ["covered", "db"]),
+    "c13_most_accessible": ("c13_most_accessible", ["n_users", "object"]),
+    "c14_least_accessible": ("c14_least_accessible", ["n_users", "object"]),
+    "c15_masking_policies": ("c15_masking_policies", ["kind", "policy", "status", "target"]),
+    "c16_row_access_policies": ("c16_row_access_policies", ["kind", "policy", "status", "target"]),
+    "c17_sensitive_columns": ("c17_sensitive_columns", ["fqn", "n_users"]),
+}
+
+
+def _report_findings() -> str:
+    parts = []
+    for findings, (query, columns) in REPORTED.items():
+        cells = ", ".join(f"coalesce(CAST(\"{name}\" AS VARCHAR), '~')" for name in columns)
+        digest = f"CAST('0x' || substr(md5(concat_ws('|', {cells})), 1, 8) AS BIGINT)"
+        parts.append(
+            f"SELECT '{findings}' AS findings, count(*) AS n_rows, "
+            f"CAST(coalesce(sum({digest}), 0) AS BIGINT) AS digest, 0::BIGINT AS n_out_of_order FROM ({SELECTS[query]})"
+        )
+    return "\nUNION ALL ".join(parts)
+
+
+SELECTS["report_findings"] = _report_findings()
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _query(sql) for name, sql in SELECTS.items()}
