@@ -370,6 +370,12 @@ def _findings(spark: SparkSession, folder: str, check_id: str, name: str = "") -
     return _audit(spark, folder, *READS[check_id]).plan(CHECKS[check_id]).findings[name]
 
 
+def _blocked_schemas(spark: SparkSession, folder: str) -> DataFrame:
+    """What roles are missing, schema by schema, as the check stores it."""
+    plan = _audit(spark, folder, "privilege_grants").plan(CHECKS["c08_inaccessible_objects"])
+    return plan.summaries["by_schema"]
+
+
 def _network_check(spark: SparkSession, folder: str) -> DataFrame:
     row = result_row(_audit(spark, folder, "network_policies"), CHECKS["c04_network_policy"])
     return row.select("check_id", "score", "status", "n_findings")
@@ -478,6 +484,7 @@ CHECK_QUERIES: dict[str, Query] = {
         if check_id not in ("c04_network_policy", "c12_future_grant_coverage")
     },
     "c04_network_policy": _network_check,
+    "c08_inaccessible_schemas": _blocked_schemas,
     "c12_schema_coverage": _schema_coverage,
     "c12_database_coverage": partial(
         _findings, check_id="c12_future_grant_coverage", name="databases"

@@ -24,12 +24,15 @@ class CheckPlan:
     """What a check found.
 
     ``metrics`` are named scalar columns (scalar subqueries or literals); ``score``
-    is an expression over those names. ``findings`` are named tables.
+    is an expression over those names. ``findings`` are named tables. ``summaries`` say the
+    same in fewer rows; with one at hand, ``n_findings`` gives the number of findings from it.
     """
 
     score: Column
     metrics: Mapping[str, Column] = field(default_factory=dict)
     findings: Mapping[str, DataFrame] = field(default_factory=dict)
+    summaries: Mapping[str, DataFrame] = field(default_factory=dict)
+    n_findings: Column | None = None
 
 
 @dataclass(frozen=True)
@@ -190,9 +193,11 @@ def scalar(df: DataFrame, aggregate: Column) -> Column:
 def result_row(audit: Audit, check: Check) -> DataFrame:
     """One row of ``check_results`` for one check."""
     plan = audit.plan(check)
-    found = F.lit(0).cast("bigint")
-    for df in plan.findings.values():
-        found = found + count_of(df)
+    found = plan.n_findings
+    if found is None:
+        found = F.lit(0).cast("bigint")
+        for df in plan.findings.values():
+            found = found + count_of(df)
     metrics = [c.cast("double").alias(name) for name, c in plan.metrics.items()]
     base = audit.spark.range(0, 1, 1, 1).select(found.alias("n_findings"), *metrics)
     scored = base.withColumn("score", plan.score.cast("double"))

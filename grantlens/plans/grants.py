@@ -127,25 +127,37 @@ def managed_schemas(audit: Audit) -> CheckPlan:
     return CheckPlan(score, {"n_managed": count_of(findings)}, {"": findings})
 
 
+def blocked_privileges(privileges: DataFrame) -> DataFrame:
+    """(grantee, object, schema, missing_level): object privileges that do not work."""
+    level = missing_level(F.col("has_db_permission"), F.col("has_schema_permission"))
+    return (
+        privileges.filter(F.col("grantee") != ACCOUNT_ADMIN)
+        .select("grantee", "object", "schema", level.alias("missing_level"))
+        .filter(F.col("missing_level").isNotNull())
+    )
+
+
 def inaccessible_objects(audit: Audit) -> CheckPlan:
-    """Object privileges that do not work for want of a parent permission."""
+    """Object privileges that do not work for want of a parent permission.
+
+    What is missing is missing for all of a role's objects in a schema, so that is what is stored, with the
+    number of objects. The list of objects stays a filter over the stored privileges, for those who ask.
+    """
     if not audit.snapshot.has("privilege_grants"):
         return not_collected()
-    level = missing_level(F.col("has_db_permission"), F.col("has_schema_permission"))
-    blocked = (
-        audit.object_privileges.filter(F.col("grantee") != ACCOUNT_ADMIN)
-        .select("grantee", "object", level.alias("missing_level"))
-        .filter(F.col("missing_level").isNotNull())
+    blocked = blocked_privileges(audit.object_privileges)
+    groups = audit.kept(
+        blocked.groupBy("grantee", "schema", "missing_level").agg(F.count(F.lit(1)).alias("n_objects")),
+        "inaccessible-schemas",
     )
-    findings = audit.kept(blocked, "inaccessible-objects")
+    total = F.coalesce(F.sum("n_objects"), F.lit(0).cast("bigint"))
     score = F.when(F.col("n_blocked") > 0, FAILED).otherwise(1.0)
     return CheckPlan(
         score,
-        {
-            "n_blocked": count_of(findings),
-            "n_roles": scalar(findings, F.count_distinct("grantee")),
-        },
-        {"": findings},
+        {"n_blocked": scalar(groups, total), "n_roles": scalar(groups, F.count_distinct("grantee"))},
+        {"": blocked.select("grantee", "object", "missing_level")},
+        {"by_schema": groups},
+        scalar(groups, total),
     )
 
 
@@ -241,7 +253,7 @@ CHECKS = [
         "Inaccessible Tables and Views",
         ("privilege_grants",),
         inaccessible_objects,
-        order=("grantee", "object"),
+        order=("grantee", "schema", "object"),
     ),
     Check(
         "c12_future_grant_coverage",

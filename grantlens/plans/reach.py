@@ -28,6 +28,7 @@ from grantlens.plans.check import (
     not_collected,
     scalar,
 )
+from grantlens.workspace import Stage, Workspace
 
 # Score rules of the sensitive column check.
 EXPOSED = 0.89
@@ -109,15 +110,24 @@ def exposure_threshold(users: DataFrame) -> Column:
     return scalar(users, share)
 
 
+def sensitive_names(workspace: Workspace, columns: DataFrame) -> Stage:
+    """(name): the sensitive ones among the columns' names, of which there are far fewer than columns.
+
+    The names are stored before they are looked through, since a filter would otherwise sink below the
+    distinct and meet every column.
+    """
+    names = workspace.stage(columns.select("name").distinct(), "column-names")
+    return workspace.stage(names.df.filter(is_sensitive(F.col("name"))), "sensitive-names", at_most=names.rows)
+
+
 def exposed_columns(audit: Audit) -> DataFrame:
     """(fqn, n_users): unmasked columns with sensitive names that many users reach."""
     snapshot = audit.snapshot
-    kept = (
-        ~is_system_database(F.col("database"))
-        & (F.col("schema") != SYSTEM_SCHEMA)
-        & is_sensitive(F.col("name"))
-    )
-    risky = snapshot.columns.filter(kept).select("fqn", truncated_table("fqn").alias("object"))
+    kept = ~is_system_database(F.col("database")) & (F.col("schema") != SYSTEM_SCHEMA)
+    columns = snapshot.columns.filter(kept)
+    risky = lookup_join(
+        audit.workspace, columns, sensitive_names(audit.workspace, columns), ["name"], "left_semi", spread="fqn"
+    ).select("fqn", truncated_table("fqn").alias("object"))
     references = snapshot.masking_policy_references
     if references is not None:
         active = references.filter(F.col("status") == "ACTIVE")

@@ -50,7 +50,7 @@ def write_report(
     checks: Sequence[Check] | None = None,
     mode: str = "errorifexists",
 ) -> None:
-    """Run the checks and write ``check_results``, ``scorecard`` and ``findings_*``.
+    """Run the checks and write ``check_results``, ``scorecard``, ``findings_*`` and ``summary_*``.
 
     Findings are computed once: they are staged, and metrics, results and the report
     read the staged tables.
@@ -76,4 +76,6 @@ def write_report(
             for name, findings in audit.plan(check).findings.items():
                 title = "_".join(filter(None, ["findings", check.id, name]))
                 tables[title] = in_order(findings, check)
+            for name, summary in audit.plan(check).summaries.items():
+                tables[f"summary_{check.id}_{name}"] = in_order(summary, check)
         side_by_side(spark, lambda name: save(tables[name], name), tables)

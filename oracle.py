@@ -482,6 +482,8 @@ SELECTS = {
     "c06_inactive_users": "SELECT * FROM c06",
     "c07_managed_schemas": 'SELECT fqn AS "schema" FROM t_schemas WHERE managed_access',
     "c08_inaccessible_objects": "SELECT * FROM c08",
+    "c08_inaccessible_schemas": """SELECT grantee, "schema", missing_level, count(*) AS n_objects
+        FROM c08 JOIN v01 USING (grantee, "object") GROUP BY ALL""",
     "c09_most_used_tables": _most_used("popular_t"),
     "c10_most_used_columns": _most_used("popular_c"),
     "c11_least_used_tables": "SELECT * FROM least_used",

@@ -472,3 +472,49 @@ def test_reports_and_sql_checks_leave_the_log_alone(spark, monkeypatch, tmp_path
     assert stored == []
     spied = sql_check("y", "Y", ("usage_tables",), "SELECT object FROM {usage_tables}")
     assert result_row(Audit(spark, lazy), spied).count() == 1 and len(stored) == 1
+
+
+# --- stored in fewer rows ------------------------------------------------------------
+
+
+def test_blocked_privileges_are_stored_by_schema(spark):
+    grants = [privilege(q("D", "S", f"T{i}"), "TABLE", "r", "SELECT") for i in range(50)]
+    grants += [privilege(q("D", "S2", "T"), "TABLE", "r", "SELECT"), privilege(q("D"), "DATABASE", "r")]
+    grants += [privilege(q("D", "S2"), "SCHEMA", "r"), privilege(q("WH"), "WAREHOUSE", "r2")]
+    grants += [privilege(q("D", "S", "T1"), "TABLE", "ACCOUNTADMIN", "SELECT")]
+    audit = Audit(spark, snapshot(spark, privilege_grants=grants))
+    plan = audit.plan(CHECKS["c08"])
+    groups = {tuple(r) for r in plan.summaries["by_schema"].collect()}
+    assert groups == {("r", q("D", "S"), "schema", 50), ("r2", None, "both", 1)}
+    row = result_row(audit, CHECKS["c08"]).first()
+    assert row["n_findings"] == 51 == plan.findings[""].count()
+    assert row["metrics"] == {"n_blocked": 51.0, "n_roles": 2.0}
+
+
+def test_reports_hold_summaries_and_the_stored_order(spark, tmp_path):
+    write_report(spark, access_account(spark), str(tmp_path / "r"))
+    assert spark.read.parquet(f"{tmp_path}/r/summary_c08_inaccessible_objects_by_schema").columns == [
+        "grantee", "schema", "missing_level", "n_objects",
+    ]
+    results = spark.read.parquet(f"{tmp_path}/r/check_results").collect()
+    ranks = sorted((r["section"], r["sort_key"], r["title"], r["place"]) for r in results)
+    assert [r[-1] for r in ranks] == list(range(1, 18))
+    orders = {r["check_id"]: r["findings_order"] for r in results}
+    assert orders["c13_most_accessible"] == ["-n_users", "object"] and orders["c04_network_policy"] == []
+
+
+def test_patterns_meet_each_column_name_once(spark):
+    from grantlens.plans import reach
+    from grantlens.workspace import Workspace
+
+    names = ["email", "id", "PHONE", "hashed_email"]
+    rows = [column("D", "S", f"T{i}", name) for i in range(30) for name in names]
+    workspace = Workspace(spark)
+    staged = []
+    original = workspace.stage
+    workspace.stage = lambda df, name, **kw: staged.append((name, original(df, name, **kw))) or staged[-1][1]
+    found = reach.sensitive_names(workspace, table(spark, "columns", rows))
+    assert {r["name"] for r in found.df.collect()} == {"email", "PHONE"}
+    assert [(name, s.rows) for name, s in staged] == [("column-names", 4), ("sensitive-names", 4)]
+    plan = found.df._jdf.queryExecution().executedPlan().toString()
+    assert "RLIKE" in plan and "Aggregate" not in plan
