@@ -3,7 +3,8 @@
 Words and pairs of neighbouring words are counted in Spark: tasks sort and add up what they read, send
 compressed blocks to shards of the 64-bit hash range, and each shard merges its blocks into sorted
 arrays in the shared checkpoint folder. Workers map those files into memory and look up with binary
-search. Nothing of the corpus passes through the driver but sums per shard.
+search. Nothing of the corpus passes through the driver but sums per shard, and what each task wrote: a file
+that a worker does not find as it was written is an error.
 
 Model, for a word w after a context c, with counts n and discounts D(1), D(2), D(3+):
 
@@ -23,14 +24,15 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from grantlens.llm.batches import id_and_text, map_slices, mix, slices, word_hashes
@@ -152,30 +154,73 @@ def shared_folder(uri: str) -> str:
     return unquote(parsed.path) if parsed.scheme else uri
 
 
-def _save(folder: str, name: str, values: np.ndarray) -> None:
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark understands it: without a scheme, it lies in the default file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
+# Bytes at either end of an array that its checksum covers, so that checking does not read whole models.
+CHECKED_BYTES = 65_536
+
+FILES = "files array<struct<name:string,entries:bigint,checksum:bigint>>"
+FILES_TYPE = pa.list_(pa.struct([("name", pa.string()), ("entries", pa.int64()), ("checksum", pa.int64())]))
+
+
+def _checksum(values: np.ndarray) -> int:
+    flat = values.reshape(-1)
+    width = max(1, CHECKED_BYTES // values.itemsize)
+    return zlib.crc32(flat[-width:].tobytes(), zlib.crc32(flat[:width].tobytes()))
+
+
+class Manifest:
+    """What the tasks that wrote the arrays of a folder said about them, as the driver heard it."""
+
+    def __init__(self, folder: str, files: Iterable[Row]) -> None:
+        self.folder = folder
+        self.files = {f.name: (f.entries, f.checksum) for f in files}
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Manifest) and (self.folder, self.files) == (other.folder, other.files)
+
+    def __hash__(self) -> int:
+        return hash((self.folder, len(self.files)))
+
+
+def _save(folder: str, name: str, values: np.ndarray) -> dict[str, object]:
     """Write an array under its final name at once, so that a task that runs twice does no harm."""
     os.makedirs(folder, exist_ok=True)
     scratch = f"{folder}/.{name}-{uuid.uuid4().hex}.npy"
     np.save(scratch, values)
     os.replace(scratch, f"{folder}/{name}.npy")
+    return {"name": name, "entries": len(values), "checksum": _checksum(values)}
 
 
-def _load(folder: str, name: str, kind: type) -> np.ndarray:
-    """Map an array; a shard without entries has no file."""
-    path = f"{folder}/{name}.npy"
-    if not os.path.exists(path):
+def _load(manifest: Manifest, name: str, kind: type) -> np.ndarray:
+    """Map an array that was written; one without entries need not have been.
+
+    An array that this machine does not see, or sees otherwise, is an error: what it holds would be taken for
+    words that were never seen.
+    """
+    entries, checksum = manifest.files.get(name, (0, 0))
+    if entries == 0:
         return np.empty(0, kind)
+    path = f"{manifest.folder}/{name}.npy"
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"{path} was written but is not here; all workers must share spark.checkpoint.dir")
     values = np.load(path, mmap_mode="r")
+    if len(values) != entries or _checksum(values) != checksum:
+        raise ValueError(f"{path} is not what was written")
     return values.view(np.ndarray)
 
 
 class HashTable:
     """Sorted hash arrays of one kind, a file per shard of the hash range."""
 
-    def __init__(self, folder: str, name: str, bits: int) -> None:
+    def __init__(self, manifest: Manifest, name: str, bits: int) -> None:
         self.bits = bits
-        self.keys = [_load(folder, f"{name}-{k}-keys", np.uint64) for k in range(1 << bits)]
-        self.counts = [_load(folder, f"{name}-{k}-counts", np.uint32) for k in range(1 << bits)]
+        self.keys = [_load(manifest, f"{name}-{k}-keys", np.uint64) for k in range(1 << bits)]
+        self.counts = [_load(manifest, f"{name}-{k}-counts", np.uint32) for k in range(1 << bits)]
         self.starts = np.concatenate([[0], np.cumsum([len(k) for k in self.keys])])
 
     def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +242,9 @@ class HashTable:
 class DenseTable:
     """Rows of numbers by identifier, a file per range of identifiers."""
 
-    def __init__(self, folder: str, name: str, block: int, shards: int, width: int) -> None:
+    def __init__(self, manifest: Manifest, name: str, block: int, shards: int, width: int) -> None:
         self.block, self.width = block, width
-        self.parts = [_load(folder, f"{name}-{k}", np.int64) for k in range(shards)]
+        self.parts = [_load(manifest, f"{name}-{k}", np.int64) for k in range(shards)]
 
     def rows(self, ids: np.ndarray) -> np.ndarray:
         found = np.zeros((len(ids), self.width), dtype=np.int64)
@@ -247,7 +292,7 @@ def _sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class BigramModel:
-    folder: str
+    manifest: Manifest
     bits: int
     n_tokens: int  # N
     n_words: int  # V
@@ -261,16 +306,16 @@ class BigramModel:
         return max(1, -(-(self.n_words + 1) // (1 << self.bits)))
 
     def words(self) -> HashTable:
-        return _table(HashTable, self.folder, "word", self.bits)
+        return _table(HashTable, self.manifest, "word", self.bits)
 
     def pairs(self) -> HashTable:
-        return _table(HashTable, self.folder, "pair", self.bits)
+        return _table(HashTable, self.manifest, "pair", self.bits)
 
     def contexts(self) -> DenseTable:
-        return _table(DenseTable, self.folder, "context", self.block, 1 << self.bits, 4)
+        return _table(DenseTable, self.manifest, "context", self.block, 1 << self.bits, 4)
 
     def lefts(self) -> DenseTable:
-        return _table(DenseTable, self.folder, "left", self.block, 1 << self.bits, 1)
+        return _table(DenseTable, self.manifest, "left", self.block, 1 << self.bits, 1)
 
     def identify(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Identifier (-1: unknown) and training count of each token."""
@@ -343,8 +388,8 @@ class BigramModel:
 
 def fit(docs: DataFrame) -> BigramModel:
     """Count all given documents and write the model's arrays below the checkpoint folder."""
-    workspace = Workspace(docs.sparkSession)
-    folder = shared_folder(workspace.path) + "/bigrams"
+    spark = docs.sparkSession
+    folder = shared_folder(qualified(spark, Workspace(spark).path)) + "/bigrams"
     texts = id_and_text(docs).select("text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     shards = min(MOST_SHARDS, max(FEWEST_SHARDS, size // SHARD_BYTES))
@@ -355,16 +400,20 @@ def fit(docs: DataFrame) -> BigramModel:
 
     def save_words(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = _merged(table)
-        _save(folder, f"word-{key[0].as_py()}-keys", keys)
-        _save(folder, f"word-{key[0].as_py()}-counts", counts.astype(np.uint32))
-        return pa.table({"n": [len(keys)], "total": [int(counts.sum())]})
-
-    words = _counted(texts, word_keys, bits).groupBy("shard").applyInArrow(save_words, "n long, total long")
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    n_words, n_tokens = int(sums[0]), int(sums[1])
+        files = [
+            _save(folder, f"word-{key[0].as_py()}-keys", keys),
+            _save(folder, f"word-{key[0].as_py()}-counts", counts.astype(np.uint32)),
+        ]
+        return pa.table({"n": [len(keys)], "total": [int(counts.sum())], "files": pa.array([files], FILES_TYPE)})
+
+    # A row per shard comes to the driver.
+    words = _counted(texts, word_keys, bits).groupBy("shard").applyInArrow(save_words, f"n long, total long, {FILES}")
+    written = words.collect()
+    n_words, n_tokens = sum(w.n for w in written), sum(w.total for w in written)
+    files = [f for w in written for f in w.files]
     if n_words >= 2**32 - 1:
         raise ValueError("the vocabulary passes 32 bits")
-    ids_only = BigramModel(folder, bits, n_tokens, n_words, 0, (0.0,) * 4, (0.0,) * 4, 1.0)
+    ids_only = BigramModel(Manifest(folder, files), bits, n_tokens, n_words, 0, (0.0,) * 4, (0.0,) * 4, 1.0)
 
     def pair_keys(column: pa.Array) -> np.ndarray:
         tokens, lengths = _sequence(column)
@@ -373,12 +422,15 @@ def fit(docs: DataFrame) -> BigramModel:
 
     block = ids_only.block
     partial = "kind int, part int, n int, ids binary, numbers binary, total long, n1 long, n2 long, n3 long, n4 long"
+    partial += f", {FILES}"
 
     def save_pairs(key: tuple, table: pa.Table) -> pa.Table:
         """Write a shard's pairs; pass on what it adds to its contexts (kind 0) and to its words (kind 1)."""
         keys, counts = _merged(table)
-        _save(folder, f"pair-{key[0].as_py()}-keys", keys)
-        _save(folder, f"pair-{key[0].as_py()}-counts", counts.astype(np.uint32))
+        files = [
+            _save(folder, f"pair-{key[0].as_py()}-keys", keys),
+            _save(folder, f"pair-{key[0].as_py()}-counts", counts.astype(np.uint32)),
+        ]
         joined = unmix(keys)
         one = np.ones(len(keys), np.uint64)
         kinds = [one * (counts == 1), one * (counts == 2), one * (counts >= 3)]
@@ -389,9 +441,10 @@ def fit(docs: DataFrame) -> BigramModel:
         found = [len(keys), *_count_of_counts(counts)]
         columns = list(zip(*rows, strict=True))
         sums = [[x] + [0] * (len(rows) - 1) for x in found]  # once per shard
-        names = ["kind", "part", "n", "ids", "numbers", "total", "n1", "n2", "n3", "n4"]
-        kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip([*columns, *sums], kinds, strict=True)], names=names)
+        names = ["kind", "part", "n", "ids", "numbers", "total", "n1", "n2", "n3", "n4", "files"]
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 5 + [FILES_TYPE]
+        listed = [files] + [[]] * (len(rows) - 1)
+        return pa.table([pa.array(c, t) for c, t in zip([*columns, *sums, listed], kinds, strict=True)], names=names)
 
     def save_sums(key: tuple, table: pa.Table) -> pa.Table:
         """Add up a range of contexts or words into a dense array."""
@@ -403,24 +456,29 @@ def fit(docs: DataFrame) -> BigramModel:
             numbers.append(unpack(x, n * width, np.uint64).reshape(n, width))
         dense = np.zeros((block, width), dtype=np.int64)
         np.add.at(dense, (np.concatenate(ids) - np.uint64(part * block)).astype(np.int64), np.concatenate(numbers).astype(np.int64))
-        _save(folder, f"{'left' if kind else 'context'}-{part}", dense)
+        files = [f for row in table.column("files").to_pylist() for f in row]
+        files.append(_save(folder, f"{'left' if kind else 'context'}-{part}", dense))
         seen = _count_of_counts(dense[:, 0]) if kind else [0] * 4
         more = int((dense[:, 0] >= 3).sum()) if kind else 0
         own = {f"n{k + 1}": [sum(table.column(f"n{k + 1}").to_pylist())] for k in range(4)}
         words = {f"w{k + 1}": [seen[k]] for k in range(4)}
-        return pa.table({"total": [sum(table.column("total").to_pylist())], **own, **words, "w3up": [more]})
+        total = [sum(table.column("total").to_pylist())]
+        return pa.table({"total": total, **own, **words, "w3up": [more], "files": pa.array([files], FILES_TYPE)})
 
     pairs = _counted(texts, pair_keys, bits).groupBy("shard").applyInArrow(save_pairs, partial)
     result = "total long, n1 long, n2 long, n3 long, n4 long, w1 long, w2 long, w3 long, w4 long, w3up long"
     names = [part.split()[0] for part in result.split(", ")]
-    summed = pairs.groupBy("kind", "part").applyInArrow(save_sums, result)
-    sums = summed.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in names]).first()
+    # Two rows per shard come to the driver.
+    summed = pairs.groupBy("kind", "part").applyInArrow(save_sums, f"{result}, {FILES}").collect()
+    sums = {name: sum(row[name] for row in summed) for name in names}
+    files += [f for row in summed for f in row.files]
     pair_d = discounts(np.array([sums[f"n{k}"] for k in (1, 2, 3, 4)]))
     word_d = discounts(np.array([sums[f"w{k}"] for k in (1, 2, 3, 4)]))
     n_pairs = sums["total"]
     taken = word_d[1] * sums["w1"] + word_d[2] * sums["w2"] + word_d[3] * sums["w3up"]
     left_over = taken / n_pairs if n_pairs else 1.0
-    return BigramModel(folder, bits, n_tokens, n_words, n_pairs, tuple(pair_d), tuple(word_d), float(left_over))
+    manifest = Manifest(folder, files)
+    return BigramModel(manifest, bits, n_tokens, n_words, n_pairs, tuple(pair_d), tuple(word_d), float(left_over))
 
 
 def _by_part(ids: np.ndarray, numbers: np.ndarray, block: int):

@@ -1,7 +1,10 @@
 import math
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pytest
+from pyspark.errors import PythonException
 
 from grantlens.llm import language_model as lm
 from grantlens.llm.batches import mix
@@ -70,6 +73,29 @@ def test_little_or_no_training(spark):
     assert all(r.base_score == 0 and r.score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in found)
 
 
+@pytest.mark.parametrize("table", ["word", "pair", "context", "left"])
+@pytest.mark.parametrize("harm", ["removed", "shortened", "changed"])
+def test_a_file_that_differs_is_an_error(spark, table, harm):
+    model = lm.fit(frame(spark, [(i, f"the cat {i} sat on the mat") for i in range(40)]))
+    name = next(n for n, (entries, _) in sorted(model.manifest.files.items()) if n.startswith(table) and entries > 1)
+    path = Path(model.manifest.folder, f"{name}.npy")
+    values = np.load(path)
+    if harm == "removed":
+        path.unlink()
+    else:
+        np.save(path, values[:-1] if harm == "shortened" else values + 1)
+    lm._table.cache_clear()
+    with pytest.raises(PythonException, match="is not"):
+        model.score(frame(spark, [(1, "the cat 7 sat")])).collect()
+
+
+def test_paths_without_a_scheme_lie_in_the_default_file_system(spark):
+    assert lm.qualified(spark, "/models").startswith("file:/")
+    assert lm.shared_folder(lm.qualified(spark, "/models")) == "/models"
+    with pytest.raises(ValueError, match="hdfs"):
+        lm.shared_folder("hdfs://name/models")
+
+
 def test_chances_sum_to_one():
     training = [(i, f"a b c {i % 4} a b {i % 7}") for i in range(30)]
     _, every, v = brute(training, [])
