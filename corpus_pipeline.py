@@ -28,8 +28,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates."""
-    return near_dedup.deduplicate(docs)
+    """Keep one document of each group of near-duplicates, which share four fifths of their shingles or more."""
+    return near_dedup.deduplicate(docs, percent=80)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
