@@ -6,7 +6,7 @@ import corpus_pipeline
 from grantlens.llm import decontamination, near_dedup, quality, queries, toxicity
 from tests.compare import connect, duck_rows, spark_rows
 from tests.llm.helpers import frame, odd_rows
-from tests.llm.test_near_dedup import brute
+from tests.llm.test_near_threshold import lowest_linked
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,7 +27,7 @@ def test_stages_in_order(spark):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     toxic = {r.doc_id: r.score for r in toxicity.fit(kept[1], labels).score(kept[1]).collect()}
     assert set(texts[2]) == {i for i, score in toxic.items() if score < toxicity.THRESHOLD}
-    assert set(texts[3]) == {i for i, (_, first) in brute(texts[2].items()).items() if i == first}
+    assert set(texts[3]) == {i for i, first in lowest_linked(texts[2].items(), 80).items() if i == first}
     benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
     leaks = {r.doc_id for r in decontamination.leaks(kept[3], benchmark).collect()}
     assert set(texts[4]) == set(texts[3]) - leaks
