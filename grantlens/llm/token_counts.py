@@ -65,11 +65,12 @@ def _calls(parts: list[str]):
     call: list[str] = []
     size = 0
     for part in parts:
-        if call and size + len(part) > CALL_BYTES:
+        n_bytes = len(part.encode())
+        if call and size + n_bytes > CALL_BYTES:
             yield call
             call, size = [], 0
         call.append(part)
-        size += len(part)
+        size += n_bytes
     if call:
         yield call
 
