@@ -56,6 +56,12 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_text_per_id(rows: DataFrame, *others: str) -> DataFrame:
+    """One row per doc_id: of several texts the one with the lowest MD5. ``others`` are equal within an id."""
+    least = F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("md5"), "text")).alias("least")
+    return rows.groupBy("doc_id", *others).agg(least).select("doc_id", "least.text", *others)
+
+
 # --- words -----------------------------------------------------------------------
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))

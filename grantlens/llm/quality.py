@@ -6,7 +6,8 @@ label, and with it the probability that a document is fine. These posteriors are
 logistic regression over hashed word shapes, which scores every document.
 
 Rows: every document once per input row. Null or empty text has no words: labellers abstain or call it
-poor, and the scorer sees no features. An empty table, or votes of one pattern only, gives the
+poor, and the scorer sees no features. Every row votes; of several texts of one doc_id the scorer learns the
+one with the lowest MD5, from that text's own votes, and rows without an id teach it nothing. An empty table, or votes of one pattern only, gives the
 posterior itself as the score. Columns other than doc_id and text are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.llm import text_stats
-from grantlens.llm.batches import id_and_text, map_slices, mix
+from grantlens.llm.batches import id_and_text, map_slices, mix, one_text_per_id
 from grantlens.llm.text_stats import Texts, rate
 from grantlens.workspace import Workspace
 
@@ -305,9 +306,11 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel:
     drawn = voted.filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit("quality sample")), "doc_id")
     chosen = drawn.limit(rows).select("doc_id").distinct()  # bounded by `rows`, so it fits a broadcast
     fine = F.create_map(*[F.lit(x) for item in soft.items() for x in item])[F.col("pattern")]
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    table = hashed(texts).join(voted.select("doc_id", fine.alias("fine")).dropDuplicates(["doc_id"]), "doc_id")
-    table = workspace.stage(table, "quality_sample").df.coalesce(4)
+    texts = one_text_per_id(id_and_text(docs).join(F.broadcast(chosen), "doc_id"))
+    texts = workspace.stage(texts, "quality_texts").df
+    table = hashed(texts).join(votes(texts).select("doc_id", fine.alias("fine")), "doc_id")
+    # The same rows in the same order, however the input lies.
+    table = workspace.stage(table, "quality_sample").df.repartition(4, "doc_id").sortWithinPartitions("doc_id").coalesce(4)
     vector = F.udf(lambda b, v: Vectors.sparse(BUCKETS, b, v), VectorUDT())  # on the bounded sample only
     table = table.select(vector("buckets", "values").alias("features"), "fine")
     sides = F.explode(
