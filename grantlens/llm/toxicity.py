@@ -6,6 +6,8 @@ whole texts. Trees and calibration are Spark ML models, fitted on a bounded samp
 
 Rows: every document once per input row. Null or empty text scores like any text without hits.
 Several labels of one document count as toxic if one does; null labels and null ids are no labels.
+Of several texts of one doc_id the model learns the one with the lowest MD5; of near copies the learned
+lexicon counts the one with the lowest doc_id.
 Without labels of both kinds every score is the smoothed share of toxic labels. Columns other than
 doc_id and text are ignored.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from grantlens.llm import text_stats
-from grantlens.llm.batches import id_and_text, map_slices, mix, shingle_sets
+from grantlens.llm.batches import id_and_text, map_slices, mix, one_text_per_id, shingle_sets
 from grantlens.llm.text_stats import Texts, lowered, rate
 from grantlens.workspace import Workspace
 
@@ -228,7 +230,9 @@ def learn_terms(docs: DataFrame, n_toxic: int, n_clean: int) -> list[int]:
     if not n_toxic or not n_clean:
         return []
     single = _terms_of(docs).join(docs.select("doc_id", "toxic"), "doc_id")
-    single = single.dropDuplicates(["m1", "toxic"]).dropDuplicates(["m2", "toxic"])
+    for mark in ("m1", "m2"):
+        first = F.min_by(F.struct("doc_id", "m1", "m2", "terms"), "doc_id").alias("first")
+        single = single.groupBy(F.col(mark).alias("mark"), "toxic").agg(first).select("first.*", "toxic")
     counted = single.select("toxic", F.explode("terms").alias("term"))
     counts = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     odds = ((F.col("toxic") + 0.1) / n_toxic) / ((F.col("clean") + 0.5) / n_clean)
@@ -280,19 +284,23 @@ def _assembled(df: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Fit on the documents that ``labels`` (doc_id, toxic) names, ``rows`` of them at most.
 
-    A quarter of the sample, by hash, is kept from the trees and calibrates them.
+    A quarter of the sample, by hash, is kept from the lexicon and the trees and calibrates them.
     """
     workspace = Workspace(docs.sparkSession)
     chosen = workspace.stage(training_labels(labels, rows), "toxicity_labels").df
     # The sample is bounded by `rows`, so its ids fit a broadcast.
-    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = one_text_per_id(id_and_text(docs).join(F.broadcast(chosen), "doc_id"), "toxic")
     sample = workspace.stage(texts, "toxicity_sample").df
+    aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(4)) == 0
     counts = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     prior = (counts["toxic"] + 1) / (counts["n"] + 2)
-    words = lexicon(learn_terms(sample, counts["toxic"], counts["n"] - counts["toxic"]))
+    taught = sample.filter(~aside)
+    n = {row["toxic"]: row["n"] for row in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    words = lexicon(learn_terms(taught, n.get(1, 0), n.get(0, 0)))
     measured = features(sample, words).join(sample.select("doc_id", "toxic"), "doc_id")
-    measured = workspace.stage(measured, "toxicity_features").df.coalesce(4)
-    aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(4)) == 0
+    # The same rows in the same order, however the input lies.
+    measured = workspace.stage(measured, "toxicity_features").df
+    measured = measured.repartition(4, "doc_id").sortWithinPartitions("doc_id").coalesce(4)
     table = _assembled(measured).withColumn("label", F.col("toxic").cast("double")).select("doc_id", "features", "label")
     parts = [table.filter(~aside), table.filter(aside)]
     if any(part.select("label").distinct().count() < 2 for part in parts):
