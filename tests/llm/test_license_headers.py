@@ -1,4 +1,6 @@
-"""The genuine header of each rule of several sentences, a paragraph a line."""
+"""The genuine header of each rule of several sentences: a paragraph a line, wrapped, and as a comment."""
+
+import textwrap
 
 import duckdb
 import pytest
@@ -31,23 +33,66 @@ BSD_2 = """Redistribution and use in source and binary forms, with or without mo
 BSD_3 = """
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """
+MIT_END = """ IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+ISC_END = """ IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LGPL_21 = GPL_2.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1")
+LGPL_WARRANTY = GPL_WARRANTY.replace("GNU General", "GNU Lesser General")
+LGPL_3, AGPL_3 = (GPL_3.replace("GNU General", f"GNU {kind} General") for kind in ("Lesser", "Affero"))
 HEADERS = [
-    ("apache-2.0-notice,apache-2.0-full-notice", "Apache-2.0", APACHE),
+    ("apache-2.0-full-notice", "Apache-2.0", APACHE),
+    ("apache-2.0-notice", "Apache-2.0", APACHE.split("Unless")[0]),
     ("mit-text", "MIT", MIT),
-    ("gpl-3.0-notice,gpl-3.0-grant", "GPL-3.0", GPL_3 + GPL_WARRANTY),
+    ("mit-full-text", "MIT", MIT + MIT_END),
+    ("gpl-3.0-notice", "GPL-3.0", GPL_3 + GPL_WARRANTY),
     ("gpl-3.0-grant", "GPL-3.0", GPL_3),
-    ("gpl-2.0-notice,gpl-2.0-grant", "GPL-2.0", GPL_2 + GPL_WARRANTY),
+    ("gpl-2.0-notice", "GPL-2.0", GPL_2 + GPL_WARRANTY),
     ("gpl-2.0-grant", "GPL-2.0", GPL_2),
-    ("gpl-3.0-uncut-notice,gpl-3.0-uncut-grant", "GPL-3.0", (GPL_3 + GPL_WARRANTY).replace(": ", ", ").replace(";", ",")),
-    ("gpl-2.0-uncut-notice,gpl-2.0-uncut-grant", "GPL-2.0", (GPL_2 + GPL_WARRANTY).replace(";", ",")),
+    ("gpl-3.0-uncut-notice", "GPL-3.0", (GPL_3 + GPL_WARRANTY).replace(": ", ", ").replace(";", ",")),
+    ("gpl-2.0-uncut-notice", "GPL-2.0", (GPL_2 + GPL_WARRANTY).replace(";", ",")),
+    ("lgpl-2.1-notice", "LGPL-2.1", LGPL_21 + LGPL_WARRANTY.replace("program", "library")),
+    ("lgpl-2.1-grant", "LGPL-2.1", LGPL_21),
+    ("lgpl-3.0-notice", "LGPL-3.0", LGPL_3 + LGPL_WARRANTY),
+    ("lgpl-3.0-grant", "LGPL-3.0", LGPL_3),
+    ("agpl-3.0-notice", "AGPL-3.0", AGPL_3 + GPL_WARRANTY.replace("GNU General", "GNU Affero General")),
+    ("agpl-3.0-grant", "AGPL-3.0", AGPL_3),
+    ("mpl-2.0-https-notice", "MPL-2.0", MPL),
+    ("mpl-2.0-notice", "MPL-2.0", MPL.replace("https", "http")),
+    ("isc-text", "ISC", ISC),
+    ("isc-full-text", "ISC", ISC + ISC_END),
     ("bsd-2-text", "BSD-2-Clause", BSD_2),
-    ("bsd-2-text,bsd-3-text", "BSD-2-Clause,BSD-3-Clause", BSD_2 + BSD_3),
+    ("bsd-3-text", "BSD-3-Clause", BSD_2 + BSD_3),
+    ("bsd-2-full-text", "BSD-2-Clause", BSD_2 + BSD_END),
+    ("bsd-3-full-text", "BSD-3-Clause", BSD_2 + BSD_3 + BSD_END),
+    ("spdx-LGPL-2.1-or-later", "LGPL-2.1-or-later", "SPDX-License-Identifier: LGPL-2.1-or-later\nCopyright 2020 Somebody"),
+    ("", "", "SPDX-License-Identifier: MIT OR Apache-2.0"),
 ]
 
 
-@pytest.fixture(scope="module")
-def docs(spark):
-    return frame(spark, [(k, text) for k, (_, _, text) in enumerate(HEADERS)])
+def wrapped(text, mark="", width=80):
+    lines = [textwrap.wrap(line, width - len(mark), break_on_hyphens=False, break_long_words=False) or [""] for line in text.split("\n")]
+    return "\n".join((mark + line).rstrip() for part in lines for line in part)
+
+
+@pytest.fixture(scope="module", params=["long lines", "80 columns", "narrow", "comment", "after a title", "carriage returns"])
+def docs(spark, request):
+    form = {
+        "long lines": lambda text: text,
+        "80 columns": wrapped,
+        "narrow": lambda text: wrapped(text, width=20),
+        "comment": lambda text: "/*\n" + wrapped(text, " * ") + "\n */\nint main;",
+        "after a title": lambda text: "A Title Without A Mark\n" + wrapped(text, "# "),
+        "carriage returns": lambda text: wrapped(text).replace("\n", "\r\n"),
+    }[request.param]
+    # A tag's expression ends with its line, so tags are not wrapped.
+    texts = [text if "SPDX" in text else form(text) for _, _, text in HEADERS]
+    return frame(spark, list(enumerate(texts)))
 
 
 def test_genuine_headers_match(docs):
@@ -57,6 +102,19 @@ def test_genuine_headers_match(docs):
     assert several <= {name for rules, _, _ in HEADERS for name in rules.split(",")}
 
 
+def test_long_rules_take_their_identifiers(spark):
+    texts = [
+        "Released under the MIT License.\n" * 3,  # one rule, three times
+        BSD_2 + BSD_3 + "Between.\n" + BSD_2,  # both licences, each by its own sentences
+        "\n".join(["All rights reserved"] * 500),
+        "Some words, all rights reserved",  # neither begins nor ends with the line
+        "all rights reserved to somebody",
+    ]
+    found = {r.doc_id: r for r in licenses.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert [found[k].rules for k in range(5)] == ["mit-named", "bsd-3-text,bsd-2-text", "reserved", "", ""]
+    assert [found[k].n_sentences for k in range(5)] == [3, 7, 500, 0, 0]
+
+
 def test_genuine_headers_equal_sql(docs):
     df = licenses.scan(docs)
     con = duckdb.connect()

@@ -51,5 +51,6 @@ def test_equal_to_sql_and_without_python(spark):
 
 def test_known_sentences_are_in_normal_form(spark):
     df = spark.createDataFrame([(s,) for s in licenses.SENTENCES.values()], "s string")
-    assert all(r[0] == [r[1]] for r in df.select(licenses.normal_sentences(df.s), "s").collect())
+    assert all(r[0] == [[r[1]]] for r in df.select(licenses.pieces(df.s), "s").collect())
     assert {name for _, _, seq in licenses.RULES for name in seq} <= set(licenses.SENTENCES)
+    assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
