@@ -1,11 +1,14 @@
 """Document fingerprints: invertible Bloom lookup tables over hashed paragraphs.
 
-Paragraphs are lines, cut every ``PIECE_WORDS`` words. Each different one has a 64-bit digest, which goes
+Paragraphs are lines, cut into pieces of ``LEAST_WORDS`` to ``PIECE_WORDS`` words. A piece ends with the first word
+that may end one by its last character, so that cuts fall in the same places after words were put in
+or taken out; without such a word it has ``PIECE_WORDS`` words, or what is left of the line. Each different one has a 64-bit digest, which goes
 to three cells of a table; a cell holds a count, the XOR of its digests and the XOR of their check
 sums. Two tables subtract cell by cell; what both have is gone, cells with one digest left give it
 away, and taking it from its other cells frees more (peeling). Where peeling ends early, the digests are
 dealt to as many tables as hold them with ease, and any of those that still fails is made again with
-twice the cells and other hashes. The likeness of two texts is the share of digests in common, from the
+twice the cells and other hashes, ``TRIES`` times; should the last one fail too, its few digests are compared
+as lists, so that every count is exact. The likeness of two texts is the share of digests in common, from the
 digests recovered.
 
 All of it is built-in expressions within the row. The next document's text comes by a window over short
@@ -25,7 +28,17 @@ from pyspark.sql import functions as F
 
 from grantlens.workspace import Stage, Workspace
 
-PIECE_WORDS = 24
+LEAST_WORDS = 5
+PIECE_WORDS = 12
+
+# Last characters of words that may end a piece: ASCII letters, digits and marks with codes of 3 modulo 4.
+ENDS = "".join(chr(c) for c in range(ord("!"), 127) if c % 4 == 3 and chr(c) not in "[]\\^-")
+
+_WORD = r"[^ \t\r\n]"
+PIECE = (
+    rf"(?:{_WORD}++[ \t]++){{{LEAST_WORDS - 1},{PIECE_WORDS - 1}}}?{_WORD}*[{ENDS}](?!{_WORD})"
+    rf"|{_WORD}++(?:[ \t]++{_WORD}++){{0,{PIECE_WORDS - 1}}}"
+)
 
 # Cells of a fingerprint, and of each table that digests are dealt to: three groups, one cell in each.
 CELLS = 24
@@ -52,8 +65,7 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """The different 64-bit digests of a text's paragraphs."""
-    piece = rf"[^ \t\r\n]+(?:[ \t]+[^ \t\r\n]+){{0,{PIECE_WORDS - 1}}}"
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(piece), F.lit(0))
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
     return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
 
 
@@ -177,9 +189,15 @@ def _retried(left: Column, right: Column) -> Column:
             lambda t: peel(difference_table(left, right, t, number), t, number),
         )
 
-    return F.aggregate(
+    tried = F.aggregate(
         F.sequence(F.lit(1), F.lit(TRIES)), none, lambda s, number: F.when(s["ok"], s).otherwise(attempt(number))
     )
+    listed = F.struct(
+        F.lit(True).alias("ok"),
+        F.size(F.array_except(left, right)).alias("left"),
+        F.size(F.array_except(right, left)).alias("right"),
+    )
+    return _let(tried, lambda s: F.when(s["ok"], s).otherwise(listed))
 
 
 def _dealt(keys: Column, outer: Column, inner: Column) -> Column:

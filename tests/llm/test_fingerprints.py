@@ -6,11 +6,18 @@ from pyspark.sql import functions as F
 from grantlens.llm import fingerprints as fp
 from tests.llm.helpers import frame, odd_rows
 
-PIECE = re.compile(rf"[^ \t\r\n]+(?:[ \t]+[^ \t\r\n]+){{0,{fp.PIECE_WORDS - 1}}}")
-
-
 def pieces(text):
-    return set(PIECE.findall(text))
+    found = set()
+    for line in re.split("[\r\n]+", text):
+        words = [m.span() for m in re.finditer("[^ \t]+", line)]
+        at = 0
+        while at < len(words):
+            left = len(words) - at
+            ends = [n for n in range(fp.LEAST_WORDS, fp.PIECE_WORDS + 1) if n <= left and line[words[at + n - 1][1] - 1] in fp.ENDS]
+            n = ends[0] if ends else min(fp.PIECE_WORDS, left)
+            found.add(line[words[at][0] : words[at + n - 1][1]])
+            at += n
+    return found
 
 
 def alike(a, b):
@@ -81,3 +88,17 @@ def test_failing_tables_are_made_larger(spark):
 def test_no_python_on_the_path(spark):
     plan = fp.fingerprints(frame(spark, odd_rows()))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_words_put_in_change_few_pieces(spark):
+    prose = " ".join(f"{a} {b}" for a in "the dogs look across many rivers while nobody sings".split() for b in "red things grow under blue cloudy skies".split())
+    rows = [(k, f"x{k} {prose}") for k in range(20)]  # each one next to the other, but for the first word
+    found = check(spark, rows)
+    assert min(r.near_next for r in found) > 0.8
+
+
+def test_counts_are_exact_where_no_table_peels(spark, monkeypatch):
+    rows = [(k, "\n".join(f"line {n} of {k % 3}" for n in range(5 * k))) for k in range(12)]
+    monkeypatch.setattr(fp, "TRIES", 1)
+    monkeypatch.setattr(fp, "DEALT_CELLS", 3)  # a cell in each group: nothing but one digest peels
+    check(spark, rows)
