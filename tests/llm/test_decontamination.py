@@ -1,9 +1,11 @@
 import random
+from functools import partial
 
 import numpy as np
 import pytest
 
 from grantlens.llm import decontamination as dc
+from grantlens.operators import skew
 from tests.llm.helpers import CLASHES, PROSE, frame, odd_rows
 
 
@@ -79,9 +81,59 @@ def test_documents_are_kept_whole(spark, benchmark):
     assert rows == sorted((i or 0, t or "") for i, t in passages()[2:4] + odd_rows())
 
 
-def test_empty_tables_and_several_blocks(spark, benchmark, monkeypatch):
+def test_empty_tables_and_full_filter(spark, benchmark, monkeypatch):
     docs = frame(spark, passages())
     assert dc.leaks(docs, benchmark.limit(0)).count() == 0
     assert dc.leaks(docs.limit(0), benchmark).count() == 0
-    monkeypatch.setattr(dc, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(dc, "FILTER_BITS", 64)
     assert dc.leaks(docs, benchmark).count() == 5
+
+
+def tokens_of(text):
+    """Letters and digits of each word, lower-cased, without words that have none."""
+    words = ("".join(c for c in w if c.isascii() and c.isalnum()) for w in (text or "").lower().split())
+    return [w for w in words if w]
+
+
+def test_whole_query_equals_brute_force(spark, monkeypatch):
+    """Every document row is tiled with every item row, without seeds; hot seeds take the split joins."""
+    draw = random.Random(11)
+    stock = "as everybody in this town has known for a very long time"
+    items = [
+        (k, " ".join(draw.choice("red blue green tall old cat dog ran sat the of".split()) for _ in range(draw.randint(3, 25))))
+        for k in range(25)
+    ]
+    items += [(100, stock), (101, stock + " the cat sat on the mat"), (101, stock + " the cat sat on the mat"), (102, None)]
+    rows = []
+    for i in range(60):
+        _, text = draw.choice(items)
+        words = (text or "").split()
+        at = draw.randint(0, len(words))
+        kept = [w for w in words if draw.random() > draw.choice((0, 0, 0.1))]
+        body = " ".join([*words[at:], "x", *words[:at]] if i % 3 == 0 else kept)
+        rows.append((i // 2, f"{stock if i % 2 else ''} {body} {stock if i % 5 == 0 else ''}"))
+    rows += rows[:4]
+    expected = []
+    for doc_id, text in rows:
+        for item_id, item in items:
+            numbers = {}
+            a, b = ([numbers.setdefault(w, len(numbers)) for w in tokens_of(t)] for t in (item, text))
+            tiles = brute(a, b)
+            if len(a) >= 5 and sum(size for size, _, _ in tiles) >= 0.8 * len(a):
+                expected.append((doc_id, item_id, len(tiles), max(tiles)[0]))
+    split = partial(skew.balanced_join, hot_pairs=1, slice_rows=2)
+    monkeypatch.setattr(dc, "balanced_join", split)
+    schema = "item_id long, text string"
+    found = dc.leaks(frame(spark, rows), spark.createDataFrame(items, schema))
+    assert sorted((r.doc_id, r.item_id, r.n_tiles, r.longest_tile) for r in found.collect()) == sorted(expected)
+    assert len(expected) > 60
+    kept = dc.decontaminate(frame(spark, rows), spark.createDataFrame(items, schema)).collect()
+    leaking = {text for _, text in rows if any(
+        len(tokens_of(i)) >= 5 and 5 * sum(s for s, _, _ in brute(tokens_of(i), tokens_of(text))) >= 4 * len(tokens_of(i))
+        for _, i in items)}
+    assert sorted(r.text for r in kept) == sorted(text for _, text in rows if text not in leaking)
+
+
+def test_seeds_every_leak_holds():
+    """Tiles of five tokens hold the fewest seeds: one place each."""
+    assert [dc.least_seeds(n) for n in (5, 6, 10, 25, 100)] == [1, 1, 2, 4, 16]
