@@ -61,3 +61,48 @@ def test_propagation_lowers_cut_edges(spark, rounds):
     cut = sum(shard[i] != shard[i - i % 20 + (i + 1) % 20] for i in range(2000))
     assert max(Counter(shard.values()).values()) - min(Counter(shard.values()).values()) <= 4
     assert cut < (1700 if rounds == 0 else 1100)
+
+
+def cut_groups(found):
+    homes = defaultdict(set)
+    for r in found:
+        homes[r.size, r.text_crc32].add(r.shard)
+    return sum(len(h) > 1 for h in homes.values())
+
+
+def test_rounds_gather_groups_of_documents(spark, monkeypatch):
+    """Equal texts begin apart; wishes are granted in several rounds, also where shards overflow."""
+    rows = [(i, f"text {i // 10} " + "w " * (i // 10 % 60)) for i in range(3000)]
+    granted = []
+    stage = sharding.Workspace.stage
+
+    def counted(self, df, name, *args, **kwargs):
+        out = stage(self, df, name, *args, **kwargs)
+        if name == "shard_moved":
+            granted.append((out.rows, out.df.filter("denied").count()))
+        return out
+
+    before = cut_groups(sharding.shard_documents(frame(spark, rows), 8, rounds=0).collect())
+    monkeypatch.setattr(sharding.Workspace, "stage", counted)
+    found = collected(spark, rows, 8)
+    loads = Counter()
+    for r in found:
+        loads[r.shard] += r.size
+    assert max(loads.values()) - min(loads.values()) <= 2 * max(r.size for r in found)
+    assert before > 290 and cut_groups(found) < 40
+    assert len(granted) > 1 and granted[0][1] > 0
+
+
+def test_given_documents_obey_the_law(spark):
+    """Brute force over the rows: bytes near equal, gapless slots, groups whole but for those evened out."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    found = collected(spark, rows, 40)
+    text, loads = dict(rows), Counter()
+    for r in found:
+        raw = (text[r.doc_id] or "").encode()
+        assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
+        loads[r.shard] += r.size
+    assert len(loads) == 40 and max(loads.values()) - min(loads.values()) <= max(r.size for r in found)
+    repeated = sum(n > 1 for n in Counter(t or "" for _, t in rows).values())
+    assert repeated > 0 and cut_groups(found) <= max(3, repeated // 10)
