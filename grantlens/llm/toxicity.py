@@ -264,17 +264,20 @@ class ToxicityModel:
         if self.trees is None:
             return docs
         words = self.words
-        names = [F.col(f"`{name}`") for name in docs.columns]
-        rows = docs.select(F.struct(*names).alias("row"), F.col("text").alias("text"))
+        # The text goes to the workers once, beside the other columns.
+        others = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
+        rows = docs.select(F.struct(*others).alias("row"), "text")
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             columns = [pa.array(c) for c in feature_batch(batch.column("text"), words)]
-            return pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", *FEATURES])
+            return pa.RecordBatch.from_arrays([*batch.columns, *columns], ["row", "text", *FEATURES])
 
-        schema = StructType([rows.schema["row"], *(StructField(name, DoubleType()) for name in FEATURES)])
+        schema = StructType([*rows.schema, *(StructField(name, DoubleType()) for name in FEATURES)])
         raw = self.trees.transform(_assembled(map_slices(rows, run, schema)))
-        raw = raw.select("row", vector_to_array("probability")[1].alias("margin"))
-        return self.calibration.transform(raw).filter(F.col("score") < THRESHOLD).select("row.*")
+        raw = raw.select("row", "text", vector_to_array("probability")[1].alias("margin"))
+        kept = self.calibration.transform(raw).filter(F.col("score") < THRESHOLD)
+        own = F.col("row").getField
+        return kept.select(*[F.col("text") if name == "text" else own(name).alias(name) for name in docs.columns])
 
 
 def _assembled(df: DataFrame) -> DataFrame:
