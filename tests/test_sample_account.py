@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from grantlens.operators.access import object_privileges_by_role
+from grantlens.workspace import Workspace
 from sample_account import SampleAccount
 
 
@@ -41,3 +43,41 @@ def test_sample_dealings_are_found_once(spark, tmp_path):
     assert sorted(tuple(r) for r in pairs) == [(0, 0, "N0"), (0, 1, "N1"), (0, 2, "N1"), (1, 0, "N0"), (1, 1, "N1")]
     plan = account.future_grants()._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan
+
+
+def stored_plans(monkeypatch):
+    """Optimized plans of what is stored from here on, by name."""
+    plans, store = {}, Workspace.stage
+
+    def recorded(self, df, name, *args, **kwargs):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(self, df, name, *args, **kwargs)
+
+    monkeypatch.setattr(Workspace, "stage", recorded)
+    return plans
+
+
+def test_parent_grants_read_no_line_items(spark, tmp_path, monkeypatch):
+    """Grants on databases and schemas are looked for only where the sample has some."""
+    grants = SampleAccount(spark, tables(spark, str(tmp_path))).snapshot(None, "privilege_grants").privilege_grants
+    plans = stored_plans(monkeypatch)
+    object_privileges_by_role(Workspace(spark), grants)
+    assert "n_nationkey" in plans["parent-grants"] and "l_partkey" not in plans["parent-grants"]
+
+
+def test_dealings_join_customers_to_orders_first(spark, tmp_path, monkeypatch):
+    plans = stored_plans(monkeypatch)
+    SampleAccount(spark, tables(spark, str(tmp_path)))._dealings  # noqa: B018
+    joins = [line for line in plans["dealings"].splitlines() if "Join" in line]
+    # The lines' join with orders is hashed, and customers are joined below it.
+    assert "l_orderkey" in joins[1] and "shuffle_hash" in joins[1]
+    assert any("c_custkey" in line for line in joins[2:])
+
+
+def test_parts_are_dealt_out(spark, tmp_path):
+    """The few rows of nations are never the side that is run through, in one task, for all parts."""
+    account = SampleAccount(spark, tables(spark, str(tmp_path)))
+    plan = account.columns()._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [p_partkey" in plan
+    assert "rightHint=(strategy=broadcast)" in plan
+    assert account.columns().count() > 0
