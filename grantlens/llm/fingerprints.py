@@ -22,6 +22,8 @@ texts; rows without one come last. A single row follows itself. Other columns ar
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +46,9 @@ PIECE = (
 CELLS = 24
 DEALT_CELLS = 30
 
+# Names of the groups of cells, one letter each.
+GROUPS = "abc"
+
 # Digests of both texts in one table, about, where they are dealt to several.
 DEALT = 12
 
@@ -79,7 +84,7 @@ def _check(key: Column) -> Column:
 
 
 def _entries(items: Column, third: Column, seed: Column, key=lambda i: i, count=lambda i: F.lit(1)) -> Column:
-    """What goes into the cells: count, key, check and the key's cell in each group."""
+    """What goes into the cells: count, key, check and the key's cell in each group (a, b, c)."""
 
     def entry(item: Column) -> Column:
         k = key(item)
@@ -89,17 +94,17 @@ def _entries(items: Column, third: Column, seed: Column, key=lambda i: i, count=
                 count(item).cast("int").alias("n"),
                 k.alias("k"),
                 _check(k).alias("h"),
-                F.array(*[(_field(h, 20 * g) % third + g * third).cast("int") for g in range(3)]).alias("at"),
+                *[((_field(h, 20 * g) % third).cast("int") + (third * g).cast("int")).alias(GROUPS[g]) for g in range(3)],
             ),
         )
 
     return F.transform(items, entry)
 
 
-def _into(cell: Column, place: Column, third: Column, entries: Column, sign: int) -> Column:
-    """A cell after adding (1) or taking away (-1) the entries that belong to it."""
-    group = F.floor(place / third).cast("int")
-    own = F.filter(entries, lambda e: e["at"][group] == place)
+def _into(cell: Column, place: Column, entries: Column, sign: int, groups: str = GROUPS) -> Column:
+    """A cell of one of the groups after adding (1) or taking away (-1) the entries that belong to it."""
+    # A place is of one group only, so that places of other groups never equal it.
+    own = F.filter(entries, lambda e: reduce(or_, [e[group] == place for group in groups]))
     return F.aggregate(
         own,
         cell,
@@ -112,8 +117,12 @@ def _into(cell: Column, place: Column, third: Column, entries: Column, sign: int
 def _filled(entries: Column, third: Column) -> Column:
     """The cells of a table that holds the entries."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    places = F.sequence(F.lit(0), (third * 3 - 1).cast("int"))
-    return _let(entries, lambda e: F.transform(places, lambda j: _into(empty, j, third, e, 1)))
+
+    def of(g: int, e: Column) -> Column:
+        places = F.sequence((third * g).cast("int"), (third * (g + 1) - 1).cast("int"))
+        return F.transform(places, lambda j: _into(empty, j, e, 1, GROUPS[g]))
+
+    return _let(entries, lambda e: F.concat(*[of(g, e) for g in range(3)]))
 
 
 def table(keys: Column, third: Column, seed: Column) -> Column:
@@ -151,10 +160,10 @@ def peel(cells: Column, third: Column, seed: Column) -> Column:
             rest = _let(
                 entries,
                 lambda e: _let(
-                    F.flatten(F.transform(e, lambda x: x["at"])),
+                    F.flatten(F.transform(e, lambda x: F.array(*[x[group] for group in GROUPS]))),
                     lambda touched: F.transform(
                         state["cells"],
-                        lambda c, j: F.when(F.array_contains(touched, j), _into(c, j, third, e, -1)).otherwise(c),
+                        lambda c, j: F.when(F.array_contains(touched, j), _into(c, j, e, -1)).otherwise(c),
                     ),
                 ),
             )

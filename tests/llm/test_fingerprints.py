@@ -102,3 +102,11 @@ def test_counts_are_exact_where_no_table_peels(spark, monkeypatch):
     monkeypatch.setattr(fp, "TRIES", 1)
     monkeypatch.setattr(fp, "DEALT_CELLS", 3)  # a cell in each group: nothing but one digest peels
     check(spark, rows)
+
+
+def test_cells_are_found_without_division(spark):
+    """Filling a table compares the places of a group alone, and divides for none of them."""
+    cells = fp.table(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.xxhash64(i)), F.lit(8), F.lit(0))
+    row = spark.range(1).select(cells.alias("cells"))
+    assert "floor" not in row._jdf.queryExecution().analyzed().toString().lower()
+    assert [sum(c.n for c in row.first().cells[8 * g : 8 * g + 8]) for g in range(3)] == [40, 40, 40]
