@@ -173,10 +173,7 @@ def merged_sets(workspace: Workspace, rows: Stage, owner: str) -> tuple[Stage, S
     An owner with few roles is compared by their sorted list, which takes one aggregate over ``rows``. Owners
     with more are counted first and go through ``set_ids``, which gathers no list.
     """
-    counts = rows.df.groupBy(owner).agg(F.count(F.lit(1)).alias("n_roles"))
-    crowded = workspace.stage(
-        counts.filter(F.col("n_roles") > LISTED_ROLES).select(owner), f"{owner}-crowded", at_most=rows.rows // LISTED_ROLES
-    )
+    crowded = _crowded(workspace, rows, owner)
     listed = rows.df
     if crowded.rows > 0:
         listed = lookup_join(workspace, listed, crowded, [owner], "left_anti", spread="role")
@@ -198,6 +195,14 @@ def merged_sets(workspace: Workspace, rows: Stage, owner: str) -> tuple[Stage, S
     return workspace.stage(members, f"{owner}-members"), workspace.stage(asking, f"{owner}-set-roles")
 
 
+def _crowded(workspace: Workspace, rows: Stage, owner: str) -> Stage:
+    """(owner): those with more than LISTED_ROLES roles. None has more than there are, so few roles need no count by owner."""
+    owners = rows.df.groupBy(owner).agg(F.count(F.lit(1)).alias("n_roles")).filter(F.col("n_roles") > LISTED_ROLES)
+    if rows.df.select("role").distinct().limit(LISTED_ROLES + 1).count() <= LISTED_ROLES:
+        return Stage(owners.select(owner), 0)
+    return workspace.stage(owners.select(owner), f"{owner}-crowded", at_most=rows.rows // LISTED_ROLES)
+
+
 @dataclass(frozen=True)
 class RoleSets:
     """Objects and enabled users, merged by equal sets of roles, without a row per object and user."""

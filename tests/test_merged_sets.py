@@ -25,3 +25,17 @@ def test_merged_sets_equal_sets_by_name(spark, workspace, monkeypatch, listed):
     assert dict(members.df.collect())["b"] == "a" and members.rows == 8
     weighed = access.set_roles(rows, expected, "object").select("set_id", "weight", "role")
     assert sorted(asking.df.select("set_id", "weight", "role").collect()) == sorted(weighed.collect())
+
+
+def test_few_roles_are_not_counted_by_owner(spark, workspace, monkeypatch):
+    """No owner can have more roles than there are, so none is looked for among owners."""
+    monkeypatch.setattr("grantlens.workspace.SMALL_ROWS", -1)
+    names = []
+    stage = Workspace.stage
+    monkeypatch.setattr(Workspace, "stage", lambda self, df, name, *a, **k: names.append(name) or stage(self, df, name, *a, **k))
+    rows = Stage(spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y")], "object string, role string"), 3)
+    members, _ = access.merged_sets(workspace, rows, "object")
+    assert sorted(members.df.collect()) == [("a", "a"), ("b", "b")] and "object-crowded" not in names
+    monkeypatch.setattr(access, "LISTED_ROLES", 1)
+    members, _ = access.merged_sets(workspace, rows, "object")
+    assert sorted(members.df.collect()) == [("a", "a"), ("b", "b")] and "object-crowded" in names
