@@ -86,19 +86,17 @@ def _check(key: Column) -> Column:
 def _entries(items: Column, third: Column, seed: Column, key=lambda i: i, count=lambda i: F.lit(1)) -> Column:
     """What goes into the cells: count, key, check and the key's cell in each group (a, b, c)."""
 
-    def entry(item: Column) -> Column:
+    def entry(item: Column, h: Column) -> Column:
         k = key(item)
-        return _let(
-            F.xxhash64(k, seed),
-            lambda h: F.struct(
-                count(item).cast("int").alias("n"),
-                k.alias("k"),
-                _check(k).alias("h"),
-                *[((_field(h, 20 * g) % third).cast("int") + (third * g).cast("int")).alias(GROUPS[g]) for g in range(3)],
-            ),
+        return F.struct(
+            count(item).cast("int").alias("n"),
+            k.alias("k"),
+            _check(k).alias("h"),
+            *[((_field(h, 20 * g) % third).cast("int") + (third * g).cast("int")).alias(GROUPS[g]) for g in range(3)],
         )
 
-    return F.transform(items, entry)
+    # Two passes rather than a value kept for each item: what is kept is copied.
+    return F.zip_with(items, F.transform(items, lambda i: F.xxhash64(key(i), seed)), entry)
 
 
 def _into(cell: Column, place: Column, entries: Column, sign: int, groups: str = GROUPS) -> Column:
@@ -109,7 +107,7 @@ def _into(cell: Column, place: Column, entries: Column, sign: int, groups: str =
         own,
         cell,
         lambda c, e: F.struct(
-            (c["n"] + sign * e["n"]).alias("n"), c["k"].bitwiseXOR(e["k"]).alias("k"), c["h"].bitwiseXOR(e["h"]).alias("h")
+            (c["n"] + e["n"] if sign > 0 else c["n"] - e["n"]).alias("n"), c["k"].bitwiseXOR(e["k"]).alias("k"), c["h"].bitwiseXOR(e["h"]).alias("h")
         ),
     )
 
@@ -148,40 +146,53 @@ def subtract(left: Column, right: Column) -> Column:
 
 def peel(cells: Column, third: Column, seed: Column) -> Column:
     """Recover the digests of a difference: ok, and how many only the left and only the right has."""
-    found_type = "array<struct<n:int,k:bigint>>"
-    start = F.struct(cells.alias("cells"), F.array().cast(found_type).alias("found"), F.lit(False).alias("done"))
+    none = F.lit(0)
+    start = F.struct(cells.alias("cells"), none.alias("left"), none.alias("right"), F.lit(False).alias("done"))
+
+    def left_of(cells: Column, g: int, e: Column) -> Column:
+        """The cells of a group without the entries."""
+        first = (third * g).cast("int")
+        return _let(
+            F.transform(e, lambda x: x[GROUPS[g]] - first),
+            lambda touched: F.transform(
+                F.slice(cells, first + 1, third.cast("int")),
+                lambda c, j: F.when(F.array_contains(touched, j), _into(c, first + j, e, -1, GROUPS[g])).otherwise(c),
+            ),
+        )
 
     def step(state: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-        keys = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))
-
-        def take(fresh: Column) -> Column:
-            entries = _entries(fresh, third, seed, lambda i: i["k"], lambda i: i["n"])
-            rest = _let(
-                entries,
-                lambda e: _let(
-                    F.flatten(F.transform(e, lambda x: F.array(*[x[group] for group in GROUPS]))),
-                    lambda touched: F.transform(
-                        state["cells"],
-                        lambda c, j: F.when(F.array_contains(touched, j), _into(c, j, e, -1)).otherwise(c),
-                    ),
-                ),
+
+        def fresh(pure: Column) -> Column:
+            # Distinct as plain numbers: structs would be compared pair by pair.
+            def keys(sign: int) -> Column:
+                return F.array_distinct(F.transform(F.filter(pure, lambda c: c["n"] == sign), lambda c: c["k"]))
+
+            return F.struct(keys(1).alias("left"), keys(-1).alias("right"))
+
+        def take(found: Column) -> Column:
+            entries = F.concat(
+                _entries(found["left"], third, seed), _entries(found["right"], third, seed, count=lambda _: F.lit(-1))
             )
+            rest = _let(entries, lambda e: F.concat(*[left_of(state["cells"], g, e) for g in range(3)]))
             return F.struct(
-                F.when(F.size(fresh) == 0, state["cells"]).otherwise(rest).alias("cells"),
-                F.concat(state["found"], fresh).cast(found_type).alias("found"),
-                (F.size(fresh) == 0).alias("done"),
+                rest.alias("cells"),
+                (state["left"] + F.size(found["left"])).alias("left"),
+                (state["right"] + F.size(found["right"])).alias("right"),
+                F.lit(False).alias("done"),
             )
 
-        return F.when(state["done"], state).otherwise(_let(keys, take))
+        ended = F.struct(state["cells"].alias("cells"), state["left"].alias("left"), state["right"].alias("right"), F.lit(True).alias("done"))
+        peeled = _let(pure, lambda p: F.when(F.size(p) == 0, ended).otherwise(_let(fresh(p), take)))
+        return F.when(state["done"], state).otherwise(peeled)
 
     ended = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda state, _: step(state))
     return _let(
         ended,
         lambda s: F.struct(
             F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["h"] == 0)).alias("ok"),
-            F.size(F.filter(s["found"], lambda f: f["n"] > 0)).alias("left"),
-            F.size(F.filter(s["found"], lambda f: f["n"] < 0)).alias("right"),
+            s["left"].alias("left"),
+            s["right"].alias("right"),
         ),
     )
 
@@ -311,7 +322,7 @@ def _heads(workspace: Workspace, ids: DataFrame) -> Stage:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and keys of every row, with the text and keys of the next row by descending doc_id.
+    """doc_id, text, keys and cells of every row, with those of the next row by descending doc_id.
 
     Ranges of ids are small groups of rows, dealt by hash. The first rows of each range are copied into
     the range before it, where they follow the last one. After the last row of all comes the first.
@@ -334,14 +345,17 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.array(F.struct("span", F.lit(False).alias("copy")), F.struct(F.col("into").alias("span"), F.lit(True).alias("copy"))),
     ).otherwise(F.array(F.struct("span", F.lit(False).alias("copy"))))
     copied = known.select("doc_id", "text", digests(F.col("text")).alias("keys"), F.explode(places).alias("place"))
+    copied = copied.withColumn("cells", _first_table(F.col("keys")))
     order = Window.partitionBy("place.span").orderBy("place.copy", F.desc_nulls_last("doc_id"), "text")
     followed = copied.select(
         "doc_id",
         "text",
         "keys",
+        "cells",
         F.col("place.copy").alias("copy"),
         F.lead("text").over(order).alias("next_text"),
         F.lead("keys").over(order).alias("next_keys"),
+        F.lead("cells").over(order).alias("next_cells"),
     )
     return followed.filter("NOT copy").drop("copy")
 
@@ -357,8 +371,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next text's are."""
     rows = with_next(docs).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("edited_keys", digests(F.col("edited")))
-    for name in ("", "edited_", "next_"):
-        rows = rows.withColumn(f"{name}cells", _first_table(F.col(f"{name}keys")))
+    rows = rows.withColumn("edited_cells", _first_table(F.col("edited_keys")))
 
     def alike(name: str) -> Column:
         return likeness(F.col("keys"), F.col("cells"), F.col(f"{name}_keys"), F.col(f"{name}_cells"))

@@ -110,3 +110,17 @@ def test_cells_are_found_without_division(spark):
     row = spark.range(1).select(cells.alias("cells"))
     assert "floor" not in row._jdf.queryExecution().analyzed().toString().lower()
     assert [sum(c.n for c in row.first().cells[8 * g : 8 * g + 8]) for g in range(3)] == [40, 40, 40]
+
+
+def test_next_cells_are_those_of_the_next_row(spark):
+    """A row's cells are made once and go along with its digests to the row before it."""
+    rows = fp.with_next(frame(spark, odd_rows()))
+    wrong = ~F.col("next_cells").eqNullSafe(fp.table(F.col("next_keys"), F.lit(fp.CELLS // 3), F.lit(0)))
+    assert rows.count() > 0 and rows.filter(wrong).count() == 0
+
+
+def test_peeling_counts_each_digest_once_on_its_side(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], [3, 5])], "l array<bigint>, r array<bigint>")
+    third, seed = F.lit(8), F.lit(0)
+    found = df.select(fp.peel(fp.difference_table(F.col("l"), F.col("r"), third, seed), third, seed).alias("p")).first().p
+    assert (found.ok, found.left, found.right) == (True, 3, 1)
