@@ -355,7 +355,7 @@ def _user_counts(spark: SparkSession, folder: str, plan: str = "auto") -> DataFr
     snapshot = audit.snapshot
     return access.object_user_counts(
         audit.workspace,
-        audit.reachable_grants,
+        audit.role_masks,
         snapshot.role_grants,
         snapshot.users,
         audit.role_closure,

@@ -81,7 +81,7 @@ def main() -> None:
         def counts(plan: str) -> DataFrame:
             return access.object_user_counts(
                 workspace,
-                audit.reachable_grants,
+                audit.role_masks,
                 snapshot.role_grants,
                 snapshot.users,
                 audit.role_closure,

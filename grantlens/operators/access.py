@@ -26,9 +26,61 @@ PAIRS_WITHOUT_COUNTING = 10_000_000
 # Sets of no more roles than this are compared as lists.
 LISTED_ROLES = 1000
 
+# Roles of a mask: the bits of a long.
+MASK_ROLES = 64
 
-def object_privileges_by_role(workspace: Workspace, privilege_grants: DataFrame) -> DataFrame:
-    """(object, db, schema, grantee, has_db_permission, has_schema_permission).
+
+@dataclass(frozen=True)
+class RoleMasks:
+    """Which roles have privileges on which objects: a row per object and block of 64 role numbers, a bit per role.
+
+    So an object with few roles is a row or two, however many grants it has, and its name is cut and looked up once.
+    """
+
+    # object, db, schema, block, held, in_db, in_schema: roles with a privilege, and those that the parents are open to
+    masks: Stage
+    names: Stage  # grantee, number
+
+    def privileges(self, workspace: Workspace) -> DataFrame:
+        """The rows of ``object_privileges_by_role``."""
+        bit = F.col("bit")
+        single = self.masks.df.select("*", F.explode(F.sequence(F.lit(0), F.lit(MASK_ROLES - 1))).alias("bit"))
+        numbered = single.filter(F.getbit("held", bit) == 1).select(
+            "object",
+            "db",
+            "schema",
+            (F.col("block") * MASK_ROLES + bit).alias("number"),
+            (F.getbit("in_db", bit) == 1).alias("has_db_permission"),
+            (F.getbit("in_schema", bit) == 1).alias("has_schema_permission"),
+        )
+        named = lookup_join(workspace, numbered, self.names, ["number"], "inner", spread="object")
+        return named.select("object", "db", "schema", "grantee", "has_db_permission", "has_schema_permission")
+
+    def merged(self, workspace: Workspace) -> tuple[Stage, Stage]:
+        """The objects of working privileges as ``merged_sets`` merges them, comparing masks instead of roles."""
+        bits = F.col("held").bitwiseAND(F.col("in_db")).bitwiseAND(F.col("in_schema"))
+        working = self.masks.df.select("object", "block", bits.alias("bits")).filter("bits <> 0")
+        cells = working.select("object", F.concat_ws(":", "block", "bits").alias("role"))
+        members, asking = merged_sets(workspace, Stage(cells, self.masks.rows), "object", most=self.names.rows)
+        block, bits = (F.split_part("role", F.lit(":"), F.lit(i)).cast("bigint") for i in (1, 2))
+        masks = asking.df.select("set_id", "weight", block.alias("block"), bits.alias("bits"))
+        single = masks.select("*", F.explode(F.sequence(F.lit(0), F.lit(MASK_ROLES - 1))).alias("bit"))
+        numbered = single.filter(F.getbit("bits", F.col("bit")) == 1).select(
+            "set_id", "weight", (F.col("block") * MASK_ROLES + F.col("bit")).alias("number")
+        )
+        named = lookup_join(workspace, numbered, self.names, ["number"], "inner", spread="set_id")
+        return members, workspace.stage(named.select("set_id", "weight", F.col("grantee").alias("role")), "object-roles")
+
+
+def _masked(numbered: DataFrame, name: str, *by: str) -> DataFrame:
+    """(by, block, name): a bit for each number."""
+    bit = F.expr(f"shiftleft(1L, cast(number % {MASK_ROLES} AS int))")
+    block = F.floor(F.col("number") / MASK_ROLES).alias("block")
+    return numbered.groupBy(*by, block).agg(F.bit_or(bit).alias(name))
+
+
+def role_masks(workspace: Workspace, privilege_grants: DataFrame) -> RoleMasks:
+    """The privileges on objects, and whether their parents are open to the same role.
 
     Any privilege on the database opens it; on the schema only usage or ownership.
     """
@@ -40,32 +92,44 @@ def object_privileges_by_role(workspace: Workspace, privilege_grants: DataFrame)
     opening = databases.unionByName(schemas).select("asset_type", "asset", "grantee").distinct()
     parents = workspace.stage(opening, "parent-grants")
 
+    grants = privilege_grants.filter(~kind.isin("SCHEMA", "DATABASE") & (F.col("grantee") != ""))
+    # Stored as they come, since roles have to be numbered first: bits can be gathered before rows are dealt by object.
+    grants = workspace.stage(grants.select(F.col("asset").alias("object"), "grantee"), "object-grants")
+    names = workspace.stage(
+        grants.df.select("grantee").distinct().select("grantee", F.monotonically_increasing_id().alias("number")),
+        "grantee-numbers",
+    )
+    numbered = lookup_join(workspace, grants.df, names, ["grantee"], "inner", spread="object")
+    objects = _masked(numbered, "held", "object").withColumns(
+        {"db": truncated_database("object"), "schema": truncated_schema("object")}
+    )
+    opened = lookup_join(workspace, parents.df, names, ["grantee"], "inner", spread="asset")
+    opened = workspace.stage(_masked(opened, "open", "asset_type", "asset"), "parent-masks", at_most=parents.rows)
+
     def parent(level: str, name: str, flag: str) -> Stage:
-        rows = parents.df.filter(kind == level).select(
-            F.col("asset").alias(name), "grantee", F.lit(True).alias(flag)
-        )
-        return Stage(rows, parents.rows)
-
-    objects = (
-        privilege_grants.filter(~kind.isin("SCHEMA", "DATABASE") & (F.col("grantee") != ""))
-        .select(F.col("asset").alias("object"), "grantee")
-        .repartition("object")
-        .distinct()
-        .withColumn("db", truncated_database("object"))
-        .withColumn("schema", truncated_schema("object"))
+        rows = opened.df.filter(kind == level).select(F.col("asset").alias(name), "block", F.col("open").alias(flag))
+        return Stage(rows, opened.rows)
+
+    flagged = lookup_join(workspace, objects, parent("DATABASE", "db", "in_db"), ["db", "block"], "left", "object")
+    flagged = lookup_join(
+        workspace, flagged, parent("SCHEMA", "schema", "in_schema"), ["schema", "block"], "left", "object"
     )
-    dbs = parent("DATABASE", "db", "has_db_permission")
-    schemas = parent("SCHEMA", "schema", "has_schema_permission")
-    flagged = lookup_join(workspace, objects, dbs, ["db", "grantee"], "left", "object")
-    flagged = lookup_join(workspace, flagged, schemas, ["schema", "grantee"], "left", "object")
-    return flagged.select(
+    none = F.lit(0).cast("bigint")
+    masks = flagged.select(
         "object",
         "db",
         "schema",
-        "grantee",
-        F.coalesce("has_db_permission", F.lit(False)).alias("has_db_permission"),
-        F.coalesce("has_schema_permission", F.lit(False)).alias("has_schema_permission"),
+        "block",
+        "held",
+        F.coalesce("in_db", none).alias("in_db"),
+        F.coalesce("in_schema", none).alias("in_schema"),
     )
+    return RoleMasks(workspace.stage(masks, "object-masks"), names)
+
+
+def object_privileges_by_role(workspace: Workspace, privilege_grants: DataFrame) -> DataFrame:
+    """(object, db, schema, grantee, has_db_permission, has_schema_permission) of ``role_masks``."""
+    return role_masks(workspace, privilege_grants).privileges(workspace)
 
 
 def reachable(privileges: DataFrame) -> DataFrame:
@@ -167,13 +231,16 @@ def set_roles(rows: DataFrame, members: DataFrame, owner: str) -> DataFrame:
     return rows.join(sets, owner).select(F.col(owner).alias("set_id"), "weight", "role")
 
 
-def merged_sets(workspace: Workspace, rows: Stage, owner: str) -> tuple[Stage, Stage]:
+def merged_sets(
+    workspace: Workspace, rows: Stage, owner: str, most: int | None = None
+) -> tuple[Stage, Stage]:
     """(owner, set_id) as ``set_ids`` gives it, and (set_id, weight, role) as ``set_roles`` does.
 
     An owner with few roles is compared by their sorted list, which takes one aggregate over ``rows``. Owners
-    with more are counted first and go through ``set_ids``, which gathers no list.
+    with more are counted first and go through ``set_ids``, which gathers no list. ``most``: how many roles
+    an owner can have, if that is known.
     """
-    crowded = _crowded(workspace, rows, owner)
+    crowded = _crowded(workspace, rows, owner, most)
     listed = rows.df
     if crowded.rows > 0:
         listed = lookup_join(workspace, listed, crowded, [owner], "left_anti", spread="role")
@@ -195,10 +262,12 @@ def merged_sets(workspace: Workspace, rows: Stage, owner: str) -> tuple[Stage, S
     return workspace.stage(members, f"{owner}-members"), workspace.stage(asking, f"{owner}-set-roles")
 
 
-def _crowded(workspace: Workspace, rows: Stage, owner: str) -> Stage:
+def _crowded(workspace: Workspace, rows: Stage, owner: str, most: int | None = None) -> Stage:
     """(owner): those with more than LISTED_ROLES roles. None has more than there are, so few roles need no count by owner."""
     owners = rows.df.groupBy(owner).agg(F.count(F.lit(1)).alias("n_roles")).filter(F.col("n_roles") > LISTED_ROLES)
-    if rows.df.select("role").distinct().limit(LISTED_ROLES + 1).count() <= LISTED_ROLES:
+    if most is None:
+        most = rows.df.select("role").distinct().limit(LISTED_ROLES + 1).count()
+    if most <= LISTED_ROLES:
         return Stage(owners.select(owner), 0)
     return workspace.stage(owners.select(owner), f"{owner}-crowded", at_most=rows.rows // LISTED_ROLES)
 
@@ -214,10 +283,13 @@ class RoleSets:
 
 
 def role_sets(
-    workspace: Workspace, grants: Stage, role_grants: DataFrame, users: DataFrame, closure: Stage
+    workspace: Workspace, grants: Stage | RoleMasks, role_grants: DataFrame, users: DataFrame, closure: Stage
 ) -> RoleSets:
-    """Merge the objects of ``reachable_grants``, and the users with such roles, by their roles."""
-    objects, asking = merged_sets(workspace, grants, "object")
+    """Merge the objects of ``reachable_grants`` or ``role_masks``, and the users with such roles, by their roles."""
+    if isinstance(grants, RoleMasks):
+        objects, asking = grants.merged(workspace)
+    else:
+        objects, asking = merged_sets(workspace, grants, "object")
 
     # (held_by, role): holding the first gives the second, which some object asks for. The roles of a cycle are
     # held as one, and so are named by their component.
@@ -252,7 +324,7 @@ def role_sets(
 
 def object_user_counts(
     workspace: Workspace,
-    grants: Stage,
+    grants: Stage | RoleMasks,
     role_grants: DataFrame,
     users: DataFrame,
     closure: Stage,
@@ -262,7 +334,7 @@ def object_user_counts(
 
     Joining grants to users through roles repeats every user for every object. Both
     sides repeat few role sets, so equal sets are merged first, the sets are matched,
-    and counts are weighted by set size. ``grants`` are ``reachable_grants``; ``plan``
+    and counts are weighted by set size. ``grants`` are ``reachable_grants`` or ``role_masks``; ``plan``
     forces ``profiles`` or ``bitmaps``.
     """
     return counts_of_sets(workspace, role_sets(workspace, grants, role_grants, users, closure), plan)

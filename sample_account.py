@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cache, cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grantlens.sources.raw import RawTables
@@ -302,28 +302,40 @@ class SampleAccount:
         """
         lines = self._read("lineitem")
         supplier = self._read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-        nation = self._read("nation").select(
-            F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("grantee_name")
-        )
+        nation = self._read("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+        # Grantees by number, of which there are few: nobody, the administrator, and the nations' names.
+        first = Window.orderBy("n_name")
+        number = F.when(F.col("n_name") == "", 0).when(F.col("n_name") == "ACCOUNTADMIN", 1).otherwise(F.row_number().over(first) + 1)
+        fixed = self._spark.range(0, 1, 1, 1).select(F.explode(F.array(_text(""), _text("ACCOUNTADMIN"))).alias("n_name"))
+        names = nation.select("n_name").unionByName(fixed).distinct().select(F.col("n_name").alias("grantee_name"), number.alias("number"))
+        numbered = nation.join(F.broadcast(names), F.col("n_name").eqNullSafe(F.col("grantee_name"))).select("s_nationkey", "number")
         part, flag = F.col("p_partkey"), F.col("l_returnflag")
-        privilege = F.when(flag == "A", "SELECT").when(flag == "N", "INSERT").otherwise("UPDATE")
+        privilege = F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2)
         grantee = (
-            F.when((part % 90 == 4) & (flag == "R"), "")
-            .when((part % 90 == 5) & (flag == "R"), "ACCOUNTADMIN")
-            .otherwise(F.col("grantee_name"))
+            F.when((part % 90 == 4) & (flag == "R"), 0)
+            .when((part % 90 == 5) & (flag == "R"), 1)
+            .otherwise(F.col("number"))
         )
-        # Made distinct by the part's number, which its name ends with: names are joined once all rows are different.
+        # Made distinct as two numbers, the part's, which its name ends with, and one of the grant: names are joined
+        # once all rows are different.
         granted = (
             lines.join(supplier, "l_suppkey")
-            .join(nation, "s_nationkey")
+            .join(F.broadcast(numbered), "s_nationkey")
             .withColumn("p_partkey", F.col("l_partkey"))
-            .select("p_partkey", privilege.alias("privilege"), grantee.alias("grantee_name"))
+            .select("p_partkey", (grantee * 3 + privilege).alias("grant"))
             .repartition("p_partkey")
             .distinct()
         )
+        kind = F.col("grant") % 3
+        named = granted.withColumn("number", F.floor(F.col("grant") / 3).cast("int")).join(F.broadcast(names), "number")
         schema = F.when(part % 7 == 0, F.concat(F.lit('"'), F.col("schema"), F.lit('"'))).otherwise(F.col("schema"))
         assets = self._parts.select("p_partkey", "kind", F.concat_ws(".", "db", schema, "name").alias("asset"))
-        return granted.join(assets.distinct().hint("shuffle_hash"), "p_partkey").select("privilege", "kind", "asset", "grantee_name")
+        return named.join(assets.distinct().hint("shuffle_hash"), "p_partkey").select(
+            F.when(kind == 0, "SELECT").when(kind == 1, "INSERT").otherwise("UPDATE").alias("privilege"),
+            "kind",
+            "asset",
+            "grantee_name",
+        )
 
     def future_grants(self) -> DataFrame:
         def grants(rows: DataFrame, kind: str, scope: Column) -> DataFrame:

@@ -81,3 +81,21 @@ def test_parts_are_dealt_out(spark, tmp_path):
     assert "RepartitionByExpression [p_partkey" in plan
     assert "rightHint=(strategy=broadcast)" in plan
     assert account.columns().count() > 0
+
+
+def test_sample_grants_are_distinct_by_number(spark, tmp_path):
+    """Names of nations are joined after; a nation may be called like the administrator, or not at all."""
+    folder = tables(spark, str(tmp_path))
+    names = [(0, "ACCOUNTADMIN", 0), (1, None, 1), (1, "N1", 1), (2, "N1", 1)]
+    spark.createDataFrame(names, "n_nationkey int, n_name string, n_regionkey int").write.mode("overwrite").parquet(f"{folder}/nation.parquet")
+    lines = [(1, 5, 1, "R"), (1, 5, 2, "R"), (1, 5, 1, "A"), (1, 4, 2, "N"), (1, 4, 3, "N"), (1, 4, 1, "R")]
+    lines = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_returnflag string")
+    lines.write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    grants = SampleAccount(spark, folder)._object_grants()
+    plan = grants._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [p_partkey" in plan and ", privilege#" not in plan.split("Aggregate [p_partkey")[1].split("]")[0]
+    pairs = grants.select("privilege", "grantee_name", F.substring_index("asset", ".", -1).alias("name")).distinct()
+    found = [(r["privilege"], r["grantee_name"]) for r in pairs.filter("name = 'T_5'").collect()]
+    assert sorted(found) == [("SELECT", "ACCOUNTADMIN"), ("UPDATE", "ACCOUNTADMIN")]
+    found = [(r["privilege"], r["grantee_name"]) for r in pairs.filter("name = 'T_4'").collect()]
+    assert sorted(found, key=str) == [("INSERT", "N1"), ("INSERT", None), ("UPDATE", "")]
