@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from grantlens.operators import skew
+from grantlens.operators import access, skew
 from grantlens.workspace import Stage, Workspace
 from tests.test_factored import audit_of, tuples
 from tests.test_fan_out import rows_by_task
@@ -76,3 +76,17 @@ def test_expanded_rows_are_products(spark, monkeypatch):
     assert of_products(expanded)
     some = audit.factored_access.expand(audit.workspace, users=F.col("user") == "U4")
     assert tuples(some) == [r for r in expected if r[4] == "U4"]
+
+
+def test_rows_of_access_are_products(spark, monkeypatch):
+    audit = audit_of(spark, 1)
+
+    def rows(**chosen):
+        found = access.user_object_access(audit.workspace, audit.object_privileges, audit.user_roles, **chosen)
+        return found.select("object", "db", "schema", "grantee", "user", "role")
+
+    expected = tuples(rows())
+    monkeypatch.setattr(skew, "CROSSED_PAIRS", 60)
+    assert tuples(rows()) == expected and len(expected) > 500
+    assert of_products(rows())
+    assert tuples(rows(users=F.col("user") == "U4")) == [r for r in expected if r[4] == "U4"]
